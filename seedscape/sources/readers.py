@@ -75,9 +75,8 @@ def read_log(spark: SparkSession, source: str, **options: str) -> DataFrame:
     """The whole experiment log: a JDBC table when ``url`` is given, a known table name, or a path."""
     if "url" in options:
         return spark.read.format("jdbc").options(dbtable=source, **options).load()
-    if spark.catalog.tableExists(source):
-        return spark.table(source)
-    return read_table(spark, source)
+    is_path = "/" in source or "\\" in source
+    return read_table(spark, source) if is_path else spark.table(source)
 
 
 def read_paper_info(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
