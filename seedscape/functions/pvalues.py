@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:
@@ -47,12 +48,12 @@ def t_two_sided_value(t: float, df: float) -> float:
     return _beta_tail(df / (df + t * t), df / 2.0, 0.5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([f_tail_value(*row) for row in zip(f, df1, df2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_value(*row) for row in zip(t, df)], dtype="float64")
 
