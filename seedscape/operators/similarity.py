@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seedscape.functions.text import terms
 from seedscape.functions.vectors import cosine
-from seedscape.operators.skew import lookup_join
 from seedscape.operators.totals import attach_totals
+from seedscape.scratch import materialize
 
 ROLE = "is_seed"
 
@@ -44,17 +45,27 @@ def vocabulary(counts: DataFrame, n_texts: DataFrame, by: Sequence[str] = (), mi
     return common.select(*by, "term", "df", idf.alias("idf"))
 
 
+def _scaled(counts: DataFrame, words: DataFrame, by: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """TF-IDF weights scaled to length 1; a window over one text never holds more than that text's terms.
+
+    Counts and words are written tables, so a very common term is split by the
+    adaptive skew join.
+    """
+    w = F.col("tf") * F.col("idf")
+    weighted = counts.join(words.select(*by, "term", "idf"), [*by, "term"])
+    length = F.sqrt(F.sum(w * w).over(W.partitionBy(*ids)))
+    return weighted.select(*ids, "term", (w / length).alias("weight"))
+
+
 def tfidf(
     texts: DataFrame, by: Sequence[str] = (), text_col: str = "title", keys: Sequence[str] = ("id",), min_df: int = 1
 ) -> DataFrame:
     """Rows ``(by, keys, term, weight)``, each text scaled to length 1. Terms in fewer than ``min_df`` texts are left out."""
     ids = [*by, *keys]
-    counts = term_counts(texts, ids, text_col)
+    counts = materialize(term_counts(texts, ids, text_col), "terms")
     n_texts = texts.groupBy(*by).agg(F.count("*").alias("n_texts"))
-    weighted = lookup_join(counts, vocabulary(counts, n_texts, by, min_df), [*by, "term"], "inner", salt_on=ids)
-    raw = weighted.select(*ids, "term", (F.col("tf") * F.col("idf")).alias("_w"))
-    lengths = raw.groupBy(*ids).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_length"))
-    return raw.join(lengths, ids).select(*ids, "term", (F.col("_w") / F.col("_length")).alias("weight"))
+    words = materialize(vocabulary(counts, n_texts, by, min_df), "vocabulary")
+    return _scaled(counts, words, by, ids)
 
 
 def title_similarity(
@@ -66,33 +77,30 @@ def title_similarity(
 ) -> DataFrame:
     """Cosine of each candidate's TF-IDF row with the mean row of the seeds; 0 for an empty text.
 
-    The vocabulary covers candidates and seeds. The seeds' mean weight travels in
-    the vocabulary row of its term, so the candidate terms are joined once and
-    summed once for both the product and the length.
+    The vocabulary covers candidates and seeds. Every text is read and cut into
+    terms once; the counts are written and serve the vocabulary, the seeds and the
+    candidates. The seeds' mean weight travels in the vocabulary row of its term,
+    so the candidate terms are joined once and summed once for both the product
+    and the length.
     """
     ids = [*by, "id", ROLE]
     texts = candidates_and_seeds(candidates, seeds, by, text_col)
-    counts = term_counts(texts, ids, text_col)
+    counts = materialize(term_counts(texts, ids, text_col), "terms")
     n_texts = texts.groupBy(*by).agg(F.count("*").alias("n_texts"))
-    words = vocabulary(counts, n_texts, by)
+    words = materialize(vocabulary(counts, n_texts, by), "vocabulary")
 
-    seed_counts = term_counts(seeds, [*by, "id"], text_col)
-    raw = lookup_join(seed_counts, words, [*by, "term"], "inner", salt_on=[*by, "id"]).select(
-        *by, "id", "term", (F.col("tf") * F.col("idf")).alias("_w")
-    )
-    lengths = raw.groupBy(*by, "id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_length"))
     n_seeds = seeds.groupBy(*by).agg(F.count("*").alias("_n_seeds"))
-    sums = raw.join(lengths, [*by, "id"]).groupBy(*by, "term").agg(F.sum(F.col("_w") / F.col("_length")).alias("_sum"))
+    sums = _scaled(counts.where(ROLE), words, by, ids).groupBy(*by, "term").agg(F.sum("weight").alias("_sum"))
     mean = attach_totals(sums, n_seeds, by, salt_on=["term"]).select(
         *by, "term", (F.col("_sum") / F.col("_n_seeds")).alias("_mean")
     )
-    mean_length = mean.groupBy(*by).agg(F.sqrt(F.sum(F.col("_mean") * F.col("_mean"))).alias("_mean_length"))
+    weights = materialize(words.join(mean, [*by, "term"], "left").select(*by, "term", "idf", "_mean"), "weights")
+    mean_length = weights.groupBy(*by).agg(F.sqrt(F.sum(F.col("_mean") * F.col("_mean"))).alias("_mean_length"))
 
-    weights = words.join(mean, [*by, "term"], "left")
-    own = counts.where(~F.col(ROLE))
     w = F.col("tf") * F.col("idf")
     scored = (
-        lookup_join(own, weights, [*by, "term"], "inner", salt_on=[*by, "id"])
+        counts.where(~F.col(ROLE))
+        .join(weights, [*by, "term"])
         .groupBy(*by, "id")
         .agg(F.sqrt(F.sum(w * w)).alias("_length"), F.coalesce(F.sum(w * F.col("_mean")), F.lit(0.0)).alias("_dot"))
     )
