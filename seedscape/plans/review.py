@@ -44,14 +44,16 @@ def collect_papers(
     """Split the list into seeds and targets and collect everything within ``degrees`` of the seeds.
 
     Seeds without a paper record are followed as well. With run keys in ``by``,
-    all runs are collected at once.
+    all runs are collected at once. The three sets are written, since every later
+    step reads them several times.
     """
     known = drop_unclustered(papers)
     split = materialize(split_seeds(id_list.select(*by, "id").distinct(), sample_size, seed, by), "split")
     seed_ids = split.where("is_seed").drop("is_seed")
     target_ids = split.where("NOT is_seed").drop("is_seed")
     reached = expand(seed_ids, edges, degrees, by)
-    return PaperSets(attach_papers(seed_ids, known), attach_papers(target_ids, known), attach_papers(reached, known))
+    sets = {"seeds": seed_ids, "targets": target_ids, "candidates": reached}
+    return PaperSets(**{name: materialize(attach_papers(ids, known), name) for name, ids in sets.items()})
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def train_models(
     all fits. The scores of all classifiers are ranked in one job.
     """
     classifiers = classifiers or default_classifiers()
-    prepared = prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, title_col)
+    prepared = materialize(prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, title_col), "prepared")
     titles = "title_similarity" in features
     featured = default_features(prepared, sets.seeds, title_col=title_col, titles=titles)
     candidates = materialize(split_train(featured, seed), "features")
