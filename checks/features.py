@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import prefix_sql, query, rounded, seed_ids, tokens_sql, union_all, view
+from checks.fixtures import paper_sets, prefix_sql, query, rounded, seed_ids, tokens_sql, union_all, view
 from seedscape.functions import paths
 from seedscape.functions.text import contains_word, terms, text_from_positions
 from seedscape.operators import clusters, features, similarity
-from seedscape.operators.graph import attach_papers, expand
+from seedscape.operators.graph import attach_papers
 from seedscape.operators.matching import meta_clusters
 from seedscape.operators.prep import drop_unclustered
 from seedscape.operators.summary import describe_counts
@@ -60,10 +60,8 @@ def shared_levels_of_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c.id, round(avg_distance, 6) AS avg_distance FROM {candidates} c JOIN {distances} d ON c.cl = d.cl")
 def average_cluster_distance(spark: SparkSession, sf: str) -> DataFrame:
-    known = drop_unclustered(view(spark, sf, "papers"))
-    ids = seed_ids(spark, sf)
-    reached = attach_papers(expand(ids, view(spark, sf, "citations")), known)
-    return rounded(clusters.average_distance(reached, attach_papers(ids, known)).select("id", "avg_distance"))
+    sets = paper_sets(spark, sf)
+    return rounded(clusters.average_distance(sets.candidates, sets.seeds).select("id", "avg_distance"))
 
 
 BETWEEN = f"""(SELECT CAST(len(a) + len(b) - 2 * {LCA} AS INT) AS distance, n
@@ -186,10 +184,8 @@ def bag_of_words_weights(spark: SparkSession, sf: str) -> DataFrame:
                  round(abs(ef - (SELECT avg(ef) FROM {seeds})), 6) AS ef_distance
           FROM {candidates} c JOIN {distances} d ON c.cl = d.cl""")
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    known = drop_unclustered(view(spark, sf, "papers"))
-    ids = seed_ids(spark, sf)
-    seeds = attach_papers(ids, known)
-    reached = attach_papers(expand(ids, view(spark, sf, "citations")), known)
+    sets = paper_sets(spark, sf)
+    seeds, reached = sets.seeds, sets.candidates
     tables = [
         clusters.average_distance(reached, seeds).select("id", "avg_distance"),
         features.column_feature(reached, "ef"),
@@ -224,7 +220,7 @@ def texts_with_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH runs AS (SELECT CAST(p_size % 3 AS INT) AS run_id, 'p' || CAST(p_partkey AS STRING) AS id FROM {part} WHERE p_size < 10),
+    WITH runs AS (SELECT CAST(p_size % 3 AS INT) AS run_id, 'p' || CAST(p_partkey AS STRING) AS id FROM {part}),
     near AS (SELECT run_id, string_split(cl, ':') AS b FROM runs JOIN {part_papers} USING (id)),
     far AS (SELECT DISTINCT run_id, cl, string_split(cl, ':') AS a FROM {part_papers}, (SELECT DISTINCT run_id FROM runs)),
     scored AS (SELECT run_id, cl, avg(((len(a) + len(b)) / 2 - """ + LCA + """) / ((len(a) + len(b)) / 2)) AS d
@@ -234,7 +230,7 @@ def average_distance_of_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Every paper against the seeds of several runs, all runs in one job."""
     papers = view(spark, sf, "part_papers").select("id", "cl")
     runs = [0, 1, 2]
-    part = view(spark, sf, "part").where("p_size < 10").select(
+    part = view(spark, sf, "part").select(
         (F.col("p_size") % 3).cast("int").alias("run_id"), F.concat(F.lit("p"), "p_partkey").alias("id")
     )
     everyone = union_all([papers.withColumn("run_id", F.lit(r)) for r in runs])

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from seedscape.operators.sampling import split_seeds
 from seedscape.operators.similarity import title_similarity
+from seedscape.plans.review import PaperSets, collect_papers
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -229,6 +230,13 @@ def target_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_split(spark, sf_dir).where("NOT is_seed").select("id")
 
 
+def paper_sets(spark: SparkSession, sf_dir: str) -> PaperSets:
+    """Seeds, targets and candidates of the citation graph."""
+    size = F.when(F.col("n_rows") < 21, 3).otherwise(20)
+    tables = [view(spark, sf_dir, name) for name in ("id_list", "papers", "citations")]
+    return collect_papers(*tables, sample_size=size)
+
+
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = title_similarity(
         view(spark, sf_dir, "text_candidates"), view(spark, sf_dir, "text_seeds"), text_col="text", out_col="score"

@@ -3,11 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import query, rounded, seed_ids, target_ids, view
+from checks.fixtures import paper_sets, query, rounded, seed_ids, view
 from seedscape.operators import graph
 from seedscape.operators.clusters import average_distance
-from seedscape.operators.prep import drop_unclustered, flag_targets
+from seedscape.operators.prep import drop_unclustered, flag_targets, remove_seeds
 from seedscape.operators.summary import top_sorted
+from seedscape.plans.review import collect_splits
 
 
 @query("SELECT c.id, cited_id FROM {citations} c JOIN {ring1} r ON c.id = r.id")
@@ -37,12 +38,12 @@ def two_degrees_out(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH start AS (SELECT CAST(p_size % 5 AS INT) AS run_id, 'p' || CAST(p_partkey AS STRING) AS id FROM {part} WHERE p_size < 10),
+    WITH start AS (SELECT CAST(p_size % 5 AS INT) AS run_id, 'p' || CAST(p_partkey AS STRING) AS id FROM {part}),
     one AS (SELECT DISTINCT run_id, unnest([c.id, cited_id]) AS id FROM {citations} c JOIN start s ON c.id = s.id OR c.cited_id = s.id)
     SELECT run_id, id FROM one""")
 def many_runs_one_degree_out(spark: SparkSession, sf: str) -> DataFrame:
     """Several seed sets followed in one job, kept apart by their run."""
-    start = view(spark, sf, "part").where("p_size < 10").select(
+    start = view(spark, sf, "part").select(
         (F.col("p_size") % 5).cast("int").alias("run_id"), F.concat(F.lit("p"), "p_partkey").alias("id")
     )
     return graph.expand(start, view(spark, sf, "citations"), 1, ["run_id"])
@@ -76,9 +77,8 @@ def neighbour_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id FROM {candidates} INTERSECT SELECT id FROM {target_ids}")
 def targets_in_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    reached = graph.expand(seed_ids(spark, sf), view(spark, sf, "citations"))
-    papers = graph.attach_papers(reached, drop_unclustered(view(spark, sf, "papers")))
-    return papers.select("id").intersect(target_ids(spark, sf))
+    sets = paper_sets(spark, sf)
+    return sets.candidates.select("id").intersect(sets.targets.select("id"))
 
 
 @query("SELECT doc_id AS id FROM {documents} WHERE doc_id NOT IN (SELECT doc_id FROM {labels})")
@@ -92,11 +92,9 @@ def ids_not_done_yet(spark: SparkSession, sf: str) -> DataFrame:
           FROM {candidates} c JOIN {distances} d ON c.cl = d.cl WHERE c.id NOT IN (SELECT id FROM {seed_ids})""")
 def related_papers(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way without a model: two degrees out, cluster distance to the seeds, target flag."""
-    known = drop_unclustered(view(spark, sf, "papers"))
-    ids = seed_ids(spark, sf)
-    reached = graph.expand(ids, view(spark, sf, "citations")).join(ids, "id", "left_anti")
-    placed = average_distance(graph.attach_papers(reached, known), graph.attach_papers(ids, known))
-    flagged = flag_targets(placed, target_ids(spark, sf))
+    sets = paper_sets(spark, sf)
+    placed = average_distance(remove_seeds(sets.candidates, sets.seeds), sets.seeds)
+    flagged = flag_targets(placed, sets.targets)
     return rounded(flagged.select("id", "title", "year", "ef", "target", "avg_distance"))
 
 
@@ -104,9 +102,23 @@ def related_papers(spark: SparkSession, sf: str) -> DataFrame:
             SELECT c.id, round(avg_distance, 6) AS avg_distance, round(ef, 6) AS ef FROM {candidates} c JOIN {distances} d ON c.cl = d.cl)
           ORDER BY avg_distance, ef DESC, id LIMIT 50""")
 def nearest_papers(spark: SparkSession, sf: str) -> DataFrame:
-    known = drop_unclustered(view(spark, sf, "papers"))
-    ids = seed_ids(spark, sf)
-    reached = graph.expand(ids, view(spark, sf, "citations"))
-    placed = average_distance(graph.attach_papers(reached, known), graph.attach_papers(ids, known))
+    sets = paper_sets(spark, sf)
+    placed = average_distance(sets.candidates, sets.seeds)
     table = rounded(placed.select("id", "avg_distance", "ef"))
     return top_sorted(table, [F.col("avg_distance"), F.col("ef").desc(), F.col("id")], 50)
+
+
+@query("""
+    WITH lists AS (SELECT s AS split_seed, id, row_number() OVER (PARTITION BY s ORDER BY md5(CAST(s AS STRING) || ':' || id), id)
+                          <= CASE WHEN count(*) OVER (PARTITION BY s) < 21 THEN 3 ELSE 20 END AS is_seed
+                   FROM {id_list}, unnest([1, 2, 3, 4, 5]) AS seeds(s)),
+    one AS (SELECT DISTINCT split_seed, unnest([c.id, cited_id]) AS id FROM lists l JOIN {citations} c
+            ON l.id = c.cited_id OR l.id = c.id WHERE is_seed),
+    two AS (SELECT split_seed, unnest([c.id, cited_id]) AS id FROM one JOIN {citations} c ON one.id = c.id
+            UNION SELECT split_seed, unnest([c.id, cited_id]) FROM one JOIN {citations} c ON one.id = c.cited_id)
+    SELECT split_seed, two.id, cl FROM two JOIN {known_papers} p ON two.id = p.id""")
+def candidates_of_all_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Five random splits of one list, all expanded in the same jobs."""
+    size = F.when(F.col("n_rows") < 21, 3).otherwise(20)
+    tables = [view(spark, sf, name) for name in ("id_list", "papers", "citations")]
+    return collect_splits(*tables, sample_size=size).candidates.select("split_seed", "id", "cl")

@@ -83,7 +83,7 @@ def meta_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return matching.meta_clusters(view(spark, sf, "tree_papers"), view(spark, sf, "meta"))
 
 
-SAVED = "(SELECT o_orderkey AS saved_model, datadir, o_orderpriority AS clf, o_orderstatus AS features FROM {orders} JOIN {log} ON id = o_orderkey WHERE random_seed < 2)"
+SAVED = "(SELECT o_orderkey AS saved_model, datadir, o_orderpriority AS clf, o_orderstatus AS features FROM {orders} JOIN {log} ON id = o_orderkey)"
 
 
 @query("""SELECT m.saved_model, m.datadir, m.clf, m.features, CASE WHEN count(l.id) = 1 THEN min(l.id) END AS log_id,
@@ -93,17 +93,17 @@ SAVED = "(SELECT o_orderkey AS saved_model, datadir, o_orderpriority AS clf, o_o
           ON m.datadir = l.datadir AND m.clf = l.clf AND m.features = l.features GROUP BY ALL""")
 def models_in_log(spark: SparkSession, sf: str) -> DataFrame:
     log = view(spark, sf, "log")
-    models = log.where("random_seed < 2").select(F.col("id").alias("saved_model"), "datadir", "clf", "features")
+    models = log.select(F.col("id").alias("saved_model"), "datadir", "clf", "features")
     return matching.match_models_to_log(models, log.where("num_candidates > 50000"))
 
 
 @query("""SELECT l.id, l.datadir, l.clf, s.clf AS saved_clf, l.clf = s.clf AS agrees
-          FROM (SELECT * FROM {log} WHERE random_seed >= 3) l
+          FROM {log} l
           JOIN (SELECT * FROM {log} QUALIFY row_number() OVER (PARTITION BY datadir ORDER BY id) = 1) s ON l.datadir = s.datadir""")
 def saved_model_agrees(spark: SparkSession, sf: str) -> DataFrame:
-    log = view(spark, sf, "log").select("id", "datadir", "clf", "random_seed")
+    log = view(spark, sf, "log").select("id", "datadir", "clf")
     saved = matching.first_row_per(log, "datadir", ["id"])
-    return matching.saved_model_agrees(log.where("random_seed >= 3"), saved)
+    return matching.saved_model_agrees(log, saved)
 
 
 @query("SELECT o_orderkey AS id, o_custkey AS journal_id FROM {orders} WHERE o_custkey = 3")

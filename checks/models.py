@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import query, rounded, seed_ids, target_ids, view
+from checks.fixtures import paper_sets, query, rounded, seed_ids, target_ids, view
 from seedscape.functions.text import terms
 from seedscape.operators import classifiers as clf
 from seedscape.operators.features import DEFAULT_FEATURES, default_features, feature_union
@@ -13,7 +13,7 @@ from seedscape.operators.ranking import class_report, rank_candidates
 from seedscape.operators.sampling import split_train
 from seedscape.operators.clusters import average_distance
 from seedscape.operators.matching import meta_clusters
-from seedscape.plans.review import PaperSets, collect_papers, train_models
+from seedscape.plans.review import rank_over_splits, train_models
 from seedscape.scratch import materialize, new_path
 from seedscape.sources.readers import read_model
 from seedscape.sources.writers import save_model
@@ -21,15 +21,9 @@ from seedscape.sources.writers import save_model
 FEATURES = list(DEFAULT_FEATURES)
 
 
-def _sets(spark: SparkSession, sf: str) -> PaperSets:
-    size = F.when(F.col("n_rows") < 21, 3).otherwise(20)
-    tables = [view(spark, sf, name) for name in ("id_list", "papers", "citations")]
-    return collect_papers(*tables, sample_size=size)
-
-
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of the citation graph with their features and their part of the split."""
-    sets = _sets(spark, sf)
+    sets = paper_sets(spark, sf)
     prepared = materialize(prepare_candidates(sets.candidates, sets.seeds, sets.targets), "prepared")
     return materialize(split_train(default_features(prepared, sets.seeds)), "features")
 
@@ -118,14 +112,14 @@ def predicted_ranks(spark: SparkSession, sf: str) -> DataFrame:
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Several classifiers on the same candidates, with the measures the choice is made by."""
     tried = {"logistic": clf.logistic(), "logistic_balanced": clf.logistic(balanced=True), "forest_50": clf.forest(50)}
-    return rounded(train_models(_sets(spark, sf), classifiers=tried).metrics)
+    return rounded(train_models(paper_sets(spark, sf), classifiers=tried).metrics)
 
 
 @query()
 def best_model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run: collect, compute features, try classifiers, rank with the best one."""
     tried = {"logistic": clf.logistic(), "logistic_balanced": clf.logistic(balanced=True)}
-    return train_models(_sets(spark, sf), classifiers=tried).predictions.select("id", "title", "target", "pred_ranks")
+    return train_models(paper_sets(spark, sf), classifiers=tried).predictions.select("id", "title", "target", "pred_ranks")
 
 
 @query()
@@ -195,3 +189,11 @@ def bag_of_words_model(spark: SparkSession, sf: str) -> DataFrame:
     featured = materialize(vectors.transform(rows).select("id", "target", "bag_of_words"), "vectors")
     model = clf.logistic()(featured, ["bag_of_words"])
     return clf.score_rows(model, featured)
+
+
+@query()
+def ranking_over_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean rank of every candidate over three random splits, a model fitted for each."""
+    size = F.when(F.col("n_rows") < 21, 3).otherwise(20)
+    tables = [view(spark, sf, name) for name in ("id_list", "papers", "citations")]
+    return rank_over_splits(*tables, sample_size=size, split_seeds=(1, 2, 3))

@@ -47,7 +47,7 @@ def average_distance(
     overlap = 2.0 * F.col("_n") / (F.col("_depth") + F.col("_seed_depth"))
     scored = met.groupBy(*by, path_col).agg(F.coalesce(F.sum(overlap), F.lit(0.0)).alias("_overlap"))
     distances = attach_totals(scored, totals, by, salt_on=[path_col]).select(
-        *by, path_col, (1.0 - F.col("_overlap") / F.col("_n_seeds")).alias(out_col)
+        *by, path_col, (1.0 - F.try_divide("_overlap", "_n_seeds")).alias(out_col)
     )
     return lookup_join(papers, distances, [*by, path_col], "left", salt_on=["id"])
 

@@ -63,13 +63,18 @@ def running_totals(
     return placed.drop(SLICE, *[f"_{name}" for name in amounts], *[f"_{name}_before" for name in amounts])
 
 
-def hash_rank(rows: DataFrame, id_col: str = "id", seed: int | str = 0, by: Sequence[str] = ()) -> DataFrame:
+def hash_rank(
+    rows: DataFrame, id_col: str = "id", seed: int | Column = 0, by: Sequence[str] = (), n_slices: int = 4096
+) -> DataFrame:
     """Repeatable random order: ``rank`` of each row by the MD5 of ``seed:id``.
 
-    Leading digits of the hash give 4,096 even slices that need no sampling, so
-    nothing is written and no task sees more than its share.
+    The leading digits of the hash cut the rows into even slices that need no
+    sampling, so nothing is written and no task sees more than its share. ``seed``
+    may be a column, for runs that each have their own.
     """
-    hashed = rows.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-    slices = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
+    salt = (seed if isinstance(seed, Column) else F.lit(seed)).cast("string")
+    hashed = rows.withColumn("_hash", F.md5(F.concat(salt, F.lit(":"), F.col(id_col).cast("string"))))
+    leading = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
+    slices = F.shiftright(leading * n_slices, 32).cast("int")
     ranked = running_totals(hashed, [F.col("_hash"), F.col(id_col)], by=by, slice_by=slices)
     return ranked.drop("_hash")

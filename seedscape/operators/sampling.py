@@ -11,7 +11,7 @@ from seedscape.operators.ordering import hash_rank
 
 
 def split_seeds(
-    ids: DataFrame, sample_size: int | Column, seed: int = 999, by: Sequence[str] = (), id_col: str = "id"
+    ids: DataFrame, sample_size: int | Column, seed: int | Column = 999, by: Sequence[str] = (), id_col: str = "id"
 ) -> DataFrame:
     """Flag exactly ``sample_size`` IDs as ``is_seed``; the others are the targets to find.
 
@@ -22,13 +22,13 @@ def split_seeds(
     return ranked.withColumn("is_seed", F.col("rank") <= size).drop("rank", "n_rows")
 
 
-def split_train(rows: DataFrame, seed: int = 999, by: Sequence[str] = (), id_col: str = "id") -> DataFrame:
+def split_train(rows: DataFrame, seed: int | Column = 999, by: Sequence[str] = (), id_col: str = "id") -> DataFrame:
     """Flag four fifths of the rows, rounded down, as ``is_train``."""
     ranked = hash_rank(rows, id_col, seed, by)
     train_rows = F.floor(F.col("n_rows") * 4 / 5)
     return ranked.withColumn("is_train", F.col("rank") <= train_rows).drop("rank", "n_rows")
 
 
-def sample_rows(rows: DataFrame, n: int, seed: int = 999, by: Sequence[str] = (), id_col: str = "id") -> DataFrame:
+def sample_rows(rows: DataFrame, n: int, seed: int | Column = 999, by: Sequence[str] = (), id_col: str = "id") -> DataFrame:
     """Exactly ``n`` rows (of each group), chosen by hash order."""
     return hash_rank(rows, id_col, seed, by).where(F.col("rank") <= n).drop("rank", "n_rows")

@@ -9,11 +9,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedscape.operators.classifiers import Fitter, default_classifiers, predict_ranks, score_rows, select_model
+from seedscape.operators.classifiers import Fitter, default_classifiers, logistic, predict_ranks, score_rows, select_model
 from seedscape.operators.features import DEFAULT_FEATURES, default_features
 from seedscape.operators.graph import attach_papers, expand
 from seedscape.operators.prep import drop_unclustered, prepare_candidates
 from seedscape.operators.ranking import (
+    aggregate_rankings,
     average_precision_as_ranked,
     metric_ladder,
     r_precision,
@@ -37,7 +38,7 @@ def collect_papers(
     papers: DataFrame,
     edges: DataFrame,
     sample_size: int | Column,
-    seed: int = 999,
+    seed: int | Column = 999,
     degrees: int = 2,
     by: Sequence[str] = (),
 ) -> PaperSets:
@@ -99,6 +100,50 @@ def train_models(
     return TrainedReview(models[best], best, metrics, candidates, predict_ranks(models[best], candidates))
 
 
+def collect_splits(
+    id_list: DataFrame,
+    papers: DataFrame,
+    edges: DataFrame,
+    sample_size: int | Column,
+    split_seeds: Sequence[int] = (1, 2, 3, 4, 5),
+    degrees: int = 2,
+) -> PaperSets:
+    """The paper sets of several random splits of one list, told apart by ``split_seed`` and collected together."""
+    repeated = id_list.select(F.explode(F.array(*map(F.lit, split_seeds))).alias("split_seed"), "id")
+    return collect_papers(repeated, papers, edges, sample_size, F.col("split_seed"), degrees, ["split_seed"])
+
+
+def rank_over_splits(
+    id_list: DataFrame,
+    papers: DataFrame,
+    edges: DataFrame,
+    sample_size: int | Column,
+    split_seeds: Sequence[int] = (1, 2, 3, 4, 5),
+    classifier: Fitter | None = None,
+    year: int | None = None,
+    degrees: int = 2,
+) -> DataFrame:
+    """Repeat the split, rank the candidates of each, and average score and rank per paper, best mean rank first.
+
+    Collection, features and ranking run once for all splits; only the fits follow
+    one another. Papers that were a seed in one split are still ranked in the others.
+    """
+    by = ["split_seed"]
+    classifier = classifier or logistic()
+    sets = collect_splits(id_list, papers, edges, sample_size, split_seeds, degrees)
+    prepared = materialize(
+        prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, by=by), "prepared"
+    )
+    featured = default_features(prepared, sets.seeds, by)
+    candidates = materialize(split_train(featured, F.col("split_seed"), by), "features")
+    scored = None
+    for number in split_seeds:
+        own = candidates.where(F.col("split_seed") == number)
+        part = score_rows(classifier(own.where("is_train"), DEFAULT_FEATURES), own, ["split_seed", "id", "target"])
+        scored = part if scored is None else scored.unionByName(part)
+    return aggregate_rankings(rank_candidates(scored, by)).orderBy("mean_rank", "id")
+
+
 def ladder_of_best(trained: TrainedReview, num_targets: int) -> DataFrame:
     """Precision, recall and F1 of the chosen model at each cut-off."""
     scored = trained.predictions.select("id", "target", F.col("pred_ranks").alias("score"))
