@@ -24,8 +24,8 @@ FEATURES = list(DEFAULT_FEATURES)
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of the citation graph with their features and their part of the split."""
     sets = paper_sets(spark, sf)
-    prepared = materialize(prepare_candidates(sets.candidates, sets.seeds, sets.targets), "prepared")
-    return materialize(split_train(default_features(prepared, sets.seeds)), "features")
+    prepared = materialize(split_train(prepare_candidates(sets.candidates, sets.seeds, sets.targets)), "prepared")
+    return materialize(default_features(prepared, sets.seeds), "features")
 
 
 def _fit_and_score(spark: SparkSession, sf: str, fitter: clf.Fitter) -> DataFrame:

@@ -62,9 +62,10 @@ def expand(seeds: DataFrame, edges: DataFrame, degrees: int = 2, by: Sequence[st
 
     Every ring of IDs is distinct before the next join, and is written so that it
     is computed once and so that the next join knows how large it is: a small ring
-    is broadcast, a large one is shuffled with adaptive skew handling for hubs.
+    is broadcast, a large one is shuffled. Being a plain scan, it leaves the join
+    open to the adaptive split of hubs; the seeds should be a plain table as well.
     """
-    ring = seeds.select(*by, "id").distinct()
+    ring = seeds.select(*by, "id")
     for step in range(degrees):
         ring = follow_citations(ring, edges, by)
         if step < degrees - 1:
@@ -86,7 +87,7 @@ def references_of(edges: DataFrame, paper_id: str, direction: str = "out") -> Da
 
 def neighbour_counts(ids: DataFrame, edges: DataFrame, degrees: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """How often each ID is reached over all steps, counting every edge."""
-    ring = ids.select(*by, "id").distinct()
+    ring = materialize(ids.select(*by, "id").distinct(), "ring")
     reached = []
     for step in range(degrees):
         hits = _neighbours(ring, edges, by).groupBy(*by, F.col("far").alias("id")).agg(F.count("*").alias("n"))

@@ -35,7 +35,8 @@ def running_totals(
     Slices come from a range shuffle over the keys and the order, which also splits
     a group that holds most of the rows. A range shuffle samples its borders, so
     its slices are written before they are used twice. ``slice_by`` may instead
-    give a deterministic slice number that grows with the order.
+    give a deterministic slice number that grows with the order; ``rows`` are then
+    read twice and should be cheap to read.
     """
     by = list(by)
     amounts = {"rank": F.lit(1).cast("long"), **(sums or {})}

@@ -80,10 +80,10 @@ def train_models(
     all fits. The scores of all classifiers are ranked in one job.
     """
     classifiers = classifiers or default_classifiers()
-    prepared = materialize(prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, title_col), "prepared")
+    prepared = prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, title_col)
+    prepared = materialize(split_train(prepared, seed), "prepared")
     titles = "title_similarity" in features
-    featured = default_features(prepared, sets.seeds, title_col=title_col, titles=titles)
-    candidates = materialize(split_train(featured, seed), "features")
+    candidates = materialize(default_features(prepared, sets.seeds, title_col=title_col, titles=titles), "features")
     train = candidates.where("is_train")
     models = {name: fit(train, features) for name, fit in classifiers.items()}
     scored = None
@@ -131,11 +131,9 @@ def rank_over_splits(
     by = ["split_seed"]
     classifier = classifier or logistic()
     sets = collect_splits(id_list, papers, edges, sample_size, split_seeds, degrees)
-    prepared = materialize(
-        prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, by=by), "prepared"
-    )
-    featured = default_features(prepared, sets.seeds, by)
-    candidates = materialize(split_train(featured, F.col("split_seed"), by), "features")
+    prepared = prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, by=by)
+    prepared = materialize(split_train(prepared, F.col("split_seed"), by), "prepared")
+    candidates = materialize(default_features(prepared, sets.seeds, by), "features")
     scored = None
     for number in split_seeds:
         own = candidates.where(F.col("split_seed") == number)
