@@ -111,19 +111,25 @@ def title_similarity(
     return joined.withColumn(out_col, F.coalesce(out_col, F.lit(0.0)))
 
 
-def mean_vector(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """One row holding the element-wise mean; only as many values meet in one task as a vector has."""
-    at = vectors.select(F.posexplode(vector_col).alias("at", "value")).groupBy("at").agg(F.avg("value").alias("value"))
+def mean_vector(vectors: DataFrame, by: Sequence[str] = (), vector_col: str = "embedding") -> DataFrame:
+    """The element-wise mean per run; only as many values meet in one group as a vector has."""
+    values = vectors.select(*by, F.posexplode(vector_col).alias("at", "value"))
+    means = values.groupBy(*by, "at").agg(F.avg("value").alias("value"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
-    return at.agg(F.transform(ordered, lambda s: s["value"]).alias("mean_vector"))
+    return means.groupBy(*by).agg(F.transform(ordered, lambda s: s["value"]).alias("mean_vector"))
 
 
 def embedding_similarity(
-    candidates: DataFrame, seeds: DataFrame, embeddings: DataFrame, out_col: str = "embedding_similarity"
+    candidates: DataFrame,
+    seeds: DataFrame,
+    embeddings: DataFrame,
+    by: Sequence[str] = (),
+    out_col: str = "embedding_similarity",
 ) -> DataFrame:
     """Cosine of each candidate's vector with the seeds' mean vector; null without a vector."""
-    mean = mean_vector(embeddings.join(seeds.select("id"), "id", "left_semi"))
-    scored = embeddings.withColumn("_mean", mean.scalar()).select(
-        "id", cosine(F.col("embedding"), F.col("_mean")).alias(out_col)
+    mean = mean_vector(seeds.select(*by, "id").join(embeddings, "id"), by)
+    known = candidates.select(*by, "id").join(embeddings, "id")
+    scored = attach_totals(known, mean, by, salt_on=["id"]).select(
+        *by, "id", cosine(F.col("embedding"), F.col("mean_vector")).alias(out_col)
     )
-    return candidates.join(scored, "id", "left")
+    return candidates.join(scored, [*by, "id"], "left")

@@ -23,6 +23,7 @@ from seedscape.operators.ranking import (
 from seedscape.operators.sampling import split_seeds, split_train
 from seedscape.scratch import materialize
 from seedscape.sources.readers import read_paper_sets
+from seedscape.sources.runs import RUN_KEYS, collect_pending
 from seedscape.sources.writers import save_model, save_paper_set, write_new, write_predictions
 
 
@@ -113,6 +114,36 @@ def collect_splits(
     return collect_papers(repeated, papers, edges, sample_size, F.col("split_seed"), degrees, ["split_seed"])
 
 
+def collect_lists(
+    lists: DataFrame,
+    papers: DataFrame,
+    edges: DataFrame,
+    sample_size: int | Column,
+    folder: str,
+    split_seeds: Sequence[int] = (1, 2, 3, 4, 5),
+    degrees: int = 2,
+) -> None:
+    """Collect several splits of many lists ``(review_id, id)`` into ``folder``, restartable.
+
+    All runs without a completion record are collected in the same jobs and stored
+    by ``(review_id, split_seed)``; ``paper_set`` says which of the three sets a row
+    belongs to. :func:`~seedscape.operators.graph.references_of` makes such a list
+    from one paper.
+    """
+    keys = list(RUN_KEYS)
+    seeds = F.explode(F.array(*map(F.lit, split_seeds))).alias("split_seed")
+    runs = lists.select("review_id").distinct().select("review_id", seeds)
+
+    def collect(open_runs: DataFrame) -> DataFrame:
+        wanted = lists.join(open_runs, "review_id").select(*keys, "id")
+        sets = collect_papers(wanted, papers, edges, sample_size, F.col("split_seed"), degrees, keys)
+        named = {"seed": sets.seeds, "target": sets.targets, "candidate": sets.candidates}
+        parts = [rows.withColumn("paper_set", F.lit(name)) for name, rows in named.items()]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    collect_pending(runs, folder, collect)
+
+
 def rank_over_splits(
     id_list: DataFrame,
     papers: DataFrame,

@@ -122,3 +122,12 @@ def test_restart_redoes_only_what_is_not_recorded(spark):
     assert seen == [[1, 2], [3]]
     done = {r["split_seed"]: r["pass"] for r in spark.read.parquet(f"{folder}/papers.parquet").collect()}
     assert {k: str(v) for k, v in done.items()} == {1: "1", 2: "1", 3: "2"}
+
+
+def test_vectors_of_several_runs(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "id long, embedding array<float>")
+    seeds = spark.createDataFrame([("r", 1), ("s", 2)], "run string, id long")
+    cands = spark.createDataFrame([("r", 1), ("r", 2), ("s", 2)], "run string, id long")
+    rows = similarity.embedding_similarity(cands, seeds, vectors, ["run"]).collect()
+    got = {(r["run"], r["id"]): r["embedding_similarity"] for r in rows}
+    assert got == {("r", 1): pytest.approx(1.0), ("r", 2): 0.0, ("s", 2): pytest.approx(1.0)}
