@@ -61,13 +61,16 @@ def clean_ids(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_id_list(spark: SparkSession, path: str, header: bool = False, keep_blank: bool = False) -> DataFrame:
-    """One ID per line. ``header`` skips the first line of each file; ``keep_blank`` keeps empty lines."""
+    """One ID per line. ``header`` skips the first line of each file.
+
+    ``keep_blank`` keeps empty lines; a file with a header loses them in any case.
+    """
     if header:
-        lines = spark.read.csv(path, header=True, sep="\u0001", schema="value string", ignoreLeadingWhiteSpace=True)
+        lines = spark.read.csv(path, header=True, sep="\u0001", quote="", schema="value string")
     else:
         lines = spark.read.text(path)
     if keep_blank:
-        return lines.select(F.trim(F.coalesce("value", F.lit(""))).alias("id"))
+        return lines.select(F.trim("value").alias("id"))
     return clean_ids(lines)
 
 
