@@ -28,8 +28,12 @@ Stages = list[Estimator | Transformer]
 Fitter = Callable[[DataFrame, Sequence[str]], PipelineModel]
 
 
+# Fixed value: says that a label has two classes, so that a fit need not count them.
+TWO_CLASSES = {"ml_attr": {"type": "nominal", "name": LABEL, "vals": ["0.0", "1.0"]}}
+
+
 def _labelled(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(LABEL, F.col("target").cast("double"))
+    return rows.withColumn(LABEL, F.col("target").cast("double")).withMetadata(LABEL, TWO_CLASSES)
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
