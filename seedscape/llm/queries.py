@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedscape.llm import bpe, decontaminate, sharding, simhash, suffix_dedup, token_counts, topk
+from seedscape.llm import bpe, chat, decontaminate, pii, quality, sharding, simhash, suffix_dedup, token_counts, topk
 from seedscape.llm.common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -42,6 +42,36 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.pairs_by_last_reply(read_table(spark, sf_dir, "conversations"))
+    spans = lambda side: F.array_join(F.transform(f"{side}_trained", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return chat.format_preferences(pairs).select(
+        "conv_id",
+        "prompt_turns",
+        "prompt",
+        "chosen",
+        "rejected",
+        spans("chosen").alias("chosen_trained"),
+        spans("rejected").alias("rejected_trained"),
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "content_score", "metadata_score", "quality", "keep")
+
+
+#: A fixed key, so that runs can be compared. Whoever uses the operator brings a secret one.
+PSEUDONYM_KEY = b"example key of the test queries"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymize(docs, PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii.kind", ",").alias("kinds"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_windows(docs, read_table(spark, sf_dir, "benchmark"))
@@ -69,7 +99,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_simhash_near_dedup, op3_top_k_search, op4_token_counts, op5_bpe, op9_decontamination, op10_suffix_dedup)
+    for f in (
+        op1_sharding,
+        op2_simhash_near_dedup,
+        op3_top_k_search,
+        op4_token_counts,
+        op5_bpe,
+        op6_chat_formatting,
+        op7_quality_classifier,
+        op8_pii,
+        op9_decontamination,
+        op10_suffix_dedup,
+    )
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,7 +121,7 @@ ORACLES = {
     "op3_top_k_search": """
         WITH usable AS (
             SELECT vec_id, [CAST(floor(64 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
             FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
@@ -113,4 +154,24 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
         FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op6_chat_formatting": """
+        WITH turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p,
+                   replace(role, '<|', '< |') AS role, replace(text, '<|', '< |') AS text
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+        ), replies AS (
+            SELECT conv_id, max(p) FILTER (role = 'assistant') AS last, count(*) AS n, arg_min(text, p) FILTER (role = 'assistant') AS stale,
+                   arg_max(text, p) FILTER (role = 'assistant') AS reply FROM turns GROUP BY conv_id
+        ), prompts AS (
+            SELECT conv_id, string_agg('<|start|>' || role || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY p)
+                   FILTER (last IS NULL OR p < last) AS prompt
+            FROM turns JOIN replies USING (conv_id) GROUP BY conv_id
+        )
+        SELECT conv_id, CAST(coalesce(last - 1, n) AS INTEGER) AS prompt_turns, coalesce(prompt, '') AS prompt,
+               CASE WHEN last IS NULL THEN '' ELSE '<|start|>assistant' || chr(10) || reply || '<|end|>' || chr(10) END AS chosen,
+               CASE WHEN last IS NULL OR stale = reply THEN '' ELSE '<|start|>assistant' || chr(10) || stale || '<|end|>' || chr(10) END AS rejected,
+               CASE WHEN last IS NULL THEN '' ELSE '19-' || (27 + length(reply)) END AS chosen_trained,
+               CASE WHEN last IS NULL OR stale = reply THEN '' ELSE '19-' || (27 + length(stale)) END AS rejected_trained
+        FROM replies JOIN prompts USING (conv_id)
+    """,
 }
