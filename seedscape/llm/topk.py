@@ -33,18 +33,29 @@ def quantized(vector: Column, scale: int = 64) -> Column:
     return F.when(F.forall(cast, finite), F.transform(cast, lambda x: F.floor(F.lit(float(scale)) * x).cast("long")))
 
 
-def scatter_scores(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n_rows: int, kind) -> np.ndarray:
+def postings_of(block: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """Per dimension the rows that have a weight and their weights; the whole column where most rows have one."""
+    postings = []
+    for column in np.ascontiguousarray(block.T):
+        (rows,) = np.nonzero(column)
+        postings.append((rows, column[rows]) if len(rows) * 4 < len(column) else (None, column))
+    return postings
+
+
+def scatter_scores(queries: np.ndarray, postings: list[tuple[np.ndarray | None, np.ndarray]], n_rows: int) -> np.ndarray:
     """Scores of ``queries`` (rows) against ``n_rows`` stored vectors."""
-    scores = np.zeros((len(queries), n_rows), kind)
+    scores = np.zeros((len(queries), n_rows), queries.dtype)
+    gain = np.empty_like(scores)
     for d, (rows, weights) in enumerate(postings):
         (active,) = np.nonzero(queries[:, d])
-        if not len(rows) or not len(active):
+        if not len(weights) or not len(active):
             continue
-        gain = queries[active, d, None] * weights[None, :]
-        if len(rows) == n_rows and len(active) == len(queries):
-            scores += gain
+        if rows is not None:
+            scores[np.ix_(active, rows)] += queries[active, d, None] * weights
+        elif len(active) * 2 < len(queries):
+            scores[active] += queries[active, d, None] * weights
         else:
-            scores[np.ix_(active, rows)] += gain
+            scores += np.multiply(queries[:, d, None], weights, out=gain)
     return scores
 
 
@@ -52,18 +63,21 @@ def best_of(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np
     """Query and column numbers of the k highest scores of each row without the columns flagged in ``own``;
     equal scores go to the lower column."""
     n = scores.shape[1]
-    found = []
-    for q in range(len(scores)):
-        row = scores[q]
-        if n > k + own[q].sum():
-            usable = row if not own[q].any() else row[~own[q]]
-            least = np.partition(usable, len(usable) - k)[len(usable) - k]
-            columns = np.flatnonzero((row >= least) & ~own[q])
-        else:
-            columns = np.flatnonzero(~own[q])
-        order = np.lexsort((columns, ~row[columns]))[:k]
-        found.append(columns[order])
-    return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, np.int64)])
+    spare = k + int(own.sum(axis=1).max(initial=0))
+    if n > spare:
+        least = np.partition(scores, n - spare, axis=1)[:, n - spare]
+        q, column = np.nonzero((scores >= least[:, None]) & ~own)
+    else:
+        q, column = np.nonzero(~own)
+    keep = _first(k, q, column, scores[q, column])
+    return q[keep], column[keep]
+
+
+def _first(k: int, q: np.ndarray, place: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which entries are the first k of their query, by score and then by place, in this order."""
+    order = np.lexsort((place, ~score, q))
+    nth = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+    return order[nth < k]
 
 
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -111,29 +125,17 @@ def top_k(
         bound = int(np.abs(stored_rows).max(initial=0)) * int(np.abs(query_rows).max(initial=0)) * stored_rows.shape[1]
         kind = np.int32 if bound < 2**31 else np.int64
         stored_rows, query_rows = stored_rows.astype(kind), query_rows.astype(kind)
-        blocks = []
-        for at in range(0, len(ids), BLOCK_ROWS):
-            block = stored_rows[at : at + BLOCK_ROWS]
-            postings = []
-            for d in range(block.shape[1]):
-                (having,) = np.nonzero(block[:, d])
-                postings.append((having, np.ascontiguousarray(block[having, d])))
-            blocks.append((at, len(block), postings))
+        blocks = [(at, stored_rows[at : at + BLOCK_ROWS]) for at in range(0, len(ids), BLOCK_ROWS)]
+        blocks = [(at, len(block), postings_of(block)) for at, block in blocks]
         for first in range(0, len(query_ids), BLOCK_QUERIES):
             asking, asking_ids = query_rows[first : first + BLOCK_QUERIES], query_ids[first : first + BLOCK_QUERIES]
-            kept_q, kept_id, kept_score = [], [], []
+            parts = []
             for at, n, postings in blocks:
-                scores = scatter_scores(asking, postings, n, kind)
-                own = asking_ids[:, None] == ids[None, at : at + n]
-                q, column = best_of(scores, own, k)
-                kept_q.append(q)
-                kept_id.append(ids[at + column])
-                kept_score.append(scores[q, column].astype(np.int64))
-            q, found, score = map(np.concatenate, (kept_q, kept_id, kept_score))
-            order = np.lexsort((found, ~score, q))  # the blocks' lists merged: by query, best score, smaller id
-            q, found, score = q[order], found[order], score[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = place < k
+                scores = scatter_scores(asking, postings, n)
+                q, column = best_of(scores, asking_ids[:, None] == ids[None, at : at + n], k)
+                parts.append((q, ids[at + column], scores[q, column].astype(np.int64)))
+            q, found, score = map(np.concatenate, zip(*parts))
+            keep = _first(k, q, found, score)  # the blocks' lists merged
             yield pa.RecordBatch.from_arrays(
                 [pa.array(asking_ids[q[keep]]), pa.array(found[keep]), pa.array(score[keep])],
                 names=["query_id", "vec_id", "score"],
