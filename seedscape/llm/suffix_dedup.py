@@ -26,7 +26,7 @@ from seedscape.scratch import materialize
 #: String starts of one segment, at most; the hashed substrings are this much shorter than a string, less one.
 SPAN = 64
 #: Bytes hashed at a time, and bytes of one run-length index.
-HASH_BYTES, INDEX_BYTES = 1 << 20, 4 << 20
+HASH_BYTES, INDEX_BYTES = 1 << 20, 1 << 20
 #: Segments under one hash up to which they share an index. Beyond, their strings are dealt out one by one.
 GROUP = 8_192
 
