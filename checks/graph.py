@@ -128,7 +128,7 @@ def candidates_of_all_splits(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     WITH lists AS (SELECT p_brand AS review_id, s AS split_seed, 'p' || CAST(p_partkey AS STRING) AS id,
                           row_number() OVER (PARTITION BY p_brand, s ORDER BY md5(CAST(s AS STRING) || ':p' || CAST(p_partkey AS STRING))) <= 3 AS is_seed
-                   FROM {part}, unnest([1, 2]) AS seeds(s)),
+                   FROM {part}, unnest([1, 2, 3, 4, 5]) AS seeds(s)),
     one AS (SELECT DISTINCT review_id, split_seed, unnest([c.id, cited_id]) AS id FROM lists l JOIN {citations} c ON l.id = c.cited_id WHERE is_seed),
     two AS (SELECT review_id, split_seed, unnest([c.id, cited_id]) AS id FROM one JOIN {citations} c ON one.id = c.id
             UNION SELECT review_id, split_seed, unnest([c.id, cited_id]) FROM one JOIN {citations} c ON one.id = c.cited_id),
@@ -136,9 +136,9 @@ def candidates_of_all_splits(spark: SparkSession, sf: str) -> DataFrame:
              UNION ALL SELECT review_id, split_seed, 'candidate', id FROM two)
     SELECT review_id, CAST(split_seed AS INT) AS split_seed, paper_set, count(*) AS n FROM sets JOIN {known_papers} USING (id) GROUP BY ALL""")
 def collected_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Two splits of each of many ID lists, collected together and stored by run."""
+    """Five splits of each of many ID lists, collected together and stored by run."""
     lists = view(spark, sf, "part").select(F.col("p_brand").alias("review_id"), F.concat(F.lit("p"), "p_partkey").alias("id"))
     folder = new_path(spark, "lists")
-    collect_lists(lists, view(spark, sf, "papers"), view(spark, sf, "citations"), 3, folder, (1, 2))
+    collect_lists(lists, view(spark, sf, "papers"), view(spark, sf, "citations"), 3, folder)
     stored = spark.read.parquet(f"{folder}/papers.parquet")
     return stored.groupBy("review_id", "split_seed", "paper_set").agg(F.count("*").alias("n"))

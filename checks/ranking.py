@@ -112,7 +112,7 @@ def no_skill(spark: SparkSession, sf: str) -> DataFrame:
     WITH looked AS (SELECT *, lead(n) OVER w AS next_n, lead(pos) OVER w AS next_pos FROM {run_steps}
                     WINDOW w AS (PARTITION BY run_id ORDER BY step))
     SELECT run_id, round(score, 6) AS threshold, round((seen - tp) / (seen_total - tp_total), 6) AS fpr, round(tp / tp_total, 6) AS tpr
-    FROM looked WHERE next_n IS NULL OR next_n <> n OR next_pos <> pos
+    FROM looked WHERE step = 1 OR next_n IS NULL OR next_n <> n OR next_pos <> pos
     UNION ALL SELECT run_id, round(score + 1, 6), 0.0, 0.0 FROM {run_steps} WHERE step = 1""")
 def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ranking.roc_curve(_run_steps(spark, sf), RUN))

@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def _stirling_rest(x: float) -> float:
+    """What Stirling's formula for lgamma(x) leaves out, for large x."""
+    return (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+
+
+def _log_beta(a: float, b: float) -> float:
+    """Logarithm of the beta function; large arguments do not cancel each other."""
+    small, large = min(a, b), max(a, b)
+    if large < 50:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    rest = _stirling_rest(large) - _stirling_rest(a + b)
+    gained = (large - 0.5) * math.log1p(small / large) + small * math.log(a + b) - small
+    return math.lgamma(small) - gained + rest
+
+
 def _beta_tail(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
     if math.isnan(x):
@@ -21,12 +36,10 @@ def _beta_tail(x: float, a: float, b: float) -> float:
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - _beta_tail(1.0 - x, b, a)
     tiny = 1e-300
-    scale = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    scale = math.exp(a * math.log(x) + b * math.log1p(-x) - _log_beta(a, b))
     c, d = 1.0, 1.0 / ((1.0 - (a + b) * x / (a + 1.0)) or tiny)
     value = d
-    for m in range(1, 10_000):
+    for m in range(1, 100_000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         change = 1.0
@@ -35,9 +48,9 @@ def _beta_tail(x: float, a: float, b: float) -> float:
             c = (1.0 + term / c) or tiny
             change = c * d
             value *= change
-        if abs(change - 1.0) < 1e-15:
-            break
-    return scale * value / a
+        if abs(change - 1.0) < 4e-16:
+            return scale * value / a
+    return math.nan  # not converged
 
 
 def f_tail_value(f: float, df1: float, df2: float) -> float:
@@ -48,14 +61,18 @@ def t_two_sided_value(t: float, df: float) -> float:
     return _beta_tail(df / (df + t * t), df / 2.0, 0.5)
 
 
+def _known(value: float) -> float | None:
+    return None if math.isnan(value) else value
+
+
 @F.pandas_udf(DoubleType())
 def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return pd.Series([f_tail_value(*row) for row in zip(f, df1, df2)], dtype="float64")
+    return pd.Series([_known(f_tail_value(*row)) for row in zip(f, df1, df2)], dtype="Float64")
 
 
 @F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_value(*row) for row in zip(t, df)], dtype="float64")
+    return pd.Series([_known(t_two_sided_value(*row)) for row in zip(t, df)], dtype="Float64")
 
 
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:

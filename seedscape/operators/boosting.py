@@ -1,71 +1,95 @@
 """AdaBoost over one-split trees, real-valued form.
 
-MLlib has no AdaBoost. Each round fits an ordinary weighted MLlib tree of depth 1
-and reads the weighted share of targets in its two leaves from one aggregate. The
-result is a plain pipeline model: the trees, then a SQL stage that adds up the
-leaf values, so saving, loading and scoring need nothing special.
+MLlib has no AdaBoost. A stump only asks on which side of a threshold a value lies, so
+the training rows are first counted in cells: equal bins of every feature and equal
+label. All rows of a cell keep equal weights through all rounds. A round then is one
+sum of the cells' weights per feature and bin. The result is a plain pipeline model,
+with one SQL stage that adds up the leaf values per feature, so saving, loading and
+scoring need nothing special however many rounds there were.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedscape.operators.features import assembler
-from seedscape.scratch import materialize
-
 # Fixed value: leaf shares are kept this far away from 0 and 1.
 EPSILON = 2.220446049250313e-16
+#: Bins of a feature, and cells that may come to the driver; with more features the bins become fewer.
+MAX_BINS, MAX_CELLS = 64, 1 << 18
+
+
+def _leaf_values(pos: np.ndarray, total: np.ndarray) -> np.ndarray:
+    share = np.clip(pos / np.maximum(total, EPSILON), EPSILON, 1.0 - EPSILON)
+    return 0.5 * (np.log(share) - np.log(1.0 - share))
+
+
+def bin_edges(train: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Inner edges of about equally full bins; a value on an edge lies below it."""
+    cuts = [i / bins for i in range(1, bins)]
+    found = train.select(*[F.percentile_approx(F.col(f).cast("double"), cuts, 10_000).alias(f) for f in features]).first()
+    return {f: sorted(set(found[f] or [])) for f in features}
+
 
+def _bin(feature: str, edges: Sequence[float]):
+    number = F.lit(0)
+    for edge in edges:
+        number = number + (F.col(feature) > edge).cast("int")
+    return number
 
-def _leaf_value(pos: float, total: float) -> float:
-    share = min(max(pos / total, EPSILON), 1.0 - EPSILON)
-    return 0.5 * (math.log(share) - math.log(1.0 - share))
-
-
-def fit_boosted(
-    train: DataFrame, features: Sequence[str], rounds: int = 50, seed: int = 999, write_every: int = 10
-) -> PipelineModel:
-    """Fit up to ``rounds`` stumps; stops early when one of them makes no error."""
-    vectors = assembler(features)
-    rows = vectors.transform(train).select("features", "label", F.lit(1.0).alias("w"))
-    rows = materialize(rows, "boosting")
-    stages, values = [vectors], []
-    for i in range(rounds):
-        leaf = f"leaf_{i}"
-        tree = DecisionTreeClassifier(
-            featuresCol="features",
-            labelCol="label",
-            weightCol="w",
-            maxDepth=1,
-            seed=seed + i,
-            leafCol=leaf,
-            predictionCol=f"prediction_{i}",
-            probabilityCol=f"probability_{i}",
-            rawPredictionCol=f"raw_{i}",
-        ).fit(rows)
-        placed = tree.transform(rows).select("features", "label", "w", leaf)
-        sides = placed.groupBy(leaf).agg(F.sum(F.col("w") * F.col("label")).alias("pos"), F.sum("w").alias("total"))
-        leaves = sides.collect()
-        stages.append(tree)
-        values.append({int(s[leaf]): _leaf_value(s["pos"], s["total"]) for s in leaves})
-        if sum(min(s["pos"], s["total"] - s["pos"]) for s in leaves) <= 0:
+
+def best_stump(weight: np.ndarray, label: np.ndarray, bins: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """The feature and its last bin on the low side with the least impurity, and the values of both leaves.
+    ``bins`` has a row of bin numbers per feature."""
+    best = (np.inf, 0, 0, np.zeros(2))
+    for f, own in enumerate(bins):
+        n = int(own.max()) + 1
+        total, pos = np.cumsum(np.bincount(own, weight, n)), np.cumsum(np.bincount(own, weight * label, n))
+        sides = np.stack([total[:-1], total[-1] - total[:-1]]), np.stack([pos[:-1], pos[-1] - pos[:-1]])
+        if n < 2:
+            sides = np.array([[total[-1]], [0.0]]), np.array([[pos[-1]], [0.0]])
+        gini = (sides[1] * (sides[0] - sides[1]) / np.maximum(sides[0], EPSILON)).sum(axis=0)
+        at = int(np.argmin(gini))
+        if gini[at] < best[0] - 1e-15:
+            best = (gini[at], f, at, _leaf_values(sides[1][:, at], sides[0][:, at]))
+    return best[1], best[2], best[3]
+
+
+def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 500) -> PipelineModel:
+    """Fit up to ``rounds`` stumps; stops early when one of them makes no error.
+
+    Rows with a null feature count as below all edges.
+    """
+    per_feature = max(2, min(MAX_BINS, int(MAX_CELLS ** (1 / max(1, len(features))))))
+    edges = bin_edges(train, features, per_feature)
+    binned = [F.coalesce(_bin(f, edges[f]), F.lit(0)).alias(f"bin_{i}") for i, f in enumerate(features)]
+    cells = train.select("label", *binned).groupBy("label", *[f"bin_{i}" for i in range(len(features))]).agg(F.count("*").alias("n"))
+    cells = cells.orderBy("label", *[f"bin_{i}" for i in range(len(features))]).toPandas()  # at most bins ^ features * 2 rows
+    label, weight = cells["label"].to_numpy(), cells["n"].to_numpy(float)
+    bins = cells[[f"bin_{i}" for i in range(len(features))]].to_numpy().T
+    values = {f: np.zeros(len(edges[f]) + 1) for f in features}
+    done = 0
+    while done < rounds and len(cells):
+        weight = weight / weight.sum()
+        f, at, (low, high) = best_stump(weight, label, bins)
+        values[features[f]] += np.where(np.arange(len(values[features[f]])) <= at, low, high)
+        done += 1
+        leaf = bins[f] <= at
+        error = sum(min((weight * label)[side].sum(), (weight * (1 - label))[side].sum()) for side in (leaf, ~leaf))
+        if error <= 0:
             break
-        mass = sum(s["total"] for s in leaves)
-        value = F.when(F.col(leaf) == 0, F.lit(values[-1].get(0, 0.0))).otherwise(F.lit(values[-1].get(1, 0.0)))
-        sign = 2.0 * F.col("label") - 1.0
-        rows = placed.withColumn("w", F.col("w") / mass * F.exp(-sign * value)).drop(leaf)
-        if (i + 1) % write_every == 0 and i + 1 < rounds:
-            rows = materialize(rows, "boosting")
-    terms = [f"CASE WHEN leaf_{i} = 0 THEN {v.get(0, 0.0)!r}D ELSE {v.get(1, 0.0)!r}D END" for i, v in enumerate(values)]
-    total = " + ".join(terms)
-    stages.append(
-        SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-2 * ({total}) / {len(values)})) AS boosted_score FROM __THIS__")
-    )
-    return PipelineModel(stages=stages)
+        weight = weight * np.exp(-(2 * label - 1) * np.where(leaf, low, high))
+    terms = [_sum_of_leaves(f, edges[f], values[f] / max(done, 1)) for f in features]
+    total = " + ".join(terms) or "0.0D"
+    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-2 * ({total}))) AS boosted_score FROM __THIS__")])
+
+
+def _sum_of_leaves(feature: str, edges: Sequence[float], values: np.ndarray) -> str:
+    """What the stumps on a feature add up to, by the bin that its value lies in."""
+    cases = [f"WHEN `{feature}` > {float(edge)!r}D THEN {float(value)!r}D" for edge, value in reversed(list(zip(edges, values[1:])))]
+    return f"CASE {' '.join(cases)} ELSE {float(values[0])!r}D END" if cases else f"{float(values[0])!r}D"

@@ -65,7 +65,7 @@ def logistic(penalty: str = "l2", balanced: bool = False) -> Fitter:
     return fit
 
 
-def forest(trees: int, impurity: str = "gini", max_depth: int = 12, seed: int = 999) -> Fitter:
+def forest(trees: int, impurity: str = "gini", max_depth: int = 30, seed: int = 999) -> Fitter:
     def fit(train: DataFrame, features: Sequence[str]) -> PipelineModel:
         model = RandomForestClassifier(
             featuresCol=FEATURES,
@@ -108,14 +108,14 @@ def gaussian_bayes() -> Fitter:
     return fit
 
 
-def boosted(rounds: int = 50, seed: int = 999) -> Fitter:
+def boosted(rounds: int = 500) -> Fitter:
     def fit(train: DataFrame, features: Sequence[str]) -> PipelineModel:
-        return fit_boosted(_labelled(train), features, rounds, seed)
+        return fit_boosted(_labelled(train), features, rounds)
 
     return fit
 
 
-def default_classifiers(rounds: int = 50) -> dict[str, Fitter]:
+def default_classifiers(rounds: int = 500) -> dict[str, Fitter]:
     """The classifiers a run tries, in order."""
     return {
         "logistic": logistic(),

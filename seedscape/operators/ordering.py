@@ -8,6 +8,8 @@ alone, and the totals of the slices before it are added.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +32,7 @@ def running_totals(
 
     ``order`` must be a total order within a group for the result to be unique.
     The running total of ``x`` includes the row itself and is named ``x``; the
-    group's total is ``x_total``. The ``by`` columns must not be null.
+    group's total is ``x_total``. Rows with a null key form a group of their own.
 
     Slices come from a range shuffle over the keys and the order, which also splits
     a group that holds most of the rows. A range shuffle samples its borders, so
@@ -58,7 +60,9 @@ def running_totals(
         *[F.sum(f"_{name}").over(group).alias("n_rows" if name == "rank" else f"{name}_total") for name in amounts],
     )
     here = W.partitionBy(*by, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = sliced.join(offsets, [*by, SLICE]).withColumns(
+    keys = {k: f"_of_{k}" for k in (*by, SLICE)}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(of)) for k, of in keys.items()])
+    placed = sliced.join(offsets.withColumnsRenamed(keys), same).drop(*keys.values()).withColumns(
         {name: F.col(f"_{name}_before") + F.sum(f"_{name}").over(here) for name in amounts}
     )
     return placed.drop(SLICE, *[f"_{name}" for name in amounts], *[f"_{name}_before" for name in amounts])
@@ -71,11 +75,12 @@ def hash_rank(
 
     The leading digits of the hash cut the rows into even slices that need no
     sampling, so nothing is written and no task sees more than its share. ``seed``
-    may be a column, for runs that each have their own.
+    may be a column, for runs that each have their own. Rows without an ID or seed
+    come first, in a slice of their own.
     """
     salt = (seed if isinstance(seed, Column) else F.lit(seed)).cast("string")
     hashed = rows.withColumn("_hash", F.md5(F.concat(salt, F.lit(":"), F.col(id_col).cast("string"))))
     leading = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
-    slices = F.shiftright(leading * n_slices, 32).cast("int")
+    slices = F.coalesce(F.shiftright(leading * n_slices, 32).cast("int"), F.lit(-1))
     ranked = running_totals(hashed, [F.col("_hash"), F.col(id_col)], by=by, slice_by=slices)
     return ranked.drop("_hash")

@@ -134,13 +134,14 @@ def roc_curve(steps: DataFrame, by: Sequence[str] = (), drop_intermediate: bool
     """False and true positive rate per distinct score, from (0, 0).
 
     Points inside a straight stretch are left out unless asked for; a point is such
-    a point when the next step gains exactly what its own step gained.
+    a point when the next step gains exactly what its own step gained. The first and
+    the last score always stay, and with two scores nothing is left out.
     """
     fp, fp_total = F.col("seen") - F.col("tp"), F.col("seen_total") - F.col("tp_total")
     points = steps
     if drop_intermediate:
         following = steps.select(*by, (F.col("step") - 1).alias("step"), F.col("n").alias("_n"), F.col("pos").alias("_pos"))
-        straight = (F.col("_n") == F.col("n")) & (F.col("_pos") == F.col("pos"))
+        straight = (F.col("_n") == F.col("n")) & (F.col("_pos") == F.col("pos")) & (F.col("step") > 1)
         points = steps.join(following, [*by, "step"], "left").where(~F.coalesce(straight, F.lit(False)))
     rated = points.select(
         *by,

@@ -24,7 +24,7 @@ def anova(rows: DataFrame, key: str, score: str) -> DataFrame:
     """F statistic, its degrees of freedom and p."""
     moments = group_moments(rows, key, score)
     n, mean = F.col("n"), F.col("mean")
-    grand = moments.agg(F.sum(n * mean) / F.sum(n)).scalar()
+    grand = moments.agg(F.try_divide(F.sum(n * mean), F.sum(n))).scalar()
     parts = moments.withColumn("_grand", grand).agg(
         (F.count("*") - 1).alias("df_between"),
         (F.sum(n) - F.count("*")).alias("df_within"),
@@ -40,15 +40,21 @@ def anova(rows: DataFrame, key: str, score: str) -> DataFrame:
 def pairwise_t_tests(
     rows: DataFrame, key: str, score: str, without: Sequence[str] = ("Other",), level: float = 0.05
 ) -> DataFrame:
-    """t-test of every two groups with pooled variance, judged at ``level`` over the number of tests."""
+    """t-test of every two groups with pooled variance, judged at ``level`` over the number of tests.
+
+    t, p and the judgement are null where they are not defined: two groups of one row, or without
+    variance. The output grows with the square of the number of groups, which is its purpose; the
+    groups are dealt over tasks, so that no task meets more than its share of the pairs.
+    """
     moments = group_moments(rows, key, score).where(~F.col(key).isin(*without))
     a = moments.select(*[F.col(c).alias(f"{c}_a") for c in moments.columns])
     b = moments.select(*[F.col(c).alias(f"{c}_b") for c in moments.columns])
     n_groups = moments.agg(F.count("*")).scalar()
-    pairs = a.join(b, F.col(f"{key}_a") < F.col(f"{key}_b"))
+    pairs = a.repartition(f"{key}_a").join(b, F.col(f"{key}_a") < F.col(f"{key}_b"))
     df = F.col("n_a") + F.col("n_b") - 2
-    pooled = ((F.col("n_a") - 1) * F.col("variance_a") + (F.col("n_b") - 1) * F.col("variance_b")) / df
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(pooled * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    spread = (F.col("n_a") - 1) * F.col("variance_a") + (F.col("n_b") - 1) * F.col("variance_b")
+    error = F.sqrt(F.try_divide(spread, df) * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    t = F.try_divide(F.col("mean_a") - F.col("mean_b"), error)
     tested = pairs.select(
         F.col(f"{key}_a").alias("group_a"), F.col(f"{key}_b").alias("group_b"), t.alias("t"), df.alias("df")
     ).withColumn("_groups", n_groups)

@@ -28,13 +28,23 @@ def candidates_and_seeds(
 def term_counts(texts: DataFrame, keys: Sequence[str] = ("id",), text_col: str = "title") -> DataFrame:
     """``(keys, term, tf)`` of every text.
 
-    Texts are placed by their own key, so the counting after the explode needs no
-    second shuffle of the much longer term list.
+    A text is one row, so its terms are counted in the row: in sorted order, the
+    count of a term is the distance between the starts of two runs. Nothing is
+    shuffled. Rows that repeat their keys are counted each for itself.
     """
-    placed = texts.select(*keys, text_col).repartition(*keys)
-    return placed.select(*keys, F.explode(terms(F.col(text_col))).alias("term")).groupBy(*keys, "term").agg(
-        F.count("*").alias("tf")
+    ordered = texts.select(*keys, F.array_sort(terms(F.col(text_col))).alias("_terms"))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("_terms") - 1), lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1))
     )
+    found = ordered.where(F.size("_terms") > 0).withColumn("_starts", starts)
+    runs = F.transform(
+        "_starts",
+        lambda start, i: F.struct(
+            F.get("_terms", start).alias("term"),
+            (F.coalesce(F.get("_starts", i + 1), F.size("_terms")) - start).cast("long").alias("tf"),
+        ),
+    )
+    return found.select(*keys, F.inline(runs))
 
 
 def vocabulary(counts: DataFrame, n_texts: DataFrame, by: Sequence[str] = (), min_df: int = 1) -> DataFrame:

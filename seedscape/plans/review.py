@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,22 +10,24 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedscape.operators.classifiers import Fitter, default_classifiers, logistic, predict_ranks, score_rows, select_model
-from seedscape.operators.features import DEFAULT_FEATURES, default_features
+from seedscape.operators.classifiers import Fitter, default_classifiers, logistic, score_rows, select_model
+from seedscape.operators.features import Feature, default_feature_set, with_features
 from seedscape.operators.graph import attach_papers, expand
 from seedscape.operators.prep import drop_unclustered, prepare_candidates
 from seedscape.operators.ranking import (
     aggregate_rankings,
     average_precision_as_ranked,
+    evaluate_runs,
     metric_ladder,
     r_precision,
     rank_candidates,
 )
 from seedscape.operators.sampling import split_seeds, split_train
+from seedscape.operators.summary import best_per_key
 from seedscape.scratch import materialize
-from seedscape.sources.readers import read_paper_sets
+from seedscape.sources.readers import find_model, only_paper_info, read_paper_sets
 from seedscape.sources.runs import RUN_KEYS, collect_pending
-from seedscape.sources.writers import save_model, save_paper_set, write_new, write_predictions
+from seedscape.sources.writers import append_log, save_model, save_paper_set, write_new, write_predictions
 
 
 @dataclass(frozen=True)
@@ -63,42 +66,79 @@ class TrainedReview:
     model: PipelineModel
     name: str
     metrics: DataFrame
+    ladder: DataFrame
+    record: DataFrame
     candidates: DataFrame
     predictions: DataFrame
 
 
+# The columns of an experiment record, beside ID and time of the run.
+RECORD = (
+    "clf, num_seed_papers, num_target_papers, num_target_in_candidates, num_candidates, num_correctly_predicted, "
+    "score_correctly_predicted, features, time_fit, time_predict"
+).split(", ")
+
+
+def _experiment_record(metrics: DataFrame, counts: Mapping[str, int], features: Sequence[str], times: Mapping[str, float], predict: float) -> DataFrame:
+    """One row per fit: sizes of the sets, hits and their share, features and seconds. Ranking is one job for all fits."""
+    spent = metrics.sparkSession.createDataFrame(list(times.items()), "clf string, time_fit double")
+    rows = metrics.join(F.broadcast(spent), "clf").withColumnRenamed("r_precision", "score_correctly_predicted")
+    rows = rows.withColumns({name: F.lit(n).cast("long") for name, n in counts.items()})
+    return rows.withColumns({"features": F.lit(",".join(features)), "time_predict": F.lit(predict / len(times))}).select(*RECORD)
+
+
 def train_models(
     sets: PaperSets,
     year: int | None = None,
     classifiers: Mapping[str, Fitter] | None = None,
-    features: Sequence[str] = DEFAULT_FEATURES,
+    features: Mapping[str, Feature] | None = None,
     title_col: str = "title",
     seed: int = 999,
 ) -> TrainedReview:
     """Try each classifier and rank all candidates with the one that finds most targets.
 
-    Features are computed once over candidates and seeds, written, and shared by
-    all fits. The scores of all classifiers are ranked in one job.
+    ``features`` are named functions of candidates and seeds, the three default ones unless
+    given. They are computed once from the written candidates and shared by all fits. The
+    scores of all classifiers are ranked in one job, which also gives the predictions.
     """
     classifiers = classifiers or default_classifiers()
-    prepared = prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, title_col)
-    prepared = materialize(split_train(prepared, seed), "prepared")
-    titles = "title_similarity" in features
-    candidates = materialize(default_features(prepared, sets.seeds, title_col=title_col, titles=titles), "features")
+    features = features or default_feature_set(title_col)
+    prepared = materialize(prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, title_col), "prepared")
+    prepared = materialize(split_train(prepared, seed), "split")
+    candidates = materialize(with_features(prepared, sets.seeds, features), "features")
     train = candidates.where("is_train")
-    models = {name: fit(train, features) for name, fit in classifiers.items()}
-    scored = None
-    for position, (name, model) in enumerate(models.items()):
-        part = score_rows(model, candidates).withColumns({"clf": F.lit(name), "position": F.lit(position)})
+    models, times, scored = {}, {}, None
+    for position, (name, fit) in enumerate(classifiers.items()):
+        begun = time.perf_counter()
+        models[name] = fit(train, list(features))
+        times[name] = time.perf_counter() - begun
+        part = score_rows(models[name], candidates).withColumns({"clf": F.lit(name), "position": F.lit(position)})
         scored = part if scored is None else scored.unionByName(part)
     num_targets = sets.targets.select("id").distinct().count()
+    begun = time.perf_counter()
     ranked = materialize(rank_candidates(scored, ["clf", "position"]), "ranked")
+    predict = time.perf_counter() - begun
     key = ["clf", "position"]
     metrics = materialize(
         r_precision(ranked, num_targets, key).join(average_precision_as_ranked(ranked, num_targets, key), key), "metrics"
     )
     best = select_model(metrics).first()["clf"]
-    return TrainedReview(models[best], best, metrics, candidates, predict_ranks(models[best], candidates))
+    counts = {
+        "num_seed_papers": sets.seeds.count(),
+        "num_target_in_candidates": candidates.where("target").count(),
+        "num_candidates": candidates.count(),
+    }
+    own = ranked.where(F.col("clf") == best).select("id", F.col("score").alias("pred_ranks"))
+    predictions = materialize(candidates.join(own, "id"), "predictions")
+    return TrainedReview(
+        models[best],
+        best,
+        metrics,
+        metric_ladder(ranked, num_targets, key),
+        _experiment_record(metrics, counts, list(features), times, predict),
+        candidates,
+        predictions.orderBy(F.col("pred_ranks").desc(), "id"),
+    )
 
 
 def collect_splits(
@@ -153,6 +193,7 @@ def rank_over_splits(
     classifier: Fitter | None = None,
     year: int | None = None,
     degrees: int = 2,
+    features: Mapping[str, Feature] | None = None,
 ) -> DataFrame:
     """Repeat the split, rank the candidates of each, and average score and rank per paper, best mean rank first.
 
@@ -162,13 +203,14 @@ def rank_over_splits(
     by = ["split_seed"]
     classifier = classifier or logistic()
     sets = collect_splits(id_list, papers, edges, sample_size, split_seeds, degrees)
-    prepared = prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, by=by)
-    prepared = materialize(split_train(prepared, F.col("split_seed"), by), "prepared")
-    candidates = materialize(default_features(prepared, sets.seeds, by), "features")
+    features = features or default_feature_set()
+    prepared = materialize(prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, by=by), "prepared")
+    prepared = materialize(split_train(prepared, F.col("split_seed"), by), "split")
+    candidates = materialize(with_features(prepared, sets.seeds, features, by), "features")
     scored = None
     for number in split_seeds:
         own = candidates.where(F.col("split_seed") == number)
-        part = score_rows(classifier(own.where("is_train"), DEFAULT_FEATURES), own, ["split_seed", "id", "target"])
+        part = score_rows(classifier(own.where("is_train"), list(features)), own, ["split_seed", "id", "target"])
         scored = part if scored is None else scored.unionByName(part)
     return aggregate_rankings(rank_candidates(scored, by)).orderBy("mean_rank", "id")
 
@@ -189,13 +231,25 @@ def run_review(
     seed: int = 999,
     year: int | None = None,
     classifiers: Mapping[str, Fitter] | None = None,
+    features: Mapping[str, Feature] | None = None,
+    info: DataFrame | None = None,
 ) -> TrainedReview:
-    """Collect, save, train, and write the model and its predictions below ``folder``."""
+    """Collect, save, train, and write the model and its predictions below ``folder``.
+
+    ``info`` is the one record of the review itself; its year is used unless one is given.
+    """
     sets = collect_papers(id_list, papers, edges, sample_size, seed)
     save_paper_set(sets.seeds, folder, "seed_papers")
     save_paper_set(sets.targets, folder, "target_papers")
     save_paper_set(sets.candidates, folder, "test_papers")
-    return train_saved(spark, folder, year, classifiers, seed)
+    if info is not None and year is None:
+        year = year_of_info(info)
+    return train_saved(spark, folder, year, classifiers, seed, features)
+
+
+def year_of_info(info: DataFrame) -> int | None:
+    """The year of a review's own record."""
+    return only_paper_info(info, F.lit(True)).first()["year"]
 
 
 def train_saved(
@@ -204,12 +258,50 @@ def train_saved(
     year: int | None = None,
     classifiers: Mapping[str, Fitter] | None = None,
     seed: int = 999,
+    features: Mapping[str, Feature] | None = None,
 ) -> TrainedReview:
-    """Train on paper sets saved before and write model, metrics and predictions beside them."""
+    """Train on paper sets saved before and write model, metrics, ladder, experiment record and predictions beside them."""
     saved = read_paper_sets(spark, folder)
     sets = PaperSets(saved["seed_papers"], saved["target_papers"], saved["test_papers"])
-    trained = train_models(sets, year, classifiers, seed=seed)
+    trained = train_models(sets, year, classifiers, features, seed=seed)
     save_model(trained.model, f"{folder}/best_model")
     write_new(trained.metrics, f"{folder}/metrics.parquet")
+    write_new(trained.ladder, f"{folder}/ladder.parquet")
+    append_log(trained.record, f"{folder}/experiments.parquet")
     write_predictions(trained.predictions, folder)
     return trained
+
+
+def evaluate_saved(
+    spark: SparkSession,
+    runs: DataFrame,
+    key: Sequence[str],
+    score: str,
+    features: Mapping[str, Feature] | None = None,
+    year: int | None = None,
+) -> DataFrame:
+    """Score the saved candidates of the best run per key with its saved model, one row per run.
+
+    ``runs`` is a log with ``id``, ``key``, ``score``, ``datadir`` (the folder of :func:`run_review`) and
+    ``clf``. A run whose folder holds no model gives nulls. The models follow one another, their
+    evaluation is one job. The list of runs, a row per fit, comes to the driver.
+    """
+    best = materialize(best_per_key(runs, list(key), score), "runs")
+    features = features or default_feature_set()
+    scored = None
+    for run in best.select("id", "datadir").collect():
+        model = find_model(f"{run['datadir']}/best_model")
+        if model is None:
+            continue
+        saved = read_paper_sets(spark, run["datadir"])
+        sets = [saved[name] for name in ("test_papers", "seed_papers", "target_papers")]
+        prepared = materialize(prepare_candidates(*sets, year), "prepared")
+        own = score_rows(model, with_features(prepared, saved["seed_papers"], features)).select(
+            F.lit(run["id"]).cast(best.schema["id"].dataType).alias("run_id"), "id", "target", "score"
+        )
+        scored = own if scored is None else scored.unionByName(own)
+    named = best.select(F.col("id").alias("run_id"), *key, "datadir", F.col("clf").alias("classifier_str"))
+    if scored is None:
+        scored = named.select("run_id", F.lit("").alias("id"), F.lit(False).alias("target"), F.lit(0.0).alias("score")).limit(0)
+    evaluated = evaluate_runs(named, materialize(scored, "scored"), ["run_id"])
+    return evaluated.withColumn("classifier_str", F.when(F.col("num_candidates").isNotNull(), F.col("classifier_str")))

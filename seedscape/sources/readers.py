@@ -92,7 +92,7 @@ def only_paper_info(info: DataFrame, condition: Column) -> DataFrame:
     """The one record that meets the condition; fails unless it is exactly one."""
     found = info.where(condition)
     if len(found.take(2)) != 1:
-        raise RuntimeError("failed to find paper info")
+        raise RuntimeError("expected exactly one record for the paper, but there is none or more than one")
     return found
 
 
@@ -111,3 +111,11 @@ def read_paper_sets(
 
 def read_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def find_model(path: str) -> PipelineModel | None:
+    """The model saved at ``path``, or None if there is no such folder."""
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return read_model(path) if there else None

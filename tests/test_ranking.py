@@ -46,7 +46,9 @@ def test_curve_ends_when_all_targets_are_found(spark):
 def test_roc_drops_points_inside_straight_stretches(spark):
     steps = ranking.score_steps(scored(spark, [True, True, True, False, False]))
     kept = sorted((r["fpr"], r["tpr"]) for r in ranking.roc_curve(steps).collect())
-    assert kept == [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]
+    assert kept == [(0.0, 0.0), (0.0, pytest.approx(1 / 3)), (0.0, 1.0), (1.0, 1.0)]
+    two = ranking.score_steps(scored(spark, [True, False], [0.9, 0.1]))
+    assert ranking.roc_curve(two).count() == 3
     assert ranking.roc_curve(steps, drop_intermediate=False).count() == 6
 
 

@@ -18,4 +18,4 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) == set(QUERIES)
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) >= set(QUERIES)

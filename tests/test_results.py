@@ -104,7 +104,7 @@ def test_exactly_one_info_record(spark):
     info = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, t string")
     assert readers.only_paper_info(info, info["id"] == 2).first()["t"] == "c"
     for wrong in (1, 3):
-        with pytest.raises(RuntimeError, match="paper info"):
+        with pytest.raises(RuntimeError, match="exactly one record"):
             readers.only_paper_info(info, info["id"] == wrong)
 
 
