@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import paper_sets, prefix_sql, query, rounded, seed_ids, tokens_sql, union_all, view
 from seedscape.functions import paths
-from seedscape.functions.text import contains_word, terms, text_from_positions
+from seedscape.functions.text import contains_word, terms, text_from_json, text_from_positions
 from seedscape.operators import clusters, features, similarity
 from seedscape.operators.graph import attach_papers
 from seedscape.operators.matching import meta_clusters
@@ -203,6 +203,24 @@ def rebuilt_texts(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("id", F.md5(F.array_join(text_from_positions(F.col("index")), " ")).alias("digest"))
 
 
+@query("SELECT doc_id AS id, md5(array_to_string(" + tokens_sql() + ", ' ')) AS digest FROM {documents} WHERE len(" + tokens_sql() + ") > 0")
+def texts_from_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with each index stored as a JSON record."""
+    words = view(spark, sf, "texts").select("id", F.posexplode(terms(F.col("text"))).alias("at", "word"))
+    spots = words.groupBy("id", "word").agg(F.sort_array(F.collect_list("at")).alias("spots"))
+    index = spots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "spots"))).alias("InvertedIndex"))
+    record = F.to_json(F.struct(F.size("InvertedIndex").alias("IndexLength"), "InvertedIndex"))
+    return index.select("id", F.md5(F.array_join(text_from_json(record), " ")).alias("digest"))
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total
+          FROM {events} GROUP BY event_type""")
+def event_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """A value inside JSON strings, per type of event."""
+    read = view(spark, sf, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    return read.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
 @query("SELECT id, is_seed FROM {all_texts}")
 def texts_with_seeds_appended(spark: SparkSession, sf: str) -> DataFrame:
     both = similarity.candidates_and_seeds(view(spark, sf, "text_candidates"), view(spark, sf, "text_seeds"), text_col="text")

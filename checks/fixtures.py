@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from seedscape.operators.ordering import running_totals
 from seedscape.operators.sampling import split_seeds
 from seedscape.operators.similarity import title_similarity
 from seedscape.plans.review import PaperSets, collect_papers
+from seedscape.scratch import materialize
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -273,3 +275,10 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
+
+
+def places_in_files(written: DataFrame) -> DataFrame:
+    """Rows of numbered part files with their ``place`` over all of them, from 1."""
+    rows = written.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.monotonically_increasing_id()})
+    ranked = running_totals(materialize(rows, "rows"), [F.col("_file"), F.col("_at")])
+    return ranked.withColumnRenamed("rank", "place").drop("_file", "_at", "n_rows")

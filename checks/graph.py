@@ -62,6 +62,12 @@ def references_of_paper(spark: SparkSession, sf: str) -> DataFrame:
     return graph.references_of(view(spark, sf, "citations"), "o42")
 
 
+@query("SELECT DISTINCT id AS review_id, cited_id AS id FROM {citations} WHERE id IN (SELECT id FROM {papers})")
+def lists_of_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """The references of every paper, as the lists that a collection starts from."""
+    return graph.lists_of_reviews(view(spark, sf, "citations"), view(spark, sf, "papers"))
+
+
 @query("SELECT id FROM {citations} WHERE cited_id = 'p42'")
 def citing_papers(spark: SparkSession, sf: str) -> DataFrame:
     return graph.references_of(view(spark, sf, "citations"), "p42", "in")

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import query, rounded, view
+from checks.fixtures import places_in_files, query, rounded, view
 from checks.preparation import FIELDS_SQL
 from seedscape.operators import significance, subjects, summary
 from seedscape.operators.classifiers import select_model
+from seedscape.scratch import new_path
 
 SCORE = "score_correctly_predicted"
 
@@ -54,6 +55,16 @@ def entries_per_venue(spark: SparkSession, sf: str) -> DataFrame:
     return summary.with_group_size(rows, "title_source", ["id"])
 
 
+@query("""SELECT row_number() OVER (ORDER BY num_entries DESC, title_source, id) AS place, id, title_source, num_entries
+          FROM (SELECT o_orderkey AS id, o_custkey AS title_source, count(*) OVER (PARTITION BY o_custkey) AS num_entries FROM {orders})""")
+def sorted_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The report as written, with the place of each row in its files."""
+    rows = view(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("title_source"))
+    path = new_path(spark, "entries")
+    summary.entries_report(rows, "title_source", ["id"]).write.parquet(path)
+    return places_in_files(spark.read.parquet(path))
+
+
 @query("SELECT 'score_correctly_predicted' AS measure, " + describe_sql(SCORE) + """ FROM {top_results}
           UNION ALL SELECT 'num_target_papers', """ + describe_sql("num_target_papers") + " FROM {top_results}")
 def described_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Reading and writing."""
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import query, rounded, view
-from seedscape.operators.graph import references_of
-from seedscape.scratch import new_path
+from checks.fixtures import places_in_files, query, rounded, union_all, view
+from seedscape.scratch import materialize, new_path
 from seedscape.sources import readers, runs, writers
 
 
@@ -38,9 +39,21 @@ def normal_ids(spark: SparkSession, sf: str) -> DataFrame:
     return readers.clean_ids(view(spark, sf, "orders"), "o_orderkey")
 
 
-@query("SELECT cited_id AS id FROM {citations} WHERE id = 'o7'")
+@query("""SELECT id FROM {part_papers} UNION ALL SELECT '' FROM {part_papers}""")
+def read_list_with_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with a header line each; their blank lines are kept."""
+    path = new_path(spark, "ids")
+    lines = view(spark, sf, "part_papers").select(F.explode(F.array(F.col("id"), F.lit(""))).alias("value"), "id")
+    header = spark.range(1, numPartitions=1).select(F.lit("ID").alias("value"))
+    for number in range(3):
+        own = lines.where(F.pmod(F.xxhash64("id"), F.lit(3)) == number).select("value")
+        header.union(own).coalesce(1).write.mode("append").text(path)
+    return readers.read_id_list(spark, path, header=True, keep_blank=True)
+
+
+@query("SELECT id, cited_id FROM {citations}")
 def preloaded_table(spark: SparkSession, sf: str) -> DataFrame:
-    return references_of(readers.read_citations(spark, view(spark, sf, "citations")), "o7")
+    return readers.read_citations(spark, view(spark, sf, "citations")).select("id", "cited_id")
 
 
 @query("SELECT id, review_paper_id, random_seed, datadir, round(score_correctly_predicted, 6) AS score_correctly_predicted FROM {log}")
@@ -96,6 +109,14 @@ def written_target_flags(spark: SparkSession, sf: str) -> DataFrame:
     return flags.groupBy("target").agg(F.count("*").alias("n"))
 
 
+@query("SELECT row_number() OVER (ORDER BY score DESC, id) AS place, CAST(target AS STRING) AS target FROM {run_scores}")
+def order_of_target_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """The flags stand in the files in the order of the ranking."""
+    folder = new_path(spark, "predictions")
+    writers.write_predictions(_order_scores(spark, sf), folder)
+    return places_in_files(spark.read.schema("target string").csv(f"{folder}/all_pred_y_target.csv.gz"))
+
+
 @query("SELECT id, score AS pred_ranks FROM {run_scores} WHERE NOT target ORDER BY score DESC, id LIMIT 500")
 def best_non_targets(spark: SparkSession, sf: str) -> DataFrame:
     return writers.top_predictions(_order_scores(spark, sf), 500)
@@ -148,6 +169,35 @@ def restarted_collection(spark: SparkSession, sf: str) -> DataFrame:
     return done.groupBy("review_id", "split_seed").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT '00' || CAST(c_nationkey AS STRING) AS review_id, CAST(o_orderkey % 2 AS INT) AS split_seed, count(*) AS n, FALSE AS redone
+          FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY ALL""")
+def collection_after_a_failure(spark: SparkSession, sf: str) -> DataFrame:
+    """The third group of runs fails the first time; the two before it are not collected again. IDs keep their zeros."""
+    folder = new_path(spark, "collection")
+    orders = view(spark, sf, "orders").join(view(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    keys = {"review_id": "string", "split_seed": "int"}
+    nation = F.concat(F.lit("00"), F.col("c_nationkey").cast("string"))
+    keyed = orders.select(nation.alias("review_id"), (F.col("o_orderkey") % 2).cast("int").alias("split_seed"), "o_orderkey")
+    keyed = materialize(keyed, "keyed")
+    wanted = keyed.select(*keys).distinct()
+    asked = []
+
+    def collect(open_runs: DataFrame) -> DataFrame:
+        asked.append(open_runs)
+        if len(asked) == 3:
+            raise ConnectionError
+        return keyed.join(open_runs, list(keys))
+
+    with contextlib.suppress(ConnectionError):
+        runs.collect_pending(wanted, folder, collect, group_size=10)
+    before = materialize(runs.completed_runs(wanted, folder), "before")
+    first = len(asked)
+    runs.collect_pending(wanted, folder, collect, group_size=10)
+    again = union_all(asked[first:]).join(before, list(keys)).select(*keys, F.lit(True).alias("redone"))
+    counted = runs.read_collection(spark, folder, keys).groupBy(*keys).agg(F.count("*").alias("n"))
+    return counted.join(again, list(keys), "left").withColumn("redone", F.coalesce("redone", F.lit(False)))
+
+
 @query("""SELECT id, clf FROM {log} WHERE random_seed < 2 UNION ALL SELECT id, clf FROM {log} WHERE random_seed >= 2""")
 def appended_experiments(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "appended")

@@ -25,8 +25,8 @@ def _log_beta(a: float, b: float) -> float:
     return math.lgamma(small) - gained + rest
 
 
-def _beta_tail(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
+def _beta_tail(x: float, y: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function at x = 1 - y, by its continued fraction (modified Lentz)."""
     if math.isnan(x):
         return math.nan
     if x <= 0.0:
@@ -34,9 +34,10 @@ def _beta_tail(x: float, a: float, b: float) -> float:
     if x >= 1.0:
         return 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_tail(1.0 - x, b, a)
+        return 1.0 - _beta_tail(y, x, b, a)
     tiny = 1e-300
-    scale = math.exp(a * math.log(x) + b * math.log1p(-x) - _log_beta(a, b))
+    log_x, log_y = (math.log1p(-q) if q < 0.5 else math.log(p) for p, q in ((x, y), (y, x)))
+    scale = math.exp(a * log_x + b * log_y - _log_beta(a, b))
     c, d = 1.0, 1.0 / ((1.0 - (a + b) * x / (a + 1.0)) or tiny)
     value = d
     for m in range(1, 100_000):
@@ -54,11 +55,15 @@ def _beta_tail(x: float, a: float, b: float) -> float:
 
 
 def f_tail_value(f: float, df1: float, df2: float) -> float:
-    return _beta_tail(df2 / (df2 + df1 * f), df2 / 2.0, df1 / 2.0)
+    whole = df2 + df1 * f
+    return _beta_tail(df2 / whole, df1 * f / whole, df2 / 2.0, df1 / 2.0)
 
 
 def t_two_sided_value(t: float, df: float) -> float:
-    return _beta_tail(df / (df + t * t), df / 2.0, 0.5)
+    if df >= 1e6:  # there the fraction cancels; this normal form is off by about 1 / df ** 2
+        return math.erfc(math.sqrt((df - 0.5) * math.log1p(t * t / df) / 2.0))
+    whole = df + t * t
+    return _beta_tail(df / whole, t * t / whole, df / 2.0, 0.5)
 
 
 def _known(value: float) -> float | None:

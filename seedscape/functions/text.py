@@ -33,3 +33,9 @@ def text_from_positions(index: Column) -> Column:
         )
     )
     return F.transform(F.array_sort(placed), lambda s: s["word"])
+
+
+def text_from_json(record: Column) -> Column:
+    """The same from a JSON record of an inverted index and its length; null if the record is not of that form."""
+    index = F.from_json(record, "IndexLength int, InvertedIndex map<string, array<int>>")["InvertedIndex"]
+    return text_from_positions(index)

@@ -99,3 +99,11 @@ def neighbour_counts(ids: DataFrame, edges: DataFrame, degrees: int = 2, by: Seq
     for more in reached[1:]:
         total = total.unionByName(more)
     return total.groupBy(*by, "id").agg(F.sum("n").alias("n_reached"))
+
+
+def lists_of_reviews(edges: DataFrame, reviews: DataFrame, direction: str = "out") -> DataFrame:
+    """The references (or the citing papers) of many papers at once, as ``(review_id, id)``."""
+    own, other = ("id", "cited_id") if direction == "out" else ("cited_id", "id")
+    wanted = reviews.select(F.col("id").alias("review_id")).distinct()
+    pairs = edges.select(F.col(own).alias("review_id"), F.col(other).alias("id"))
+    return pairs.join(wanted, "review_id").distinct()

@@ -93,6 +93,11 @@ def with_group_size(rows: DataFrame, key: str, salt_on: Sequence[str], out_col:
     return lookup_join(rows, sizes, [key], "left", salt_on)
 
 
+def entries_report(rows: DataFrame, key: str, salt_on: Sequence[str], out_col: str = "num_entries") -> DataFrame:
+    """All rows with the size of their group, the largest groups first and then by name."""
+    return with_group_size(rows, key, salt_on, out_col).orderBy(F.col(out_col).desc(), key, *salt_on)
+
+
 def groups_with_at_least(rows: DataFrame, key: str, n: int, salt_on: Sequence[str] = ("id",)) -> DataFrame:
     """Rows of the keys that have ``n`` rows or more."""
     large = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(key)

@@ -162,13 +162,14 @@ def collect_lists(
     folder: str,
     split_seeds: Sequence[int] = (1, 2, 3, 4, 5),
     degrees: int = 2,
+    group_size: int = 100,
 ) -> None:
     """Collect several splits of many lists ``(review_id, id)`` into ``folder``, restartable.
 
-    All runs without a completion record are collected in the same jobs and stored
-    by ``(review_id, split_seed)``; ``paper_set`` says which of the three sets a row
-    belongs to. :func:`~seedscape.operators.graph.references_of` makes such a list
-    from one paper.
+    Runs without a completion record are collected in groups of ``group_size``, each in the same
+    jobs, and stored by ``(review_id, split_seed)``; ``paper_set`` says which of the three sets a
+    row belongs to. :func:`~seedscape.operators.graph.lists_of_reviews` makes such lists from the
+    review papers themselves.
     """
     keys = list(RUN_KEYS)
     seeds = F.explode(F.array(*map(F.lit, split_seeds))).alias("split_seed")
@@ -181,7 +182,7 @@ def collect_lists(
         parts = [rows.withColumn("paper_set", F.lit(name)) for name, rows in named.items()]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    collect_pending(runs, folder, collect)
+    collect_pending(runs, folder, collect, group_size=group_size)
 
 
 def rank_over_splits(

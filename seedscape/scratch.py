@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="seedscape-")
-    context.setCheckpointDir(folder)
-    return folder
+    return _own_folder(context.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="seedscape-")
 
 
 def new_path(spark: SparkSession, label: str = "table") -> str:
@@ -37,3 +41,10 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; tables read from them are gone, too."""
+    folder = f"{shared_dir(spark).rstrip('/')}/seedscape/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -61,19 +61,23 @@ def clean_ids(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_id_list(spark: SparkSession, path: str, header: bool = False, keep_blank: bool = False) -> DataFrame:
-    """One ID per line. ``header`` skips the first line of each file.
-
-    ``keep_blank`` keeps empty lines; a file with a header loses them in any case.
-    """
+    """One ID per line. ``header`` skips the first line of each file; ``keep_blank`` keeps empty lines."""
+    lines = spark.read.text(path)
     if header:
-        lines = spark.read.csv(path, header=True, sep="\u0001", quote="", schema="value string")
-    else:
-        lines = spark.read.text(path)
+        lines = _without_first_lines(lines)
     if keep_blank:
         return lines.select(F.trim("value").alias("id"))
     return clean_ids(lines)
 
 
+def _without_first_lines(lines: DataFrame) -> DataFrame:
+    """Lines of text files without each file's first: the one that comes first in the file's first block."""
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    placed = placed.withColumn("_at", F.monotonically_increasing_id())
+    first = placed.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_at"))
+    return placed.join(first, ["_file", "_at"], "left_anti").select("value")
+
+
 def read_log(spark: SparkSession, source: str, **options: str) -> DataFrame:
     """The whole experiment log: a JDBC table when ``url`` is given, a known table name, or a path."""
     if "url" in options:

@@ -67,3 +67,14 @@ def test_describe_small_cases(spark):
     assert (a["n"], a["mean"], a["min"], a["q25"], a["median"], a["q75"], a["max"]) == (4, 2.75, 1.0, 1.75, 3.0, 4.0, 4.0)
     assert a["std"] == pytest.approx(1.5)
     assert (b["n"], b["std"], b["median"]) == (1, None, 7.0)
+
+
+def test_rows_with_null_keys_and_ids_stay(spark):
+    from seedscape.operators.ranking import rank_candidates
+    from seedscape.operators.sampling import split_train
+
+    ids = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "id long")
+    assert split_train(ids).count() == 5
+    runs = spark.createDataFrame([("a", 1, 0.5, True), (None, 2, 0.4, False), (None, 3, 0.9, False)], "run string, id long, score double, target boolean")
+    got = {(r["run"], r["id"]): (r["rank"], r["n_rows"]) for r in rank_candidates(runs, ["run"]).collect()}
+    assert got == {("a", 1): (1, 1), (None, 3): (1, 2), (None, 2): (2, 2)}

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from seedscape.functions.pvalues import f_tail_value, t_two_sided_value
 from seedscape.operators import prep, similarity, subjects
@@ -131,3 +132,31 @@ def test_vectors_of_several_runs(spark):
     rows = similarity.embedding_similarity(cands, seeds, vectors, ["run"]).collect()
     got = {(r["run"], r["id"]): r["embedding_similarity"] for r in rows}
     assert got == {("r", 1): pytest.approx(1.0), ("r", 2): 0.0, ("s", 2): pytest.approx(1.0)}
+
+
+def test_t_tests_of_flat_and_single_groups(spark):
+    from seedscape.operators.significance import anova, pairwise_t_tests
+
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("c", 3.0)], "k string, s double")
+    found = pairwise_t_tests(rows, "k", "s").collect()
+    assert len(found) == 3 and all(r["t"] is None and r["p"] is None and r["significant"] is None for r in found)
+    assert anova(rows, "k", "s").first()["f"] is None
+
+
+def test_p_values_of_large_samples():
+    from seedscape.functions.pvalues import f_tail_value, t_two_sided_value
+
+    for df in (1e6, 1e8, 1e10, 1e12):
+        assert abs(t_two_sided_value(2.0, df) - 0.04550026389635842) < 1e-9 + 1 / df
+    assert abs(t_two_sided_value(2.0, 10.0) - 0.07338803477074037) < 1e-12
+    assert abs(f_tail_value(1.0, 1e9, 1e9) - 0.5) < 1e-4
+
+
+def test_keys_of_a_collection_keep_their_type(spark):
+    folder = new_path(spark, "typed")
+    wanted = spark.createDataFrame([("007", 1), ("08", 1), ("08", 2)], "review_id string, split_seed int")
+    runs.collect_pending(wanted, folder, lambda own: own.crossJoin(spark.range(4)), group_size=2)
+    back = runs.read_collection(spark, folder, {"review_id": "string", "split_seed": "int"})
+    assert {(r["review_id"], r["split_seed"], r["n"]) for r in back.groupBy("review_id", "split_seed").agg(F.count("*").alias("n")).collect()} == {
+        ("007", 1, 4), ("08", 1, 4), ("08", 2, 4)
+    }
