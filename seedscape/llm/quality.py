@@ -69,7 +69,7 @@ def metadata_tokens(text: bytes, facts: Iterable[object]) -> set[bytes]:
 
 
 def _hashed(tokens: set[bytes]) -> np.ndarray:
-    return np.unique(np.fromiter(map(crc32, tokens), np.int64, len(tokens)) % HASHED)
+    return np.unique(np.fromiter(map(crc32, tokens), np.int64, len(tokens)) % HASHED).astype(np.int32)
 
 
 @dataclass
@@ -130,7 +130,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float)
 def _fit_view(features: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> View:
     """Keep the tokens that differ most between the classes, by chi-square, and weigh them."""
     owner = np.repeat(np.arange(len(features)), list(map(len, features)))
-    tokens = np.concatenate([*features, np.zeros(0, np.int64)])
+    tokens = np.concatenate([*features, np.zeros(0, np.int32)])
     with_token = np.bincount(tokens, weight[owner], HASHED)
     good_with = np.bincount(tokens, (weight * y)[owner], HASHED)
     share = (weight * y).sum() / weight.sum()
@@ -230,15 +230,15 @@ def fit(
         for batch in batches:
             columns = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns)))
             told = list(zip(*(columns[f"fact{i}"] for i in range(len(facts))))) or [()] * len(batch)
-            kind = pa.list_(pa.int64())
+            kind = pa.list_(pa.int32())
             content = pa.array([_hashed(content_tokens(t)) for t in columns["text"]], kind)
             metadata = pa.array([_hashed(metadata_tokens(t, f)) for t, f in zip(columns["text"], told)], kind)
             made = [batch.column(batch.schema.names.index(n)) for n in ("doc_id", "good")]
             yield pa.RecordBatch.from_arrays([*made, content, metadata], names=["doc_id", "good", "content", "metadata"])
 
-    rows = map_batches(texts, features, "doc_id long, good int, content array<long>, metadata array<long>").toArrow()
+    rows = map_batches(texts, features, "doc_id long, good int, content array<int>, metadata array<int>").toArrow()
     rows = rows.sort_by("doc_id")
-    content, metadata = ([np.array(x, np.int64) for x in rows[c].to_pylist()] for c in ("content", "metadata"))
+    content, metadata = ([x.values.to_numpy() for x in rows[c]] for c in ("content", "metadata"))
     labels_ = rows["good"].to_pylist()
     has = [i for i, g in enumerate(labels_) if g is not None]
     free = [i for i, g in enumerate(labels_) if g is None]
