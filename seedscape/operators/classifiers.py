@@ -8,19 +8,23 @@ through :func:`score_rows`.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, VectorSlicer
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedscape.operators.boosting import fit_boosted
 from seedscape.operators.features import assembler
+from seedscape.operators.ordering import running_totals
 from seedscape.operators.ranking import r_precision, rank_candidates
+from seedscape.operators.similarity import count_listed, vocabulary
+from seedscape.scratch import materialize
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
@@ -182,15 +186,40 @@ def compare_feature_sets(
     return r_precision(rank_candidates(scored, ["feature_set"]), num_relevant, ["feature_set"])
 
 
-def bag_of_words(rows: DataFrame, tokens_col: str, min_df: int = 10, out_col: str = "bag_of_words") -> PipelineModel:
-    """Pipeline model from a term array to a TF-IDF vector of length 1.
+@F.udf(VectorUDT())
+def _sparse(size: int, places: list[int] | None, weights: list[float] | None) -> SparseVector:
+    return SparseVector(size, places or [], weights or [])
 
-    The vocabulary is as long as the coefficient vector of any linear model on it,
-    so it is kept whole on the driver like the model itself.
+
+@dataclass(frozen=True)
+class BagOfWords:
+    """From a term array to a TF-IDF vector of length 1, by a numbered vocabulary ``(term, place, idf)``.
+
+    The vocabulary stays a table; only the coefficients of a model on the vectors come to the driver.
     """
-    counter = CountVectorizer(inputCol=tokens_col, outputCol="term_counts", minDF=min_df, vocabSize=2**31 - 1).fit(rows)
-    counted = counter.transform(rows)
-    smoothed = IDF(inputCol="term_counts", outputCol="weighted").fit(counted).idf.toArray() + 1.0
-    scale = ElementwiseProduct(inputCol="term_counts", outputCol="weighted", scalingVec=Vectors.dense(smoothed))
-    unit = Normalizer(inputCol="weighted", outputCol=out_col, p=2.0)
-    return PipelineModel(stages=[counter, scale, unit])
+
+    words: DataFrame
+    size: int
+    tokens_col: str
+    out_col: str
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Add the vector of each row; ``id`` must tell the rows apart."""
+        counts = count_listed(rows, ["id"], F.col(self.tokens_col)).join(self.words, "term")
+        weighted = F.struct("place", (F.col("tf") * F.col("idf")).alias("weight"))
+        texts = counts.groupBy("id").agg(F.array_sort(F.collect_list(weighted)).alias("_weights"))
+        length = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda total, w: total + w["weight"] * w["weight"]))
+        scaled = texts.withColumn("_length", length).select(
+            "id", F.col("_weights.place").alias("_places"), F.transform("_weights", lambda w: w["weight"] / F.col("_length")).alias("_values")
+        )
+        joined = rows.join(scaled, "id", "left")
+        return joined.withColumn(self.out_col, _sparse(F.lit(self.size), "_places", "_values")).drop("_places", "_values")
+
+
+def bag_of_words(rows: DataFrame, tokens_col: str, min_df: int = 10, out_col: str = "bag_of_words") -> BagOfWords:
+    """Number the terms that are in at least ``min_df`` of the texts in ``rows``, with their smoothed weights."""
+    counts = materialize(count_listed(rows, ["id"], F.col(tokens_col)), "terms")
+    known = vocabulary(counts, rows.agg(F.count("*").alias("n_texts")), min_df=min_df)
+    numbered = running_totals(known, [F.col("term")]).select("term", (F.col("rank") - 1).cast("int").alias("place"), "idf")
+    words = materialize(numbered, "words")
+    return BagOfWords(words, words.count(), tokens_col, out_col)

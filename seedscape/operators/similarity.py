@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,13 +26,18 @@ def candidates_and_seeds(
 
 
 def term_counts(texts: DataFrame, keys: Sequence[str] = ("id",), text_col: str = "title") -> DataFrame:
-    """``(keys, term, tf)`` of every text.
+    """``(keys, term, tf)`` of every text."""
+    return count_listed(texts, keys, terms(F.col(text_col)))
 
-    A text is one row, so its terms are counted in the row: in sorted order, the
-    count of a term is the distance between the starts of two runs. Nothing is
-    shuffled. Rows that repeat their keys are counted each for itself.
+
+def count_listed(rows: DataFrame, keys: Sequence[str], listed: Column) -> DataFrame:
+    """``(keys, term, tf)`` of an array of terms in every row.
+
+    The terms are counted in the row: in sorted order, the count of a term is the
+    distance between the starts of two runs. Nothing is shuffled. Rows that repeat
+    their keys are counted each for itself.
     """
-    ordered = texts.select(*keys, F.array_sort(terms(F.col(text_col))).alias("_terms"))
+    ordered = rows.select(*keys, F.array_sort(listed).alias("_terms"))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("_terms") - 1), lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1))
     )

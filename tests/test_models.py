@@ -99,3 +99,19 @@ def test_whole_review(spark):
     assert spark.read.csv(f"{folder}/predictions.tsv", sep="\t", header=True).count() == 100
     with pytest.raises(Exception, match="(?i)exists"):
         run_review(spark, known, paper_table, edge_table, 15, folder, classifiers=tried)
+
+
+def test_bag_of_words_equals_tfidf(spark):
+    from seedscape.operators.similarity import tfidf
+
+    texts = spark.createDataFrame([(i, f"word{i % 3} other{i % 2} both both x{i}") for i in range(12)] + [(99, None)], "id long, title string")
+    rows = texts.withColumn("tokens", F.expr("regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]{2,}', 0)"))
+    bag = clf.bag_of_words(rows, "tokens", min_df=3)
+    places = {r["place"]: r["term"] for r in bag.words.collect()}
+    found = {
+        (r["id"], places[int(i)]): v
+        for r in bag.transform(rows).collect()
+        for i, v in zip(r["bag_of_words"].indices, r["bag_of_words"].values)
+    }
+    expected = {(r["id"], r["term"]): r["weight"] for r in tfidf(texts, min_df=3).collect()}
+    assert found == pytest.approx(expected)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedscape.operators.graph import follow_citations
+from seedscape.operators.similarity import tfidf
 from seedscape.operators.skew import lookup_join
 from seedscape.scratch import materialize
 
@@ -53,3 +54,12 @@ def test_hot_key_is_split_when_totals_are_attached(tight):
     got, plan = plan_after_run(lookup_join(rows, sizes, ["cited_id"], "left", ["id"]))
     assert "SortMergeJoin(skew=true)" in plan
     assert len(got) == 60_000 and {r["n"] for r in got if r["cited_id"] == "hub"} == {20_000}
+
+
+def test_common_term_is_split(tight):
+    """A term that stands in every text meets its one vocabulary row in many tasks."""
+    title = F.concat(F.lit("common t"), F.col("id").cast("string"))
+    texts = materialize(tight.range(40_000, numPartitions=8).select("id", title.alias("title")))
+    rows, plan = plan_after_run(tfidf(texts))
+    assert "SortMergeJoin(skew=true)" in plan
+    assert len(rows) == 80_000
