@@ -10,8 +10,9 @@ add up on the way down, and once there are more than d, all pairs below are prun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,54 @@ MEAN_GROUP = 8
 LEVELS, FRONTIER = (8, 16, 24, 32, 40, 48, 56, 64), 1 << 20
 #: Fingerprints that a task gathers before it builds an index.
 GATHER = 200_000
+#: 64-bit words of a wide fingerprint, and the levels of its index.
+WORDS, WIDE_LEVELS = 4, tuple(range(32, 257, 32))
+#: Share of the pairs exactly at the similarity that random masks may miss; others are missed less.
+MISSED = 0.05
+#: Shingles whose bits are counted at once.
+COUNTED = 1 << 15
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """64-bit SimHash over the hashes of all shingles of ``size`` words, each counted as often as it occurs."""
+def _hashes(text: bytes, size: int) -> np.ndarray:
+    """Hashes of all shingles of ``size`` words; of the whole text if it has fewer words, none without words."""
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
     size = min(size, len(words))
     starts = [0, *(end + 1 for end in ends[: len(words) - size])]
-    hashed = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
-    bits = np.unpackbits(np.array(hashed, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])] if words else [], "<u8")
+
+
+def fingerprint(text: bytes, size: int) -> int:
+    """64-bit SimHash over the hashes of all shingles of ``size`` words, each counted as often as it occurs."""
+    hashed = _hashes(text, size)
+    if not len(hashed):
+        return 0
+    bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     majority = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashed)
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: bytes, size: int) -> np.ndarray:
+    """SimHash of ``WORDS`` words over the set of shingles; ties fall to each side in turn, no shingles give zeros."""
+    hashed = np.unique(_hashes(text, size))
+    if not len(hashed):
+        return np.zeros(WORDS, np.uint64)
+    ones = np.arange(64 * WORDS) % 2  # a tie sets every other bit
+    for at in range(0, len(hashed), COUNTED):
+        mixed = _mixed(hashed[at : at + COUNTED])
+        ones = ones + 2 * np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones > len(hashed), bitorder="little").view("<u8")
+
+
+def _mixed(hashed: np.ndarray) -> np.ndarray:
+    """``WORDS`` independent words of each hash, by the SplitMix64 finaliser."""
+    x = hashed[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.ascontiguousarray(x ^ (x >> np.uint64(31)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """(doc_id, fingerprint as long) of every row; null and empty texts have fingerprint zero."""
 
@@ -76,26 +108,58 @@ def masks(n: int, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(block, kept)]
 
 
+def random_masks(n: int, similarity: float) -> list[list[int]]:
+    """Masks over wide fingerprints, as words; all bits of one agree in nearly all pairs that are ``similarity`` alike.
+
+    They have as many bits as leave few unlike fingerprints together, and are as many as ``MISSED`` asks for.
+    """
+    bits = max(8, round(log2(max(n, 1) / (MEAN_GROUP / 2))))
+    agree = (1 - angle(similarity)) ** bits
+    rng = np.random.default_rng(SEED)
+    made = []
+    for _ in range(ceil(log(MISSED) / log(1 - agree)) if agree < 1 else 1):
+        chosen = np.zeros(64 * WORDS, np.uint8)
+        chosen[rng.choice(64 * WORDS, bits, replace=False)] = 1
+        made.append(np.packbits(chosen, bitorder="little").view("<i8").tolist())
+    return made
+
+
+def angle(similarity: float) -> float:
+    """Share of the bits in which sets of equal size and this similarity differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wide_distance(similarity: float) -> int:
+    """Differing bits up to which wide fingerprints are linked: what ``similarity`` lets expect plus a standard error."""
+    share, bits = angle(similarity), 64 * WORDS
+    return round(bits * share + sqrt(bits * share * (1 - share)))
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Position of each code in the reflected Gray order."""
+    """Position of each code in the reflected Gray order; codes of several words are rows, the leading word first."""
     rank = codes.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
+    if codes.ndim > 1:  # an odd number of bits before a word turns its order round
+        odd = np.cumsum(np.bitwise_count(codes), axis=1, dtype=np.int64)[:, :-1] & 1
+        rank[:, 1:] ^= (-odd).view(np.uint64)
     return rank
 
 
 class GrayIndex:
     """Hierarchical index over the fingerprints of many groups; only members of one group are compared."""
 
-    def __init__(self, group: np.ndarray, codes: np.ndarray, distance: int) -> None:
-        order = np.lexsort((gray_rank(codes), group))
-        self.codes, self.group, self.distance = codes[order], group[order], distance
+    def __init__(self, group: np.ndarray, codes: np.ndarray, distance: int, levels: tuple[int, ...] = LEVELS) -> None:
+        codes = codes.reshape(len(codes), -1)
+        self.order = np.lexsort((*gray_rank(codes).T[::-1], group))
+        self.codes, self.group, self.distance, self.depth = codes[self.order], group[self.order], distance, len(levels)
         self.label = np.arange(len(codes))  # the smallest member it is known to be linked with
         new = np.ones(len(codes), bool)
         new[1:] = self.group[1:] != self.group[:-1]
         self.starts = [np.flatnonzero(new)]
-        for bits in LEVELS:
-            lead = self.codes >> np.uint64(BITS - bits)
+        for bits in levels:
+            word = (bits - 1) // BITS
+            lead = self.codes[:, word] >> np.uint64(BITS * (word + 1) - bits)
             new[1:] |= lead[1:] != lead[:-1]
             self.starts.append(np.flatnonzero(new))
         self.every = [np.bitwise_and.reduceat(self.codes, at) for at in self.starts]
@@ -122,12 +186,18 @@ class GrayIndex:
 
     def _near(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         differing = (self.every[level][a] ^ self.every[level][b]) & self.shared[level][a] & self.shared[level][b]
-        return np.bitwise_count(differing) <= self.distance
+        return np.bitwise_count(differing).sum(axis=1, dtype=np.int64) <= self.distance
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect all members that are connected within a group, at most one per member."""
+        """Links that connect all members that are connected within a group, at most one per member, as their codes."""
+        given = np.empty_like(self.codes)
+        given[self.order] = self.codes
+        return tuple(given[at].squeeze(1) for at in self.places())
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same links, as places in the given order."""
         if len(self.codes) > 1:  # neighbours in Gray order first: most of a dense group is one component then
-            near = np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= self.distance
+            near = np.bitwise_count(self.codes[1:] ^ self.codes[:-1]).sum(axis=1, dtype=np.int64) <= self.distance
             a = np.flatnonzero(near & (self.group[1:] == self.group[:-1]))
             self._link(a, a + 1)
             roots = np.arange(len(self.starts[0]))
@@ -135,13 +205,13 @@ class GrayIndex:
             while stack:
                 self._descend(*stack.pop(), stack)
         linked = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return self.codes[self.label[linked]], self.codes[linked]
+        return self.order[self.label[linked]], self.order[linked]
 
     def _descend(self, level: int, a: np.ndarray, b: np.ndarray, stack: list) -> None:
         least, whole = self._one_component(level)
         open_ = ~(whole[a] & whole[b] & (least[a] == least[b]))
         a, b = a[open_], b[open_]
-        if level == len(LEVELS):
+        if level == self.depth:
             self._link(a, b)
             return
         first, behind = self.children[level][:-1], self.children[level][1:]
@@ -160,38 +230,40 @@ class GrayIndex:
         stack.append((level + 1, low[near], high[near]))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Group numbers and codes, gathered from sorted batches up to a change of the group."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Group numbers and the columns behind the keys, gathered from sorted batches up to a change of the group."""
+    held: list[np.ndarray] = []
     size = 0
     for batch in batches:
         if not len(batch):
             continue
-        keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(batch.num_columns - 1)], axis=1)
-        held.append((keys, np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64)))
+        held.append(np.stack([np.asarray(column).astype(np.int64) for column in batch.columns], axis=1))
         size += len(batch)
         if size >= GATHER:
-            keys, codes = (np.concatenate(x) for x in zip(*held))
-            change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+            rows = np.concatenate(held)
+            change = np.flatnonzero((rows[1:, :n_keys] != rows[:-1, :n_keys]).any(axis=1))
             if len(change):
                 cut = change[-1] + 1
-                yield _numbered(keys[:cut]), codes[:cut]
-                keys, codes = keys[cut:], codes[cut:]
-            held, size = [(keys, codes)], len(codes)
+                yield _numbered(rows[:cut, :n_keys]), rows[:cut, n_keys:]
+                rows = rows[cut:]
+            held, size = [rows], len(rows)
     if held:
-        keys, codes = (np.concatenate(x) for x in zip(*held))
-        yield _numbered(keys), codes
+        rows = np.concatenate(held)
+        yield _numbered(rows[:, :n_keys]), rows[:, n_keys:]
 
 
 def _numbered(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
 
 
-def _find_links(distance: int):
+def _find_links(distance: int, n_keys: int, levels: tuple[int, ...] = LEVELS):
+    """Links between rows of keys, a name and the words of a code; where there are no words, the name is the code."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, codes in _groups(batches):
-            a, b = GrayIndex(group, codes, distance).links()
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+        for group, rows in _groups(batches, n_keys):
+            names, codes = rows[:, 0], np.ascontiguousarray(rows[:, 1:] if rows.shape[1] > 1 else rows)
+            a, b = GrayIndex(group, codes.view(np.uint64), distance, levels).places()
+            yield pa.RecordBatch.from_arrays([pa.array(names[x]) for x in (a, b)], names=["a", "b"])
 
     return run
 
@@ -211,7 +283,7 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = met.select("mask", "pattern", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint")
     dealt = cells.repartition("mask", "pattern", "i", "j").sortWithinPartitions("mask", "pattern", "i", "j")
-    return map_batches(dealt, _find_links(distance), "a long, b long")
+    return map_batches(dealt, _find_links(distance, 4), "a long, b long")
 
 
 def near_duplicates(
@@ -236,12 +308,62 @@ def near_duplicates(
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each component, in all its columns.
+def wide_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between ``node`` values whose words w0, w1, ... are within the radius of ``similarity``."""
+    words = [f"w{i}" for i in range(WORDS)]
+    chosen = random_masks(distinct.count(), similarity)
+    masks_ = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(w).alias(c) for w, c in zip(m, words)]) for i, m in enumerate(chosen)])
+    pattern = F.xxhash64("mask.i", *[F.col(c).bitwiseAND(F.col(f"mask.{c}")) for c in words])
+    keyed = distinct.select("node", *words, F.explode(masks_).alias("mask")).select(pattern.alias("pattern"), "node", *words)
+    # only patterns with more than a block of members need to be known before the deal; written, so that the join knows their size
+    large = materialize(keyed.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large")
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    members = keyed.join(large, "pattern", "left").withColumn("own", own)
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    dealt = met.select("pattern", *cell, "node", *words).repartition("pattern", "i", "j").sortWithinPartitions("pattern", "i", "j")
+    return map_batches(dealt, _find_links(wide_distance(similarity), 3, WIDE_LEVELS), "a long, b long")
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(doc_id, component_id) of every row: texts whose sets of ``size``-word shingles are about ``similarity``
+    alike or more are linked, and the component is named by the smallest id in it.
+
+    The similarity is read off 256-bit fingerprints, with a standard error of 0.03 at 0.8; the radius lies one
+    standard error beyond 0.8. Equal fingerprints are one node, so copies never meet as pairs. Texts without words
+    (null, empty) are copies of one another. Rows with a null id stay and are linked, but name no component;
+    a component without any id has a null name. Repeated rows stay. No rows give no rows. Other columns take
+    no part.
+    """
+    words = [f"w{i}" for i in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_fingerprint(text, size) for text in batch.column(1).to_pylist()]
+            codes = np.array(made, np.uint64).reshape(-1, WORDS).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(code)) for code in codes.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *words])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    prints = materialize(map_batches(source, run, ", ".join(f"{c} long" for c in ["doc_id", *words])), "fingerprints")
+    numbered = prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(numbered, "distinct")
+    linked = connected_components(materialize(wide_links(distinct.select("node", *words), similarity), "links"))
+    rooted = distinct.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, "root").select(*words, "component_id")
+    return prints.join(named, words).select("doc_id", "component_id")
+
+
+def one_per_component(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """The document with the smallest id of each component that ``find`` names, in all its columns.
 
     Of rows that share that id, one stays. Rows with a null id cannot be told apart and all stay.
     """
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = find(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
     id_col = options.get("id_col", "doc_id")
     flagged = docs.join(kept.select(F.col("doc_id").alias(id_col), F.lit(True).alias("_kept")), id_col, "left")
     alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_each_stage_against_brute_force(spark, odd):
     assert rows(good) == sorted(map(str, expected))
 
     single = pipeline.drop_near_copies(spark, good, SF).cache()
-    prints = [(r.doc_id, simhash.fingerprint((r.text or "").encode(), 4)) for r in good.collect()]
+    prints = [(r.doc_id, bytes(simhash.wide_fingerprint((r.text or "").encode(), 5))) for r in good.collect()]
     names = _components(prints)
     stay = {names[p] for _, p in prints} - {None}
     assert single.columns == odd.columns
@@ -105,7 +106,11 @@ def _contaminated(text, runs):
 
 
 def _components(prints):
+    """Smallest id per fingerprint, by comparing all pairs under every mask."""
     codes = sorted({p for _, p in prints})
+    words = {c: int.from_bytes(c, "little") for c in codes}
+    packed = lambda mask: int.from_bytes(np.array(mask, "<i8").tobytes(), "little")
+    masks = [packed(m) for m in simhash.random_masks(len(codes), 0.8)]
     root = {c: c for c in codes}
 
     def find(c):
@@ -115,7 +120,8 @@ def _components(prints):
 
     for i, a in enumerate(codes):
         for b in codes[i + 1 :]:
-            if (a ^ b).bit_count() <= 4:
+            differing = words[a] ^ words[b]
+            if differing.bit_count() <= simhash.wide_distance(0.8) and any(not differing & m for m in masks):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     least = {}
