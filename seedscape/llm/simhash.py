@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from seedscape.llm.common import map_batches, text_bytes
 from seedscape.llm.components import connected_components
+from seedscape.llm.similar_sets import similar_sets
 from seedscape.scratch import materialize
 
 BITS, SEED = 64, 42
@@ -308,54 +309,24 @@ def near_duplicates(
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def wide_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between ``node`` values whose words w0, w1, ... are within the radius of ``similarity``."""
-    words = [f"w{i}" for i in range(WORDS)]
-    chosen = random_masks(distinct.count(), similarity)
-    masks_ = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(w).alias(c) for w, c in zip(m, words)]) for i, m in enumerate(chosen)])
-    pattern = F.xxhash64("mask.i", *[F.col(c).bitwiseAND(F.col(f"mask.{c}")) for c in words])
-    keyed = distinct.select("node", *words, F.explode(masks_).alias("mask")).select(pattern.alias("pattern"), "node", *words)
-    # only patterns with more than a block of members need to be known before the deal; written, so that the join knows their size
-    large = materialize(keyed.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large")
-    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    members = keyed.join(large, "pattern", "left").withColumn("own", own)
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    dealt = met.select("pattern", *cell, "node", *words).repartition("pattern", "i", "j").sortWithinPartitions("pattern", "i", "j")
-    return map_batches(dealt, _find_links(wide_distance(similarity), 3, WIDE_LEVELS), "a long, b long")
-
-
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(doc_id, component_id) of every row: texts whose sets of ``size``-word shingles are about ``similarity``
-    alike or more are linked, and the component is named by the smallest id in it.
-
-    The similarity is read off 256-bit fingerprints, with a standard error of 0.03 at 0.8; the radius lies one
-    standard error beyond 0.8. Equal fingerprints are one node, so copies never meet as pairs. Texts without words
-    (null, empty) are copies of one another. Rows with a null id stay and are linked, but name no component;
-    a component without any id has a null name. Repeated rows stay. No rows give no rows. Other columns take
-    no part.
-    """
-    words = [f"w{i}" for i in range(WORDS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [wide_fingerprint(text, size) for text in batch.column(1).to_pylist()]
-            codes = np.array(made, np.uint64).reshape(-1, WORDS).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(code)) for code in codes.T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *words])
+    """(doc_id, component_id) of every row: texts whose sets of ``size``-word shingles have a Jaccard similarity of
+    ``similarity`` or more are linked, and the component is named by the smallest id in it.
 
+    Candidates come from a prefix filter that leaves no pair out, and are verified on the whole sets of 64-bit
+    hashes. Equal sets are one node, so copies never meet as pairs. Texts without words (null, empty) are copies
+    of one another. Rows with a null id stay and are linked, but name no component; a component without any id has
+    a null name. Repeated rows stay. No rows give no rows. Other columns take no part.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    prints = materialize(map_batches(source, run, ", ".join(f"{c} long" for c in ["doc_id", *words])), "fingerprints")
-    numbered = prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
-    distinct = materialize(numbered, "distinct")
-    linked = connected_components(materialize(wide_links(distinct.select("node", *words), similarity), "links"))
-    rooted = distinct.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    prints, linked = similar_sets(source, lambda text: np.unique(_hashes(text, size)), similarity)
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
+    rooted = materialize(nodes.withColumn("root", F.coalesce("root", "node")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(*words, "component_id")
-    return prints.join(named, words).select("doc_id", "component_id")
+    named = rooted.join(names, "root").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", "component_id")
 
 
 def one_per_component(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
