@@ -60,3 +60,35 @@ def test_no_text_below_the_similarity_is_linked(spark):
     names, expected = found_components(spark, texts), smallest(len(texts), alike_pairs(texts, 0.8))
     below = [(i, j) for i, j in alike_pairs(texts, 0.6, 0.8) if expected[i] != expected[j]]
     assert len(below) > 30 and not [pair for pair in below if names[pair[0]] == names[pair[1]]]
+
+
+def test_every_pair_is_found_whatever_the_order(spark, monkeypatch):
+    """All pairs by true similarity give the same components, also where every shingle or none comes last."""
+    texts = graded(12)
+    pairs = alike_pairs(texts, 0.8)
+    assert len(pairs) > 200 and len(alike_pairs(texts, 0.8, 0.82)) > 5
+    for common in (10, 0, 10**6):
+        monkeypatch.setattr(similar_sets, "COMMON", common)
+        assert found_components(spark, texts) == smallest(len(texts), pairs)
+
+
+def test_similarity_of_exactly_four_fifths(spark):
+    """9 and 9 shingles, 8 of them common; 8 and 10, all 8 common; 9 and 9, 7 common, are not enough."""
+    words = "a b c d e f g h i j k l m n".split()
+    one, end, longer, less = words[:13], [*words[:12], "x"], words[:14], [*words[:11], "x", "y"]
+    texts = [" ".join(w) for w in (one, end, less, words[:12], longer)]
+    assert found_components(spark, texts) == smallest(5, alike_pairs(texts, 0.8)) == [0, 0, 2, 0, 0]
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = random.Random(4)
+    t = Fraction("0.8")
+    table = np.array([rng.getrandbits(64) for _ in range(1 << (similar_sets.PLACE_BITS - 6))], np.uint64)
+    for _ in range(500):
+        both = [rng.getrandbits(64) for _ in range(rng.randint(1, 60))]
+        more = [rng.getrandbits(64) for _ in range(len(both) // 4)]
+        cut = rng.randint(0, len(more))
+        sets = [np.array(sorted(both + x), np.uint64) for x in (more[:cut], more[cut:])]
+        for common in (None, table):
+            a, b = (set(similar_sets.prefix_of(s, t, common).tolist()) for s in sets)
+            assert a & b
