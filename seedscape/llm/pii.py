@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from seedscape.llm.common import map_batches, with_fields
 
 ROUNDS = 10
+#: Characters of a secret that are permuted at once.
+PIECE = 64
 
 
 class Feistel:
@@ -170,13 +172,15 @@ def _key(text: str, cipher: Feistel) -> str | None:
 
 def _secret(text: str, cipher: Feistel) -> str | None:
     head = re.match(r"""\w+["']?\s*[=:]\s*["']?""", text).group()
-    return head + _mixed(text[len(head) :], cipher, "secret")
+    # a piece is as long as a round's digest can mix
+    pieces = [text[at : at + PIECE] for at in range(len(head), len(text), PIECE)]
+    return head + "".join(_mixed(piece, cipher, f"secret {i}" if i else "secret") for i, piece in enumerate(pieces))
 
 
 #: Kind, shape, and what replaces a text of that shape, or None if it is not valid. The first shape that fits counts.
 KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
-    ("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", _email),
-    ("secret", r"""(?<!\w)(?:password|passwd|token|secret|api_key|apikey)["']?\s{0,3}[=:]\s{0,3}["']?[0-9A-Za-z_-]{8,128}(?![\w-])""", _secret),
+    ("email", r"(?<![\wÀ-ԯ.%+-])[A-Za-z0-9À-ԯ._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", _email),
+    ("secret", r"""(?<!\w)(?i:password|passwd|token|secret|api_key|apikey)["']?\s{0,3}[=:]\s{0,3}["']?[0-9A-Za-z_-]{8,}""", _secret),
     ("key", r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)", _key),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,4})?)(?!\w)", _iban),
     ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])", _date),
@@ -187,7 +191,8 @@ KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
     ("phone", r"(?<![\w.+-])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![\w-])", _phone),
 ]
 
-_SHAPES = [(kind, re.compile(shape), replace) for kind, shape, replace in KINDS]
+# a letter outside of ASCII ends a value, as in text without blanks; only in the names of mail accounts it is a part
+_SHAPES = [(kind, re.compile(shape, re.ASCII), replace) for kind, shape, replace in KINDS]
 #: What a text has to contain to hold any of the shapes that begin with a digit, a plus or a parenthesis.
 _NUMBER = re.compile(r"[0-9](?:[-0-9 ().+/]{6,})|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|[A-Z]{2}[0-9]{2}")
 _MARKS = {"email": "@", "key": "AKIA"}
@@ -196,13 +201,13 @@ _WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey")
 
 def pseudonymized(text: str, cipher: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its values replaced, and where in it the pseudonyms stand: (kind, start, end)."""
-    numbers = _NUMBER.search(text) is not None
+    numbers, small = _NUMBER.search(text) is not None, text.lower()
     found: list[tuple[int, int, str, str]] = []
     for kind, shape, replace in _SHAPES:
         if kind in _MARKS:
             possible = _MARKS[kind] in text
         else:
-            possible = any(w in text for w in _WORDS) if kind == "secret" else numbers
+            possible = any(w in small for w in _WORDS) if kind == "secret" else numbers
         if possible:
             for m in shape.finditer(text):
                 new = replace(m.group(), cipher)
