@@ -82,16 +82,22 @@ def _mixed(hashed: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x ^ (x >> np.uint64(31)))
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text): rows are told apart by their id and a digest of their text."""
+    text = text_bytes(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as long) of every row; null and empty texts have fingerprint zero."""
+    """(doc_id, text_key, fingerprint as long) of every row; null and empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(text, size) for text in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fingerprint"])
+            made = np.array([fingerprint(text, size) for text in batch.column(2).to_pylist()], np.uint64)
+            columns = [batch.column(0), batch.column(1), pa.array(made.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "fingerprint"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return map_batches(source, run, "doc_id long, fingerprint long")
+    return map_batches(_source(docs, id_col, text_col), run, "doc_id long, text_key string, fingerprint long")
 
 
 def masks(n: int, distance: int) -> list[int]:
@@ -288,7 +294,7 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, keyed: bool = False
 ) -> DataFrame:
     """(doc_id, fingerprint as long, component_id) of every row: fingerprints within ``distance`` bits are
     linked, and the component is named by the smallest id in it.
@@ -296,7 +302,8 @@ def near_duplicates(
     Rows with equal fingerprints are one node, so copies never meet as pairs. Texts without words
     (null, empty) have fingerprint zero and are linked like any other. Rows with a null id stay and
     are linked, but name no component; a component without any id has a null name. Repeated rows
-    stay. No rows give no rows. Other columns take no part.
+    stay. No rows give no rows. Other columns take no part. If ``keyed``, text_key and root, which tell texts and
+    components apart, are added.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
@@ -305,12 +312,13 @@ def near_duplicates(
         "root", F.coalesce("root", "fingerprint")
     )
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = rooted.join(names, "root").select("fingerprint", "root", "component_id")
+    more = ["text_key", "root"] if keyed else []
+    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", *more)
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, keyed: bool = False
 ) -> DataFrame:
     """(doc_id, component_id) of every row: texts whose sets of ``size``-word shingles have a Jaccard similarity of
     ``similarity`` or more are linked, and the component is named by the smallest id in it.
@@ -318,25 +326,30 @@ def near_copies(
     Candidates come from a prefix filter that leaves no pair out, and are verified on the whole sets of 64-bit
     hashes. Equal sets are one node, so copies never meet as pairs. Texts without words (null, empty) are copies
     of one another. Rows with a null id stay and are linked, but name no component; a component without any id has
-    a null name. Repeated rows stay. No rows give no rows. Other columns take no part.
+    a null name. Repeated rows stay. No rows give no rows. Other columns take no part. If ``keyed``, text_key and
+    root, which tell texts and components apart, are added.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    source = _source(docs, id_col, text_col)
     prints, linked = similar_sets(source, lambda text: np.unique(_hashes(text, size)), similarity)
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
     rooted = materialize(nodes.withColumn("root", F.coalesce("root", "node")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("node", "component_id")
-    return prints.join(named, "node").select("doc_id", "component_id")
+    named = rooted.join(names, "root").select("node", "root", "component_id")
+    more = ["text_key", "root"] if keyed else []
+    return prints.join(named, "node").select("doc_id", "component_id", *more)
 
 
 def one_per_component(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """The document with the smallest id of each component that ``find`` names, in all its columns.
 
-    Of rows that share that id, one stays. Rows with a null id cannot be told apart and all stay.
+    Rows are told apart by id and text: of different texts with that id in one component, the one with the least
+    digest stays; in different components, each stays. Of equal texts that share an id, one row stays. Rows
+    with a null id cannot be told apart and all stay.
     """
-    kept = find(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    id_col = options.get("id_col", "doc_id")
-    flagged = docs.join(kept.select(F.col("doc_id").alias(id_col), F.lit(True).alias("_kept")), id_col, "left")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    first = find(docs, keyed=True, **options).filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("text_key").alias("_key"))
+    kept = first.select(F.col("doc_id").alias(id_col), "_key", F.lit(True).alias("_kept"))
+    flagged = docs.withColumn("_key", F.md5(text_bytes(text_col))).join(kept, [id_col, "_key"], "left")
     alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     rows = flagged.filter(F.col("_kept") | F.col(id_col).isNull()).withColumn("_row", alone)
-    return rows.dropDuplicates([id_col, "_row"]).select(*docs.columns)
+    return rows.dropDuplicates([id_col, "_key", "_row"]).select(*docs.columns)

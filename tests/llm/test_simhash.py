@@ -181,3 +181,12 @@ def test_one_per_component(docs, no_docs):
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(set(names.values()) - {None})
     assert sum(r.doc_id is None for r in rows) == 1
     assert simhash.one_per_component(no_docs).count() == 0
+
+
+def test_different_texts_with_one_id(spark):
+    """Id 2 has a copy of text 1 and two texts of its own; the copy goes, and both own texts stay."""
+    one, own, other = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4")
+    rows = [(1, one, "rep"), (2, one, "copy"), (2, own, "own"), (2, other, "other"), (2, other, "other"), (3, own, "late")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    for find in (simhash.near_copies, simhash.near_duplicates):
+        assert sorted(r.kind for r in simhash.one_per_component(frame, find).collect()) == ["other", "own", "rep"]
