@@ -1,27 +1,40 @@
 """AdaBoost over one-split trees, real-valued form.
 
-MLlib has no AdaBoost. A stump only asks on which side of a threshold a value lies, so
-the training rows are first counted in cells: equal bins of every feature and equal
-label. All rows of a cell keep equal weights through all rounds. A round then is one
-sum of the cells' weights per feature and bin. The result is a plain pipeline model,
-with one SQL stage that adds up the leaf values per feature, so saving, loading and
-scoring need nothing special however many rounds there were.
+MLlib has no AdaBoost. A stump only asks on which side of a threshold a value lies, so the training
+rows are counted in cells first: the bin of every feature, and the label. Bins depend on a feature's
+own values alone, however many features there are. The cells stay spread over the executors: all
+rounds are one barrier stage, in which each task holds its cells' weights. In a round the tasks add up
+the weights per feature and bin for their own cells, exchange these small tables, and all
+find the same stump. Only the list of stumps comes back.
+
+The result is a plain pipeline model, with one SQL stage that adds up the leaf values per feature,
+so saving, loading and scoring need nothing special however many rounds there were.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import base64
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer, SQLTransformer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedscape.operators.ordering import running_totals
+from seedscape.scratch import materialize
+
 # Fixed value: leaf shares are kept this far away from 0 and 1.
 EPSILON = 2.220446049250313e-16
-#: Bins of a feature, and cells that may come to the driver; with more features the bins become fewer.
-MAX_BINS, MAX_CELLS = 64, 1 << 18
+#: Bins of a feature with more different values than that.
+MAX_BINS = 64
+#: Cells that a task holds, as long as there are cores for more tasks.
+TASK_CELLS = 1 << 16
+
+STUMPS = "round int, feature int, bin int, low double, high double"
 
 
 def _leaf_values(pos: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -29,35 +42,107 @@ def _leaf_values(pos: np.ndarray, total: np.ndarray) -> np.ndarray:
     return 0.5 * (np.log(share) - np.log(1.0 - share))
 
 
-def bin_edges(train: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
-    """Inner edges of about equally full bins; a value on an edge lies below it."""
-    cuts = [i / bins for i in range(1, bins)]
-    found = train.select(*[F.percentile_approx(F.col(f).cast("double"), cuts, 10_000).alias(f) for f in features]).first()
-    return {f: sorted(set(found[f] or [])) for f in features}
-
+def _value(feature: str) -> Column:
+    """Null and NaN lie below every other value."""
+    return F.coalesce(F.nanvl(F.col(feature).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
 
-def _bin(feature: str, edges: Sequence[float]):
-    number = F.lit(0)
-    for edge in edges:
-        number = number + (F.col(feature) > edge).cast("int")
-    return number
 
+def bin_edges(train: DataFrame, features: Sequence[str], bins: int = MAX_BINS) -> dict[str, list[float]]:
+    """Inner edges of the bins of each feature, by its own values; a value on an edge lies below it.
 
-def best_stump(weight: np.ndarray, label: np.ndarray, bins: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """The feature and its last bin on the low side with the least impurity, and the values of both leaves.
-    ``bins`` has a row of bin numbers per feature."""
-    best = (np.inf, 0, 0, np.zeros(2))
-    for f, own in enumerate(bins):
-        n = int(own.max()) + 1
-        total, pos = np.cumsum(np.bincount(own, weight, n)), np.cumsum(np.bincount(own, weight * label, n))
-        sides = np.stack([total[:-1], total[-1] - total[:-1]]), np.stack([pos[:-1], pos[-1] - pos[:-1]])
-        if n < 2:
-            sides = np.array([[total[-1]], [0.0]]), np.array([[pos[-1]], [0.0]])
-        gini = (sides[1] * (sides[0] - sides[1]) / np.maximum(sides[0], EPSILON)).sum(axis=0)
+    With at most ``bins`` different values each is a bin. Otherwise the edges are the exact quantiles: the values
+    at which the share of the rows passes a multiple of ``1 / bins``.
+    """
+    if not features:
+        return {}
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), _value(f).alias("value")) for i, f in enumerate(features)]))
+    counts = train.select(listed.alias("x")).groupBy("x.feature", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = running_totals(counts, [F.col("value")], {"seen": F.col("n")}, by=["feature"])
+    quantile = lambda seen: F.floor(seen * bins / F.col("seen_total"))
+    passed = quantile(F.col("seen")) > quantile(F.col("seen") - F.col("n"))
+    cut = ordered.filter((F.col("rank") < F.col("n_rows")) & ((F.col("n_rows") <= bins) | passed) & (F.col("value") > float("-inf")))
+    found = cut.select("feature", "value").collect()  # at most ``bins`` rows per feature
+    return {f: sorted(r["value"] for r in found if r["feature"] == i) for i, f in enumerate(features)}
+
+
+def count_cells(train: DataFrame, features: Sequence[str], edges: dict[str, list[float]]) -> DataFrame:
+    """(label, bin_0, bin_1, ..., n): the training rows by bins and label."""
+    valued = train.select("label", *[_value(f).alias(f"value_{i}") for i, f in enumerate(features)])
+    cut = [i for i, f in enumerate(features) if edges[f]]
+    if cut:
+        splits = [[-np.inf, *[float(np.nextafter(e, np.inf)) for e in edges[features[i]]], np.inf] for i in cut]
+        names = {"inputCols": [f"value_{i}" for i in cut], "outputCols": [f"at_{i}" for i in cut]}
+        valued = Bucketizer(splitsArray=splits, **names).transform(valued)
+    bins = [(F.col(f"at_{i}") if i in cut else F.lit(0)).cast("int").alias(f"bin_{i}") for i in range(len(features))]
+    keys = ["label", *[f"bin_{i}" for i in range(len(features))]]
+    return valued.select("label", *bins).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def best_stump(pos: np.ndarray, neg: np.ndarray, sizes: Sequence[int]) -> tuple[int, int, np.ndarray, float]:
+    """The feature and its last bin on the low side with the least impurity, the values of both leaves, and the
+    error. ``pos`` and ``neg`` have a row of weights per feature; ``sizes`` says how many bins a feature has.
+
+    Each side is added up for itself, so that a pure one is exactly pure.
+    """
+    best = (np.inf, 0, 0, np.zeros(2), 0.0)
+    for f, n in enumerate(sizes):
+        last = max(n - 1, 1)
+        up = [np.cumsum(x[f, :n])[:last] for x in (pos, neg)]
+        down = [np.append(np.cumsum(x[f, :n][::-1])[::-1][1:], [0.0] * (n == 1)) for x in (pos, neg)]
+        good, bad = np.stack([up[0], down[0]]), np.stack([up[1], down[1]])
+        gini = (good * bad / np.maximum(good + bad, EPSILON)).sum(axis=0)
         at = int(np.argmin(gini))
         if gini[at] < best[0] - 1e-15:
-            best = (gini[at], f, at, _leaf_values(sides[1][:, at], sides[0][:, at]))
-    return best[1], best[2], best[3]
+            error = np.minimum(good[:, at], bad[:, at]).sum()
+            best = (gini[at], f, at, _leaf_values(good[:, at], good[:, at] + bad[:, at]), float(error))
+    return best[1:]
+
+
+def _rounds(n_features: int, sizes: Sequence[int], rounds: int):
+    """A task of the barrier stage: its cells' weights through all rounds; the first task returns the stumps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        held = [np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]) for b in batches if len(b)]
+        cells = np.concatenate(held, axis=1) if held else np.zeros((n_features + 2, 0), np.int64)
+        cells = cells[:, np.lexsort(cells)]  # sums must not depend on the order of arrival
+        label, bins, weight = cells[0].astype(float), cells[1:-1].astype(np.int32), cells[-1].astype(float)
+        width, stumps = max(sizes), []
+        while len(stumps) < rounds:
+            sums = np.zeros((2, n_features, width))
+            for f in range(n_features):
+                sums[0, f] = np.bincount(bins[f], weight * label, width)
+                sums[1, f] = np.bincount(bins[f], weight * (1 - label), width)
+            said = context.allGather(base64.b64encode(sums.tobytes()).decode())
+            sums = sum(np.frombuffer(base64.b64decode(x)).reshape(sums.shape) for x in said)
+            whole = sums[:, 0].sum()
+            if not whole:
+                break
+            f, at, (low, high), error = best_stump(sums[0] / whole, sums[1] / whole, sizes)
+            stumps.append((len(stumps) + 1, f, at, float(low), float(high)))
+            if error <= 0:
+                break
+            weight = weight / whole * np.exp(-(2 * label - 1) * np.where(bins[f] <= at, low, high))
+        if context.partitionId() == 0:
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            columns = [pa.array([s[k] for s in stumps], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["round", "feature", "bin", "low", "high"])
+
+    return run
+
+
+def boost(train: DataFrame, features: Sequence[str], edges: dict[str, list[float]], rounds: int = 500) -> DataFrame:
+    """The stumps (round, feature and last low bin by number, leaf values), up to the first that makes no error.
+
+    ``train`` has a ``label`` of 0 or 1. Rows with a null feature lie below all edges. No rows give no stumps. A lost
+    executor makes the stage start again.
+    """
+    cells = materialize(count_cells(train, features, edges), "cells")
+    tasks = max(1, min(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // TASK_CELLS)))
+    keys = ["label", *[f"bin_{i}" for i in range(len(features))]]
+    dealt = cells.select(*keys, "n").repartition(tasks, *keys)
+    sizes = [len(edges[f]) + 1 for f in features]
+    return materialize(dealt.mapInArrow(_rounds(len(features), sizes, rounds), STUMPS, barrier=True), "stumps")
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 500) -> PipelineModel:
@@ -65,31 +150,20 @@ def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 500) ->
 
     Rows with a null feature count as below all edges.
     """
-    per_feature = max(2, min(MAX_BINS, int(MAX_CELLS ** (1 / max(1, len(features))))))
-    edges = bin_edges(train, features, per_feature)
-    binned = [F.coalesce(_bin(f, edges[f]), F.lit(0)).alias(f"bin_{i}") for i, f in enumerate(features)]
-    cells = train.select("label", *binned).groupBy("label", *[f"bin_{i}" for i in range(len(features))]).agg(F.count("*").alias("n"))
-    cells = cells.orderBy("label", *[f"bin_{i}" for i in range(len(features))]).toPandas()  # at most bins ^ features * 2 rows
-    label, weight = cells["label"].to_numpy(), cells["n"].to_numpy(float)
-    bins = cells[[f"bin_{i}" for i in range(len(features))]].to_numpy().T
+    features = list(features)
+    edges = bin_edges(train, features)
     values = {f: np.zeros(len(edges[f]) + 1) for f in features}
-    done = 0
-    while done < rounds and len(cells):
-        weight = weight / weight.sum()
-        f, at, (low, high) = best_stump(weight, label, bins)
-        values[features[f]] += np.where(np.arange(len(values[features[f]])) <= at, low, high)
-        done += 1
-        leaf = bins[f] <= at
-        error = sum(min((weight * label)[side].sum(), (weight * (1 - label))[side].sum()) for side in (leaf, ~leaf))
-        if error <= 0:
-            break
-        weight = weight * np.exp(-(2 * label - 1) * np.where(leaf, low, high))
-    terms = [_sum_of_leaves(f, edges[f], values[f] / max(done, 1)) for f in features]
+    stumps = boost(train, features, edges, rounds).orderBy("round").collect() if features else []  # one row per round
+    for s in stumps:
+        own = values[features[s["feature"]]]
+        own += np.where(np.arange(len(own)) <= s["bin"], s["low"], s["high"])
+    terms = [_sum_of_leaves(f, edges[f], values[f] / max(len(stumps), 1)) for f in features]
     total = " + ".join(terms) or "0.0D"
-    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-2 * ({total}))) AS boosted_score FROM __THIS__")])
+    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-2 * ({total}))) AS model_score FROM __THIS__")])
 
 
 def _sum_of_leaves(feature: str, edges: Sequence[float], values: np.ndarray) -> str:
-    """What the stumps on a feature add up to, by the bin that its value lies in."""
-    cases = [f"WHEN `{feature}` > {float(edge)!r}D THEN {float(value)!r}D" for edge, value in reversed(list(zip(edges, values[1:])))]
+    """What the stumps on a feature add up to, by the bin that its value lies in; null and NaN are below all edges."""
+    known = f"NOT isnan(`{feature}`) AND "
+    cases = [f"WHEN {known}`{feature}` > {float(edge)!r}D THEN {float(value)!r}D" for edge, value in reversed(list(zip(edges, values[1:])))]
     return f"CASE {' '.join(cases)} ELSE {float(values[0])!r}D END" if cases else f"{float(values[0])!r}D"

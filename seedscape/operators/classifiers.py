@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.feature import SQLTransformer, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from seedscape.operators.boosting import fit_boosted
 from seedscape.operators.features import assembler
+from seedscape.operators.newton import fit_logistic, join_runs, optimality
 from seedscape.operators.ordering import running_totals
 from seedscape.operators.ranking import r_precision, rank_candidates
 from seedscape.operators.similarity import count_listed, vocabulary
+from seedscape.operators.totals import attach_totals
 from seedscape.scratch import materialize
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
@@ -40,33 +42,65 @@ def _labelled(rows: DataFrame) -> DataFrame:
     return rows.withColumn(LABEL, F.col("target").cast("double")).withMetadata(LABEL, TWO_CLASSES)
 
 
-def balanced_weights(rows: DataFrame) -> DataFrame:
-    """Add ``weight = n / (2 * size of the row's class)``; the counts come as one scalar row."""
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("target").alias("pos"))
-    n = counts.select("n").scalar()
-    pos = counts.select("pos").scalar()
+def balanced_weights(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``weight = n / (2 * size of the row's class)``, per run; the counts are one row each."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if("target").alias("_pos"))
     own = F.when(F.col("target"), F.col("_pos")).otherwise(F.col("_n") - F.col("_pos"))
-    weighted = rows.withColumns({"_n": n, "_pos": pos}).withColumn(WEIGHT, F.col("_n") / (2.0 * own))
-    return weighted.drop("_n", "_pos")
+    together = join_runs(rows, counts, by) if by else attach_totals(rows, counts)
+    return together.withColumn(WEIGHT, F.col("_n") / (2.0 * own)).drop("_n", "_pos")
 
 
-def logistic(penalty: str = "l2", balanced: bool = False) -> Fitter:
-    """Logistic regression with C=1: the penalty counts once against the sum of the losses."""
+@dataclass(frozen=True)
+class Logistic:
+    """Logistic regression with C=1: the penalty counts once against the sum of the losses, and includes the intercept.
 
-    def fit(train: DataFrame, features: Sequence[str]) -> PipelineModel:
-        rows = balanced_weights(_labelled(train)) if balanced else _labelled(train)
+    Plain columns are fitted by Newton steps, for any number of runs together. Vector columns, as of a bag of
+    words, are fitted by MLlib, which leaves the intercept out of the penalty.
+    """
+
+    penalty: str = "l2"
+    balanced: bool = False
+
+    def _rows(self, train: DataFrame, by: Sequence[str]) -> DataFrame:
+        return balanced_weights(_labelled(train), by) if self.balanced else _labelled(train)
+
+    def fit_runs(self, train: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+        """``(by, beta)``: the coefficients of every run, the intercept last."""
+        return fit_logistic(self._rows(train, by), features, by, self.penalty, WEIGHT if self.balanced else None)
+
+    def slack(self, train: DataFrame, coefficients: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+        """``(by, place, slack)``: how far each coefficient is from the condition of a minimum."""
+        return optimality(self._rows(train, by), coefficients, features, by, self.penalty, WEIGHT if self.balanced else None)
+
+    def __call__(self, train: DataFrame, features: Sequence[str]) -> PipelineModel:
+        if any(isinstance(train.schema[f].dataType, VectorUDT) for f in features):
+            return self._fit_vectors(train, features)
+        found = self.fit_runs(train, features).first()
+        beta = found["beta"] if found else [0.0] * (len(features) + 1)
+        return coefficients_model(features, beta)
+
+    def _fit_vectors(self, train: DataFrame, features: Sequence[str]) -> PipelineModel:
         model = LogisticRegression(
             featuresCol=FEATURES,
             labelCol=LABEL,
             regParam=1.0 / max(train.count(), 1),
-            elasticNetParam=1.0 if penalty == "l1" else 0.0,
+            elasticNetParam=1.0 if self.penalty == "l1" else 0.0,
             standardization=False,
         )
-        if balanced:
+        if self.balanced:
             model = model.setWeightCol(WEIGHT)
-        return Pipeline(stages=[assembler(features), model]).fit(rows)
+        return Pipeline(stages=[assembler(features), model]).fit(self._rows(train, ()))
 
-    return fit
+
+def coefficients_model(features: Sequence[str], beta: Sequence[float]) -> PipelineModel:
+    """A pipeline model that applies the coefficients of one run."""
+    terms = [f"`{f}` * {float(b)!r}D" for f, b in zip(features, beta)]
+    margin = " + ".join([*terms, f"{float(beta[-1])!r}D"])
+    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-({margin}))) AS model_score FROM __THIS__")])
+
+
+def logistic(penalty: str = "l2", balanced: bool = False) -> Logistic:
+    return Logistic(penalty, balanced)
 
 
 def forest(trees: int, impurity: str = "gini", max_depth: int = 30, seed: int = 999) -> Fitter:
@@ -145,8 +179,8 @@ def legacy_classifiers() -> dict[str, Fitter]:
 def score_rows(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("id", "target")) -> DataFrame:
     """``keep`` and ``score``, the model's probability of being a target."""
     out = model.transform(rows)
-    if "boosted_score" in out.columns:
-        score = F.col("boosted_score")
+    if "model_score" in out.columns:
+        score = F.col("model_score")
     else:
         score = vector_to_array("probability")[1]
     return out.select(*keep, score.alias("score"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seedscape.operators.classifiers import Fitter, default_classifiers, logistic, score_rows, select_model
 from seedscape.operators.features import Feature, default_feature_set, with_features
 from seedscape.operators.graph import attach_papers, expand
+from seedscape.operators.newton import score_runs
 from seedscape.operators.prep import drop_unclustered, prepare_candidates
 from seedscape.operators.ranking import (
     aggregate_rankings,
@@ -198,8 +199,8 @@ def rank_over_splits(
 ) -> DataFrame:
     """Repeat the split, rank the candidates of each, and average score and rank per paper, best mean rank first.
 
-    Collection, features and ranking run once for all splits; only the fits follow
-    one another. Papers that were a seed in one split are still ranked in the others.
+    Collection, features and ranking run once for all splits, and so do fits of a classifier that fits several
+    runs together, as logistic regression does; other fits follow one another. Papers that were a seed in one split are still ranked in the others.
     """
     by = ["split_seed"]
     classifier = classifier or logistic()
@@ -208,11 +209,16 @@ def rank_over_splits(
     prepared = materialize(prepare_candidates(sets.candidates, sets.seeds, sets.targets, year, by=by), "prepared")
     prepared = materialize(split_train(prepared, F.col("split_seed"), by), "split")
     candidates = materialize(with_features(prepared, sets.seeds, features, by), "features")
-    scored = None
-    for number in split_seeds:
-        own = candidates.where(F.col("split_seed") == number)
-        part = score_rows(classifier(own.where("is_train"), list(features)), own, ["split_seed", "id", "target"])
-        scored = part if scored is None else scored.unionByName(part)
+    kept = ["split_seed", "id", "target"]
+    if hasattr(classifier, "fit_runs"):
+        fitted = classifier.fit_runs(candidates.where("is_train"), list(features), by)
+        scored = score_runs(candidates, fitted, list(features), by).select(*kept, "score")
+    else:
+        scored = None
+        for number in split_seeds:
+            own = candidates.where(F.col("split_seed") == number)
+            part = score_rows(classifier(own.where("is_train"), list(features)), own, kept)
+            scored = part if scored is None else scored.unionByName(part)
     return aggregate_rankings(rank_candidates(scored, by)).orderBy("mean_rank", "id")
 
 
