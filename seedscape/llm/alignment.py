@@ -14,6 +14,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,13 +29,18 @@ from seedscape.scratch import materialize
 
 #: Pairs, counted per document, and documents after which a block ends.
 BLOCK_PAIRS, BLOCK_DOCS = 1 << 17, 2048
-#: Windows remembered in a process, and the most ids of a remembered one.
-WINDOWS, WINDOW_IDS = 1 << 16, 48
+#: Windows remembered as met lately (as many again as met before), and the most ids of a remembered one.
+WINDOWS, WINDOW_IDS = 1 << 17, 48
 #: Texts longer than this many characters are encoded in pieces cut before a space between two letters, see ``Pair``.
 PIECE = 1 << 17
 #: Characters of the texts that are encoded at once.
 AT_ONCE = 1 << 18
 
+# Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters on whose class engines of patterns might differ; texts that hold one are left to A's own library.
+UNUSUAL = re.compile("[^\t-\r -~\u00a1-\u024f]")
+
 _DOC = "struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups:string,at:array<int>,times:array<int>>"
 _BLOCKS = f"block long, pairs array<long>, held array<long>, docs array<{_DOC}>"
 
@@ -52,13 +58,15 @@ class Pair:
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        given = json.load(open(a_path, encoding="utf-8"))
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = byte_level_alphabet()
-        added = {t["id"] for t in json.load(open(a_path, encoding="utf-8")).get("added_tokens", [])}
+        added = {t["id"] for t in given.get("added_tokens", [])}
         names = {i: token for token, i in self.a.get_vocab().items()}
         self.a_bytes = [
             names.get(i, "").encode() if i in added or i not in names else bytes(byte_of[c] for c in names[i]) for i in range(max(names) + 1)
@@ -66,7 +74,15 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         is_byte = re.compile("<0x([0-9A-F]{2})>")
         self.b_bytes = [bytes.fromhex(m[1]) if (m := is_byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        # where ids follow the order of the merges, merging by rank gives the same ids, and is faster
+        vocab = given["model"]["vocab"]
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in given["model"]["merges"]]
+        ranks = {self.a_bytes[i]: i for token, i in vocab.items() if i not in added}
+        in_order = merged == list(range(len(ranks) - len(merged), len(ranks))) and given["pre_tokenizer"].get("use_regex")
+        self.by_rank = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
+        self.a_names, self.b_names = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_size_list, self.b_size_list = self.a_sizes.tolist(), self.b_sizes.tolist()
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
         # no piece goes on over a space, so nothing is merged across one: pieces cut there encode as they do in the text
         self.cuts_at_spaces = not any(re.search("[^▁]▁", p) for p in pieces)
@@ -82,11 +98,16 @@ class Pair:
             start = cut.end()
         return [*made, text[start:]]
 
+    def _encode_a(self, text: str) -> list[int]:
+        if self.by_rank and not UNUSUAL.search(text):
+            return self.by_rank.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of a space and the text by A and of the text by B; both empty where their bytes are not a space and the text."""
         cut = [self.pieces(t) for t in texts]
         flat = [p for pieces in cut for p in pieces]
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
+        a_ids = [self._encode_a(" " + p) for p in flat]
         b_ids = self.b.encode(flat, num_threads=1)
         at = 0
         for text, pieces in zip(texts, cut):
@@ -103,39 +124,38 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def align_window(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, int, list[int]]:
-    """Groups of two token sequences over the same bytes as text, their number, and every overlapping pair as one number."""
-    i = j = first_a = first_b = 0
-    a_end, b_end = a_sizes[0], b_sizes[0]
-    groups, links = [], []
+def align_window(a: list[int], b: list[int], of: Pair) -> tuple[str, int, bytes]:
+    """Groups of two token sequences over the same bytes as text, their number, and every overlapping pair as a packed number."""
+    a_sizes, b_sizes, a_names, b_names = of.a_size_list, of.b_size_list, of.a_names, of.b_names
+    i = j = 0
+    a_end, b_end, left, right = a_sizes[a[0]], b_sizes[b[0]], a_names[a[0]], b_names[b[0]]
+    groups, links = [], array("q")
     while True:
         links.append(a[i] << 32 | b[j])
         if a_end == b_end:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            i, j = first_a, first_b = i + 1, j + 1
+            groups.append(f"{left}|{right}")
+            i += 1
+            j += 1
             if i == len(a):
-                return ";".join(groups), len(groups), links
-            a_end, b_end = a_end + a_sizes[i], b_end + b_sizes[j]
+                return ";".join(groups), len(groups), links.tobytes()
+            a_end, b_end, left, right = a_end + a_sizes[a[i]], b_end + b_sizes[b[j]], a_names[a[i]], b_names[b[j]]
         elif a_end < b_end:
             i += 1
-            a_end += a_sizes[i]
+            a_end += a_sizes[a[i]]
+            left += "," + a_names[a[i]]
         else:
             j += 1
-            b_end += b_sizes[j]
+            b_end += b_sizes[b[j]]
+            right += "," + b_names[b[j]]
 
 
 class Windows:
-    """The alignments of windows seen so far in this process."""
+    """The alignments of windows, remembered by their ids: those met lately, and those met before them."""
 
     def __init__(self, of: Pair) -> None:
         self.of = of
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        self.lately: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
+        self.before: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
 
     def bounds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where windows end in the tokens of A and B: shared ends before space-marked tokens, and the end."""
@@ -147,29 +167,54 @@ class Windows:
         good = self.of.b_spaced[b[at_b + 1]]
         return np.append(at_a[good] + 1, len(a)), np.append(at_b[good] + 1, len(b))
 
-    def numbers(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """The windows of a document, by number."""
-        if len(self.texts) > WINDOWS:
-            self.clear()
-        a_to, b_to = (bound.tolist() for bound in self.bounds(a, b))
-        a_raw, b_raw = a.tobytes(), b.tobytes()
-        found, number = [], self.number
-        i = j = 0
-        for to_a, to_b in zip(a_to, b_to):
+    def aligned(self, a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray) -> tuple[list[tuple[str, int, bytes]], np.ndarray]:
+        """The different windows, aligned, and for each window which one it is."""
+        first, which = _different((a, a_to), (b, b_to))
+        a_raw, b_raw, a_list, b_list = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
+        found = []
+        for i, to_a, j, to_b in zip(_starts(a_to)[first].tolist(), a_to[first].tolist(), _starts(b_to)[first].tolist(), b_to[first].tolist()):
             key = (a_raw[4 * i : 4 * to_a], b_raw[4 * j : 4 * to_b])
-            n = number.get(key)
-            if n is None:
-                n = len(self.texts)
-                own_a, own_b = a[i:to_a], b[j:to_b]
-                made = align_window(own_a.tolist(), own_b.tolist(), self.of.a_sizes[own_a].tolist(), self.of.b_sizes[own_b].tolist())
-                self.texts.append(made[0])
-                self.groups.append(made[1])
-                self.links.append(np.array(made[2], np.int64))
+            known = self.lately.get(key)
+            if known is None:
+                known = self.before.get(key) or align_window(a_list[i:to_a], b_list[j:to_b], self.of)
                 if to_a - i + to_b - j <= WINDOW_IDS:
-                    number[key] = n
-            found.append(n)
-            i, j = to_a, to_b
-        return found
+                    if len(self.lately) >= WINDOWS:
+                        self.before, self.lately = self.lately, {}
+                    self.lately[key] = known
+            found.append(known)
+        return found, which
+
+
+def _starts(ends: np.ndarray) -> np.ndarray:
+    return np.append(0, ends[:-1])
+
+
+def _different(*sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each kind of window, and the kind of every window, by the ids of both ``sides`` (ids, ends).
+
+    Windows are told apart by sums of their ids, each times a number for its place; then the ids themselves are compared.
+    """
+    rng = np.random.default_rng(13)
+    keys = []
+    for ids, ends in sides:
+        starts = _starts(ends)
+        sizes = ends - starts
+        factors = rng.integers(1, 1 << 62, int(sizes.max()), np.int64) * 2 + 1
+        place = np.arange(len(ids)) - np.repeat(starts, sizes)
+        keys += [np.add.reduceat((ids + 1) * factors[place], starts), sizes]
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    for ids, ends in sides:
+        starts = _starts(ends)
+        sizes = ends - starts
+        place = np.arange(len(ids)) - np.repeat(starts, sizes)
+        if not np.array_equal(ids, ids[np.repeat(starts[first[which]], sizes) + place]):
+            return np.arange(len(order)), np.arange(len(order))
+    return first, which
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -187,19 +232,33 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
             yield ids, texts
 
 
-def _document(doc_id, a: np.ndarray, b: np.ndarray, windows: Windows, digest: bool) -> tuple:
-    """(doc_id, n_a, n_b, n_groups, n_links, groups, pairs, times) of a document."""
-    if not len(a):
-        return doc_id, 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = windows.numbers(a, b)
-    groups = ";".join(map(windows.texts.__getitem__, found))
-    own, often = np.unique(found, return_counts=True)
-    links = [windows.links[n] for n in own.tolist()]
-    pairs, place = np.unique(np.concatenate(links), return_inverse=True)
-    times = np.bincount(place, np.repeat(often, [len(x) for x in links])).astype(np.int64)
-    n_groups = int(np.dot([windows.groups[n] for n in own.tolist()], often))
-    text = hashlib.sha256(groups.encode()).hexdigest() if digest else groups
-    return doc_id, len(a), len(b), n_groups, int(times.sum()), text, pairs, times
+def _documents(ids: list, encoded: list[tuple[np.ndarray, np.ndarray]], windows: Windows, digest: bool) -> Iterator[tuple]:
+    """(doc_id, n_a, n_b, n_groups, n_links, groups, pairs, times) of each document."""
+    a_sizes, b_sizes = ([len(x[k]) for x in encoded] for k in (0, 1))
+    none = np.zeros(0, np.int64)
+    if not sum(a_sizes):
+        yield from ((doc_id, 0, 0, 0, 0, "", none, none) for doc_id in ids)
+        return
+    a, b = (np.concatenate([x[k] for x in encoded]) for k in (0, 1))
+    # texts begin with a space in both encodings, so a window ends where a document does
+    a_to, b_to = windows.bounds(a, b)
+    kinds, which = windows.aligned(a, b, a_to, b_to)
+    last = np.searchsorted(a_to, np.cumsum(a_sizes), side="right")
+    sizes = np.array([len(k[2]) // 8 for k in kinds])
+    links, starts = np.frombuffer(b"".join(k[2] for k in kinds), np.int64), np.cumsum(sizes) - sizes
+    n_groups, texts, chosen = np.array([k[1] for k in kinds]), [k[0] for k in kinds], which.tolist()
+    for k, doc_id in enumerate(ids):
+        if not a_sizes[k]:
+            yield doc_id, 0, 0, 0, 0, "", none, none
+            continue
+        low, high = int(last[k - 1]) if k else 0, int(last[k])
+        own, often = np.unique(which[low:high], return_counts=True)
+        at = np.arange(sizes[own].sum()) + np.repeat(starts[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own])
+        pairs, place = np.unique(links[at], return_inverse=True)
+        times = np.bincount(place, np.repeat(often, sizes[own])).astype(np.int64)
+        groups = ";".join(map(texts.__getitem__, chosen[low:high]))
+        text = hashlib.sha256(groups.encode()).hexdigest() if digest else groups
+        yield doc_id, a_sizes[k], b_sizes[k], int(n_groups[own] @ often), int(times.sum()), text, pairs, times
 
 
 def _block(number: int, docs: list[tuple]) -> pa.RecordBatch:
@@ -231,8 +290,8 @@ def link_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
         waiting: list[tuple] = []
         size = 0
         for ids, texts in _texts(batches):
-            for doc_id, (a, b) in zip(ids, both.encode(texts)):
-                waiting.append(_document(doc_id, a, b, windows, digest))
+            for made in _documents(ids, list(both.encode(texts)), windows, digest):
+                waiting.append(made)
                 size += len(waiting[-1][6])
                 if size >= BLOCK_PAIRS or len(waiting) >= BLOCK_DOCS:
                     yield _block(number, waiting)

@@ -1,6 +1,7 @@
 """Alignments against plain byte ranges over all pairs of tokens."""
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -41,9 +42,10 @@ def expected(rows):
                 low += 1
             links += _near(i, start, end, b, low)
         cuts = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        a_at, b_at = ([start for _, start, _ in side] for side in (a, b))
         groups, last = [], 0
         for cut in cuts:
-            inside = [",".join(str(i) for i, s, e in side if last <= s and e <= cut) for side in (_slice(a, last, cut), _slice(b, last, cut))]
+            inside = [",".join(str(i) for i, _, _ in side[bisect_left(at, last) : bisect_left(at, cut)]) for side, at in ((a, a_at), (b, b_at))]
             groups.append("|".join(inside))
             last = cut
         held.update(set(links))
@@ -65,11 +67,6 @@ def _near(i, start, end, b, low):
     return made
 
 
-def _slice(side, low, high):
-    starts = [s for _, s, _ in side]
-    return side[int(np.searchsorted(starts, low)) : int(np.searchsorted(starts, high))]
-
-
 def rows_of(made):
     return [tuple(r) for r in made.collect()]
 
@@ -110,13 +107,33 @@ def test_pieces_of_long_texts_encode_as_the_whole(monkeypatch):
 
 
 def test_windows_are_remembered_and_forgotten(monkeypatch):
-    both = alignment.pair(BYTE_BPE, PIECES)
-    windows = alignment.Windows(both)
-    a, b = next(both.encode(["the same words and the same words again"]))
-    numbers = windows.numbers(a, b)
-    assert len(numbers) == 8 and len(windows.texts) == 5
+    windows = alignment.Windows(alignment.pair(BYTE_BPE, PIECES))
+    a, b = next(windows.of.encode(["the same words and the same words again"]))
+    kinds, which = windows.aligned(a, b, *windows.bounds(a, b))
+    assert len(which) == 8 and len(kinds) == 5 == len(windows.lately)
     monkeypatch.setattr(alignment, "WINDOWS", 2)
-    assert len(windows.numbers(a, b)) == 8 and len(windows.texts) == 5
+    again, same = windows.aligned(a, b, *windows.bounds(a, b))
+    assert (again, same.tolist()) == (kinds, which.tolist())
+    a, b = next(windows.of.encode(["other words entirely"]))
+    windows.aligned(a, b, *windows.bounds(a, b))
+    assert len(windows.lately) <= 2 and len(windows.before) in (2, 5)
+
+
+def test_equal_sums_of_different_windows_are_noticed(monkeypatch):
+    """With factors of 1 the sums of permuted ids are equal; the ids then tell the windows apart."""
+    ends = np.array([2, 4])
+    monkeypatch.setattr(alignment.np.random, "default_rng", lambda seed: type("R", (), {"integers": lambda *x: np.zeros(2, np.int64)})())
+    first, which = alignment._different((np.array([1, 2, 2, 1], np.int32), ends), (np.array([5, 5, 5, 5], np.int32), ends))
+    assert first.tolist() == which.tolist() == [0, 1]
+
+
+def test_both_ways_to_encode_give_the_same_ids(spark):
+    both = alignment.pair(BYTE_BPE, PIECES)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert both.by_rank is not None
+    for text in texts:
+        assert both._encode_a(" " + text) == both.a.encode(" " + text, add_special_tokens=False).ids
+    assert alignment.UNUSUAL.search("a\u00a0b") and alignment.UNUSUAL.search("\x1c") and not alignment.UNUSUAL.search("Größe, ñ\n")
 
 
 def test_no_documents(odd):
