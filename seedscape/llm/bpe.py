@@ -139,16 +139,21 @@ def encode(
     count: bool = False,
     size: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """Add the token ids of ``text_col`` as ``out_col`` (array<int>), or their number (long) if ``count``.
 
+    With ``decoded_col`` the ids are decoded in the same pass, as :func:`decode` does it.
+
     All rows and columns stay, repeated rows too; a column named ``out_col`` is replaced.
     A null text counts as empty; an empty text has no tokens. ``ranks_path`` must open on
     every worker. ``overlap`` may be half of ``size`` at most.
     """
     if overlap * 2 > size:
         raise ValueError("the overlap may be half of a chunk at most")
-    docs = docs.drop(out_col)
+    if count and decoded_col:
+        raise ValueError("numbers of tokens cannot be decoded")
+    docs = docs.drop(out_col, *([decoded_col] if decoded_col else []))
     kind = "long" if count else "array<int>"
     is_long = F.coalesce(F.length(text_col) > size + overlap, F.lit(False))
 
@@ -156,16 +161,21 @@ def encode(
         encoding = tokenizer(ranks_path, pattern).encode_ordinary
         for batch in batches:
             ids = [encoding(text or "") for text in batch.column(text_col).to_pylist()]
-            made = pa.array(map(len, ids), pa.int64()) if count else pa.array(ids, pa.list_(pa.int32()))
-            yield appended(batch, {out_col: made})
-
-    short = map_batches(docs.filter(~is_long), encode_short, with_fields(docs, (out_col, kind)))
+            made = {out_col: pa.array(map(len, ids), pa.int64()) if count else pa.array(ids, pa.list_(pa.int32()))}
+            if decoded_col:
+                vocabulary = token_bytes(ranks_path)
+                made[decoded_col] = pa.array([b"".join(map(vocabulary.__getitem__, x)) for x in ids], pa.binary())
+            yield appended(batch, made)
+
+    added = [(out_col, kind), *([(decoded_col, "binary")] if decoded_col else [])]
+    short = map_batches(docs.filter(~is_long), encode_short, with_fields(docs, *added))
     long = docs.filter(is_long).withColumn("_bpe_key", F.sha2(text_col, 256))
     texts = long.groupBy(F.col("_bpe_key").alias("key")).agg(F.first(text_col).alias("text"))
     tokens = encode_long(texts, ranks_path, pattern, size, overlap, count)
     made = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, b: a + b) if count else F.col("tokens")
     tokens = tokens.select(F.col("key").alias("_bpe_key"), made.alias(out_col))
-    return short.unionByName(long.join(tokens, "_bpe_key").drop("_bpe_key"))
+    found = long.join(tokens, "_bpe_key").drop("_bpe_key")
+    return short.unionByName(decode(found, ranks_path, out_col, decoded_col) if decoded_col else found)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

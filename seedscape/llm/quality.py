@@ -2,15 +2,15 @@
 
 One classifier sees the words of a text, the other what a page index would know about it:
 language, source, sizes and the make-up of its lines and characters. Both are fitted on a
-bounded sample of labelled documents. In every round each then labels those documents of
-an unlabelled sample of which it is most certain, for the other to learn from. Their
-scores are calibrated on labelled documents kept aside and added up as evidence.
+bounded sample of labelled documents. In every round both then score all unlabelled documents, and each
+labels those of which it is most certain, for the other to learn from. Their scores are
+calibrated on labelled documents kept aside and added up as evidence.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 from math import log2
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedscape.llm.common import appended, map_batches, text_bytes, with_fields
+from seedscape.llm.common import appended, delete_table, map_batches, text_bytes, with_fields
+from seedscape.scratch import materialize, new_path
 
 #: Tokens are hashed to so many features, of which a classifier keeps those that tell the classes apart best.
 HASHED, KEPT = 1 << 20, 768
@@ -29,12 +30,12 @@ HASHED, KEPT = 1 << 20, 768
 LEAST_CHI = 10.0
 #: Leading bytes of a word that count as features besides the word, so that inflected words are known too.
 STEMS = (4, 6)
-#: Labelled and unlabelled documents to learn from, at most, up to chance; rounds of exchange.
-MAX_LABELLED, MAX_UNLABELLED, COTRAIN_ROUNDS = 8_000, 4_000, 3
-#: Pseudo-labels a view may give in a round, and how certain it must be.
+#: Labelled documents to learn from, at most, up to chance; rounds of exchange.
+MAX_LABELLED, COTRAIN_ROUNDS = 8_000, 3
+#: Documents that a view labels in a round, the most certain of all, and how certain it must be.
 PER_ROUND, CERTAIN = 400, 0.98
 #: Ridge penalty of the classifiers; weights a worker remembers by token.
-PENALTY, REMEMBERED = 1.0, 400_000
+PENALTY, REMEMBERED = 1.0, 100_000
 
 _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20\x7f0-9a-z\x80-\xff]+")
 _LAYOUT = (("upper", rb"[A-Z]"), ("digit", rb"[0-9]"), ("mark", rb"[!-/:-@\[-`{-~]"), ("space", rb"[\x09-\x0d ]"))
@@ -156,39 +157,88 @@ def _calibration(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(slope), float(offset)) if slope > 0 else (0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
 
 
-def cotrain(content: list, metadata: list, y: np.ndarray, aside: np.ndarray, open_: tuple[list, list]) -> Model:
-    """Both views from labelled features and labels ``y`` (1 is good); rows flagged ``aside`` only calibrate.
-    ``open_`` has the features of unlabelled documents."""
+#: What a view has been taught by the other: by document the label and the view's features.
+Taught = dict[int, tuple[int, np.ndarray]]
+#: Finds documents to teach, from both views, what they have been taught, and the share of good ones:
+#: (taught view, document, label, features of that view).
+Proposer = Callable[[list[View], list[Taught], float], list[tuple[int, int, int, np.ndarray]]]
+
+
+def cotrain(content: list, metadata: list, y: np.ndarray, aside: np.ndarray, propose: Proposer) -> Model:
+    """Both views from labelled features and labels ``y`` (1 is good); rows flagged ``aside`` only calibrate."""
     learnt = np.flatnonzero(~aside)
     held = np.flatnonzero(aside)
     views: list[View] = []
-    taught = [dict(), dict()]  # per view, the unlabelled documents that the other has labelled
+    taught: list[Taught] = [{}, {}]
     labelled = (content, metadata)
     model = Model(prior=float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
     for turn in range(COTRAIN_ROUNDS + 1):
         views = []
-        for features, more, pseudo in zip(labelled, open_, taught):
-            own = [features[i] for i in learnt] + [more[i] for i in pseudo]
-            target = np.append(y[learnt], np.array(list(pseudo.values()), float))
+        for features, pseudo in zip(labelled, taught):
+            own = [features[i] for i in learnt] + [more for _, more in pseudo.values()]
+            target = np.append(y[learnt], np.array([label for label, _ in pseudo.values()], float))
             view = _fit_view(own, target, np.ones(len(target)))
             view.slope, view.offset = _calibration(view.raw([features[i] for i in held]), y[held])
             views.append(view)
         model.history.append({"round": turn, "taught": [len(t) for t in taught]})
-        if turn == COTRAIN_ROUNDS or not len(open_[0]):
+        if turn == COTRAIN_ROUNDS:
             break
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = _sigmoid(views[teacher].score(open_[teacher]))
-            for label, certainty in ((1, p), (0, 1 - p)):
-                share = y.mean() if label else 1 - y.mean()
-                best = np.argsort(-certainty, kind="stable")
-                fresh = [i for i in best if certainty[i] >= CERTAIN and i not in taught[pupil]]
-                taught[pupil].update((int(i), label) for i in fresh[: int(np.ceil(PER_ROUND * share))])
+        for pupil, doc_id, label, features in propose(views, taught, float(y.mean())):
+            taught[pupil].setdefault(doc_id, (label, features))
     model.content, model.metadata = views
     scores = [view.score([features[i] for i in held]) for view, features in zip(views, labelled)]
     model.slope, model.offset = _calibration(model.combine(*scores), y[held])
     return model
 
 
+def _most_certain(features: DataFrame, known: DataFrame) -> Proposer:
+    """Scores all rows of ``features`` (doc_id, content, metadata) that are not ``known``, and takes the best per class and view."""
+    spark = features.sparkSession
+
+    def score_both(views: list[View]):
+        dense = [np.zeros(HASHED) for _ in views]
+        for weights, view in zip(dense, views):
+            weights[list(view.weights)] = list(view.weights.values())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [batch.column("doc_id")]
+                for name, weights, view in zip(("content", "metadata"), dense, views):
+                    lists = batch.column(name)
+                    sums = np.append(0.0, np.cumsum(weights[lists.flatten().to_numpy()]))
+                    ends = np.cumsum(np.append(0, lists.value_lengths().to_numpy()))
+                    made.append(pa.array(view.slope * (sums[ends[1:]] - sums[ends[:-1]] + view.bias) + view.offset))
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "content", "metadata"])
+
+        return run
+
+    def propose(views: list[View], taught: list[Taught], share: float) -> list[tuple[int, int, int, np.ndarray]]:
+        scores = materialize(map_batches(features, score_both(views), "doc_id long, content double, metadata double"), "scores")
+        open_ = scores.join(known.select("doc_id"), "doc_id", "left_anti")
+        least, wanted, best = float(np.log(CERTAIN / (1 - CERTAIN))), {}, None
+        for pupil, column in ((1, "content"), (0, "metadata")):
+            for label in (1, 0):
+                certainty = F.col(column) if label else -F.col(column)
+                wanted[pupil, label] = int(np.ceil(PER_ROUND * (share if label else 1 - share)))
+                sure = open_.filter(certainty >= least).select("doc_id", certainty.alias("certainty"))
+                first = sure.orderBy(F.col("certainty").desc(), "doc_id").limit(wanted[pupil, label] + len(taught[pupil]))
+                part = first.select("doc_id", "certainty", F.lit(pupil).alias("pupil"), F.lit(label).alias("label"))
+                best = part if best is None else best.unionByName(part)
+        chosen: dict[tuple[int, int], int] = {}
+        for r in sorted(best.collect(), key=lambda r: (-r["certainty"], r["doc_id"])):  # at most what is wanted and has been taught
+            new = (r["pupil"], r["doc_id"]) not in chosen and r["doc_id"] not in taught[r["pupil"]]
+            if new and wanted[r["pupil"], r["label"]] > 0:
+                wanted[r["pupil"], r["label"]] -= 1
+                chosen[r["pupil"], r["doc_id"]] = r["label"]
+        ids = spark.createDataFrame([(i,) for i in sorted({i for _, i in chosen})], "doc_id long")
+        found = features.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toArrow()  # as many rows as chosen
+        place = {i: at for at, i in enumerate(found["doc_id"].to_pylist())}
+        views_ = ("content", "metadata")
+        return [(pupil, i, label, found[views_[pupil]][place[i]].values.to_numpy()) for (pupil, i), label in chosen.items()]
+
+    return propose
+
+
 def _sampled(ids: DataFrame, at_most: int) -> DataFrame:
     """Ids whose hash is small enough that about ``at_most`` of them remain."""
     n = ids.count()
@@ -203,13 +253,14 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_labelled: int = MAX_LABELLED,
-    max_unlabelled: int = MAX_UNLABELLED,
 ) -> Model:
     """Learn from ``labels`` (doc_id, quality, toxic): a document is good if its quality is 1 and it is not toxic.
 
     Of repeated labels the worst counts; labels with a null, and of unknown documents, do not. At most
-    about ``max_labelled`` documents with a label and ``max_unlabelled`` without are sampled, by a hash
-    of the id; only their features come to the driver. Without both classes among them the model has
+    about ``max_labelled`` documents with a label are sampled, by a hash of the id; their features come to the
+    driver, and those of the few documents a round picks. All documents without a label take part in
+    every round, from a written table of their features; rows with a null id do not, and of rows that repeat an id one is
+    learnt from. Without both classes among the sample the model has
     no views and keeps everything. ``facts`` that are no columns of ``docs`` are left out.
     """
     facts = tuple(c for c in facts if c in docs.columns)
@@ -217,36 +268,32 @@ def fit(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
     good = known.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null")
-    chosen = _sampled(good, max_labelled)
-    unlabelled = _sampled(ids.distinct(), 2 * max_unlabelled).join(good, "doc_id", "left_anti")
-    unlabelled = _sampled(unlabelled, max_unlabelled).select("doc_id", F.lit(None).cast("int").alias("good"))
-    sample = chosen.unionByName(unlabelled)  # bounded by the two limits
+    good = materialize(good, "good")
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), *[F.col(c).cast("string").alias(f"fact{i}") for i, c in enumerate(facts)]
-    ).join(F.broadcast(sample), "doc_id")
+    ).filter("doc_id is not null")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns)))
             told = list(zip(*(columns[f"fact{i}"] for i in range(len(facts))))) or [()] * len(batch)
             kind = pa.list_(pa.int32())
             content = pa.array([_hashed(content_tokens(t)) for t in columns["text"]], kind)
             metadata = pa.array([_hashed(metadata_tokens(t, f)) for t, f in zip(columns["text"], told)], kind)
-            made = [batch.column(batch.schema.names.index(n)) for n in ("doc_id", "good")]
-            yield pa.RecordBatch.from_arrays([*made, content, metadata], names=["doc_id", "good", "content", "metadata"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), content, metadata], names=["doc_id", "content", "metadata"])
 
-    rows = map_batches(texts, features, "doc_id long, good int, content array<int>, metadata array<int>").toArrow()
-    rows = rows.sort_by("doc_id")
+    path = new_path(docs.sparkSession, "features")
+    map_batches(texts, made, "doc_id long, content array<int>, metadata array<int>").write.parquet(path)
+    features = docs.sparkSession.read.parquet(path)
+    chosen = _sampled(good, max_labelled)  # bounded by the limit
+    rows = features.join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
     content, metadata = ([x.values.to_numpy() for x in rows[c]] for c in ("content", "metadata"))
-    labels_ = rows["good"].to_pylist()
-    has = [i for i, g in enumerate(labels_) if g is not None]
-    free = [i for i, g in enumerate(labels_) if g is None]
-    y = np.array([labels_[i] for i in has], float)
-    aside = np.array([crc32(b"aside%d" % rows["doc_id"][i].as_py()) % 4 == 0 for i in has], bool)
-    if any(len(set(part.tolist())) < 2 for part in (y[aside], y[~aside])):
-        return Model(facts=facts)
-    model = cotrain([content[i] for i in has], [metadata[i] for i in has], y, aside, ([content[i] for i in free], [metadata[i] for i in free]))
+    y = np.array(rows["good"].to_pylist(), float)
+    aside = np.array([crc32(b"aside%d" % i) % 4 == 0 for i in rows["doc_id"].to_pylist()], bool)
+    model = Model()
+    if all(len(set(part.tolist())) == 2 for part in (y[aside], y[~aside])):
+        model = cotrain(content, metadata, y, aside, _most_certain(features, good))
+    delete_table(docs.sparkSession, path)
     model.facts = facts
     return model
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
-from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 
 from seedscape.llm.common import map_batches, text_bytes
 from seedscape.llm.components import connected_components
-from seedscape.llm.similar_sets import similar_sets
 from seedscape.scratch import materialize
 
 BITS, SEED = 64, 42
@@ -34,12 +32,6 @@ MEAN_GROUP = 8
 LEVELS, FRONTIER = (8, 16, 24, 32, 40, 48, 56, 64), 1 << 20
 #: Fingerprints that a task gathers before it builds an index.
 GATHER = 200_000
-#: 64-bit words of a wide fingerprint, and the levels of its index.
-WORDS, WIDE_LEVELS = 4, tuple(range(32, 257, 32))
-#: Share of the pairs exactly at the similarity that random masks may miss; others are missed less.
-MISSED = 0.05
-#: Shingles whose bits are counted at once.
-COUNTED = 1 << 15
 
 
 def _hashes(text: bytes, size: int) -> np.ndarray:
@@ -62,26 +54,6 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: bytes, size: int) -> np.ndarray:
-    """SimHash of ``WORDS`` words over the set of shingles; ties fall to each side in turn, no shingles give zeros."""
-    hashed = np.unique(_hashes(text, size))
-    if not len(hashed):
-        return np.zeros(WORDS, np.uint64)
-    ones = np.arange(64 * WORDS) % 2  # a tie sets every other bit
-    for at in range(0, len(hashed), COUNTED):
-        mixed = _mixed(hashed[at : at + COUNTED])
-        ones = ones + 2 * np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones > len(hashed), bitorder="little").view("<u8")
-
-
-def _mixed(hashed: np.ndarray) -> np.ndarray:
-    """``WORDS`` independent words of each hash, by the SplitMix64 finaliser."""
-    x = hashed[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.ascontiguousarray(x ^ (x >> np.uint64(31)))
-
-
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, text): rows are told apart by their id and a digest of their text."""
     text = text_bytes(text_col)
@@ -115,33 +87,6 @@ def masks(n: int, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(block, kept)]
 
 
-def random_masks(n: int, similarity: float) -> list[list[int]]:
-    """Masks over wide fingerprints, as words; all bits of one agree in nearly all pairs that are ``similarity`` alike.
-
-    They have as many bits as leave few unlike fingerprints together, and are as many as ``MISSED`` asks for.
-    """
-    bits = max(8, round(log2(max(n, 1) / (MEAN_GROUP / 2))))
-    agree = (1 - angle(similarity)) ** bits
-    rng = np.random.default_rng(SEED)
-    made = []
-    for _ in range(ceil(log(MISSED) / log(1 - agree)) if agree < 1 else 1):
-        chosen = np.zeros(64 * WORDS, np.uint8)
-        chosen[rng.choice(64 * WORDS, bits, replace=False)] = 1
-        made.append(np.packbits(chosen, bitorder="little").view("<i8").tolist())
-    return made
-
-
-def angle(similarity: float) -> float:
-    """Share of the bits in which sets of equal size and this similarity differ."""
-    return acos(2 * similarity / (1 + similarity)) / pi
-
-
-def wide_distance(similarity: float) -> int:
-    """Differing bits up to which wide fingerprints are linked: what ``similarity`` lets expect plus a standard error."""
-    share, bits = angle(similarity), 64 * WORDS
-    return round(bits * share + sqrt(bits * share * (1 - share)))
-
-
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Position of each code in the reflected Gray order; codes of several words are rows, the leading word first."""
     rank = codes.copy()
@@ -154,10 +99,21 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index over the fingerprints of many groups; only members of one group are compared."""
+    """Hierarchical index over the fingerprints of many groups; only members of one group are compared.
 
-    def __init__(self, group: np.ndarray, codes: np.ndarray, distance: int, levels: tuple[int, ...] = LEVELS) -> None:
+    ``same``, if given, decides by the places of two members within the distance whether they are linked.
+    """
+
+    def __init__(
+        self,
+        group: np.ndarray,
+        codes: np.ndarray,
+        distance: int,
+        levels: tuple[int, ...] = LEVELS,
+        same: Callable[[int, int], bool] | None = None,
+    ) -> None:
         codes = codes.reshape(len(codes), -1)
+        self.same = same
         self.order = np.lexsort((*gray_rank(codes).T[::-1], group))
         self.codes, self.group, self.distance, self.depth = codes[self.order], group[self.order], distance, len(levels)
         self.label = np.arange(len(codes))  # the smallest member it is known to be linked with
@@ -186,6 +142,18 @@ class GrayIndex:
             if np.array_equal(before, self.label):
                 return
 
+    def _accept(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Link near members; where ``same`` decides, nearest first, and only those not connected yet are asked for."""
+        if self.same is None:
+            self._link(a, b)
+            return
+        apart = np.bitwise_count(self.codes[a] ^ self.codes[b]).sum(axis=1, dtype=np.int64)
+        for k in np.argsort(apart, kind="stable").tolist():
+            x, y = int(a[k]), int(b[k])
+            if self.label[x] != self.label[y] and self.same(int(self.order[x]), int(self.order[y])):
+                low, high = sorted((self.label[x], self.label[y]))
+                self.label[self.label == high] = low
+
     def _one_component(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Per node: its members' smallest label, and whether they all have it."""
         least = np.minimum.reduceat(self.label, self.starts[level])
@@ -206,7 +174,7 @@ class GrayIndex:
         if len(self.codes) > 1:  # neighbours in Gray order first: most of a dense group is one component then
             near = np.bitwise_count(self.codes[1:] ^ self.codes[:-1]).sum(axis=1, dtype=np.int64) <= self.distance
             a = np.flatnonzero(near & (self.group[1:] == self.group[:-1]))
-            self._link(a, a + 1)
+            self._accept(a, a + 1)
             roots = np.arange(len(self.starts[0]))
             stack = [(0, roots, roots)]
             while stack:
@@ -219,7 +187,7 @@ class GrayIndex:
         open_ = ~(whole[a] & whole[b] & (least[a] == least[b]))
         a, b = a[open_], b[open_]
         if level == self.depth:
-            self._link(a, b)
+            self._accept(a, b)
             return
         first, behind = self.children[level][:-1], self.children[level][1:]
         n = (behind - first)[a] * (behind - first)[b]
@@ -317,28 +285,6 @@ def near_duplicates(
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", *more)
 
 
-def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, keyed: bool = False
-) -> DataFrame:
-    """(doc_id, component_id) of every row: texts whose sets of ``size``-word shingles have a Jaccard similarity of
-    ``similarity`` or more are linked, and the component is named by the smallest id in it.
-
-    Candidates come from a prefix filter that leaves no pair out, and are verified on the whole sets of 64-bit
-    hashes. Equal sets are one node, so copies never meet as pairs. Texts without words (null, empty) are copies
-    of one another. Rows with a null id stay and are linked, but name no component; a component without any id has
-    a null name. Repeated rows stay. No rows give no rows. Other columns take no part. If ``keyed``, text_key and
-    root, which tell texts and components apart, are added.
-    """
-    source = _source(docs, id_col, text_col)
-    prints, linked = similar_sets(source, lambda text: np.unique(_hashes(text, size)), similarity)
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
-    rooted = materialize(nodes.withColumn("root", F.coalesce("root", "node")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("node", "root", "component_id")
-    more = ["text_key", "root"] if keyed else []
-    return prints.join(named, "node").select("doc_id", "component_id", *more)
-
-
 def one_per_component(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """The document with the smallest id of each component that ``find`` names, in all its columns.
 

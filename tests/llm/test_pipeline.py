@@ -1,12 +1,11 @@
 import hashlib
 
-import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from seedscape.llm import bpe, decontaminate, pii, quality, simhash
+from seedscape.llm import bpe, decontaminate, pii, quality
 from seedscape.llm.queries import PATTERN, PSEUDONYM_KEY, RANKS
 
 SF = "/root/testdata/sf0.001"
@@ -45,9 +44,9 @@ def test_each_stage_against_brute_force(spark, odd):
     assert rows(good) == sorted(map(str, expected))
 
     single = pipeline.drop_near_copies(spark, good, SF).cache()
-    prints = [(r.doc_id, bytes(simhash.wide_fingerprint((r.text or "").encode(), 5))) for r in good.collect()]
-    names = _components(prints)
-    stay = {names[p] for _, p in prints} - {None}
+    sets = [(r.doc_id, _shingles(r.text or "")) for r in good.collect()]
+    names = _components(sets)
+    stay = {names[s] for _, s in sets} - {None}
     assert single.columns == odd.columns
     assert sorted(r.doc_id for r in single.collect() if r.doc_id is not None) == sorted(stay)
     assert single.filter("doc_id is null").count() == good.filter("doc_id is null").count()
@@ -105,27 +104,27 @@ def _contaminated(text, runs):
     return bool(hit) and 20 * len(hit) >= len(words)
 
 
-def _components(prints):
-    """Smallest id per fingerprint, by comparing all pairs under every mask."""
-    codes = sorted({p for _, p in prints})
-    words = {c: int.from_bytes(c, "little") for c in codes}
-    packed = lambda mask: int.from_bytes(np.array(mask, "<i8").tobytes(), "little")
-    masks = [packed(m) for m in simhash.random_masks(len(codes), 0.8)]
-    root = {c: c for c in codes}
-
-    def find(c):
-        while root[c] != c:
-            c = root[c]
-        return c
-
-    for i, a in enumerate(codes):
-        for b in codes[i + 1 :]:
-            differing = words[a] ^ words[b]
-            if differing.bit_count() <= simhash.wide_distance(0.8) and any(not differing & m for m in masks):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+def _shingles(text, size=5):
+    words = text.encode().lower().split()
+    return frozenset(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def _components(sets):
+    """Smallest id per set of shingles, by the true similarity of all pairs."""
+    kinds = sorted({s for _, s in sets}, key=sorted)
+    root = {s: s for s in kinds}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for i, a in enumerate(kinds):
+        for b in kinds[i + 1 :]:
+            if a & b and len(a & b) >= 0.8 * len(a | b):
+                root[find(b)] = find(a)
     least = {}
-    for i, p in prints:
+    for i, s in sets:
         if i is not None:
-            least[find(p)] = min(i, least.get(find(p), i))
-    return {p: least.get(find(p)) for p in codes}
+            least[find(s)] = min(i, least.get(find(s), i))
+    return {s: least.get(find(s)) for s in kinds}

@@ -5,6 +5,7 @@ import xxhash
 
 from seedscape.llm import simhash
 from seedscape.llm.components import connected_components
+from seedscape.llm.near_copies import near_copies
 
 
 def naive_print(text, size=4):
@@ -104,66 +105,34 @@ def test_components_of_a_chain_a_hub_and_nulls(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def varied(seed=3, n=60, length=400):
-    """Texts and copies of them in which some words are replaced: ids, texts."""
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
-    rows = []
-    for _ in range(n):
-        words = [word() for _ in range(length)]
-        rows.append((len(rows), " ".join(words)))
-        for replaced in (1, 3, 8, 150):
-            changed = list(words)
-            for at in rng.sample(range(length), replaced):
-                changed[at] = word()
-            rows.append((len(rows), " ".join(changed)))
-    return rows
-
-
-def shingle_set(text, size=5):
-    words = text.split()
-    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-
-
-def test_near_copies_by_similarity(spark, monkeypatch):
-    """Copies with a similarity of 0.8 or more are found, those far below are not, also where groups are cut in blocks."""
-    rows = varied()
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = [shingle_set(t) for _, t in rows]
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    for block in (65_536, 3):
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        named = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
-        found = total = 0
-        for i in range(0, len(rows), 5):
-            for j in range(i + 1, i + 5):
-                if alike(i, j) >= 0.8:
-                    total += 1
-                    found += named[j] == i
-            assert named[i] == i and named[i + 4] == i + 4 and alike(i, i + 4) < 0.2
-        assert total >= 150 and found >= 0.9 * total
-
-
-def test_near_copies_of_odd_rows(docs, texts, no_docs):
-    rows = simhash.near_copies(docs).collect()
-    assert len(rows) == docs.count() and rows[0].asDict().keys() == {"doc_id", "component_id"}
-    named = {r.doc_id: r.component_id for r in rows}
-    empty = [i for i, t in enumerate(texts) if not (t or "").split()]
-    assert {named[i] for i in empty} == {min(empty)}
-    assert named[45] == named[44] == named[0] == 0
-    assert simhash.near_copies(no_docs).count() == 0
-
-
-def test_wide_fingerprint_by_hand():
-    """Every bit by counting over the set of shingles; more shingles than are counted at once."""
-    for words in (["a"], list("abcdefg"), [str(i) for i in range(simhash.COUNTED + 50)], list("abcde") * 9):
-        text = " ".join(words)
-        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingle_set(text)]
-        mixed = simhash._mixed(np.array(sorted(hashes), np.uint64))
-        code = simhash.wide_fingerprint(text.encode(), 5)
-        for bit in (0, 1, 2, 63, 64, 129, 255):
-            ones = sum(int(m[bit // 64]) >> (bit % 64) & 1 for m in mixed)
-            assert int(code[bit // 64]) >> (bit % 64) & 1 == (2 * ones + bit % 2 > len(mixed))
+def test_index_that_asks_links_only_what_it_is_told(monkeypatch):
+    """Members that may not be linked stay apart."""
+    codes = np.array(clustered(300, 4), np.uint64)
+    asked = []
+
+    def same(a, b):
+        asked.append((a, b))
+        return a % 2 == b % 2
+
+    index = simhash.GrayIndex(np.zeros(len(codes), np.int64), codes, 4, simhash.LEVELS, same)
+    found = smallest_of(len(codes), zip(*(x.tolist() for x in index.places())))
+    near = lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= 4
+    wanted = smallest_of(len(codes), [(a, b) for b in range(len(codes)) for a in range(b) if near(a, b) and a % 2 == b % 2])
+    assert found == wanted and len(asked) < 3 * len(codes) + sum(a != b for a, b in enumerate(wanted)) * 20
+
+
+def smallest_of(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
 
 
 def test_gray_rank_of_several_words():
@@ -188,5 +157,5 @@ def test_different_texts_with_one_id(spark):
     one, own, other = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4")
     rows = [(1, one, "rep"), (2, one, "copy"), (2, own, "own"), (2, other, "other"), (2, other, "other"), (3, own, "late")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    for find in (simhash.near_copies, simhash.near_duplicates):
+    for find in (near_copies, simhash.near_duplicates):
         assert sorted(r.kind for r in simhash.one_per_component(frame, find).collect()) == ["other", "own", "rep"]
