@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seedscape.llm import bpe, decontaminate, pii, quality, simhash
 from seedscape.llm.common import delete_table, read_table
+from seedscape.llm.near_copies import near_copies
 from seedscape.llm.queries import PATTERN, PSEUDONYM_KEY, RANKS
 from seedscape.scratch import new_path
 
@@ -34,7 +35,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.one_per_component(docs, simhash.near_copies, size=5, similarity=0.8)
+    return simhash.one_per_component(docs, near_copies, size=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def replace_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of what they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), RANKS, PATTERN).drop("text"), RANKS)
+    coded = bpe.encode(docs.select("doc_id", "text"), RANKS, PATTERN, decoded_col="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
