@@ -14,7 +14,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +33,7 @@ WINDOWS, WINDOW_IDS = 1 << 17, 48
 #: Texts longer than this many characters are encoded in pieces cut before a space between two letters, see ``Pair``.
 PIECE = 1 << 17
 #: Characters of the texts that are encoded at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 20
 
 # Fixed value: how byte-level vocabularies of this kind cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,9 +79,10 @@ class Pair:
         ranks = {self.a_bytes[i]: i for token, i in vocab.items() if i not in added}
         in_order = merged == list(range(len(ranks) - len(merged), len(ranks))) and given["pre_tokenizer"].get("use_regex")
         self.by_rank = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
-        self.a_names, self.b_names = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        # a token in the text of a group, inside its side and at its end
+        self.a_parts = np.array([[f"{i}{mark}" for i in range(len(self.a_bytes))] for mark in (",", "|")], object)
+        self.b_parts = np.array([[f"{i}{mark}" for i in range(len(self.b_bytes))] for mark in (",", ";")], object)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_size_list, self.b_size_list = self.a_sizes.tolist(), self.b_sizes.tolist()
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
         # no piece goes on over a space, so nothing is merged across one: pieces cut there encode as they do in the text
         self.cuts_at_spaces = not any(re.search("[^▁]▁", p) for p in pieces)
@@ -124,29 +124,30 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def align_window(a: list[int], b: list[int], of: Pair) -> tuple[str, int, bytes]:
-    """Groups of two token sequences over the same bytes as text, their number, and every overlapping pair as a packed number."""
-    a_sizes, b_sizes, a_names, b_names = of.a_size_list, of.b_size_list, of.a_names, of.b_names
-    i = j = 0
-    a_end, b_end, left, right = a_sizes[a[0]], b_sizes[b[0]], a_names[a[0]], b_names[b[0]]
-    groups, links = [], array("q")
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if a_end == b_end:
-            groups.append(f"{left}|{right}")
-            i += 1
-            j += 1
-            if i == len(a):
-                return ";".join(groups), len(groups), links.tobytes()
-            a_end, b_end, left, right = a_end + a_sizes[a[i]], b_end + b_sizes[b[j]], a_names[a[i]], b_names[b[j]]
-        elif a_end < b_end:
-            i += 1
-            a_end += a_sizes[a[i]]
-            left += "," + a_names[a[i]]
-        else:
-            j += 1
-            b_end += b_sizes[b[j]]
-            right += "," + b_names[b[j]]
+def align_windows(a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray, of: Pair) -> list[tuple[str, int, bytes]]:
+    """Per window its groups as text, their number, and every overlapping pair as a packed number.
+
+    Windows hold the same bytes on both sides, so all of them are aligned as one sequence. Between two neighbouring
+    ends, of whichever side, lies one overlapping pair.
+    """
+    a_ends, b_ends = np.cumsum(of.a_sizes[a]), np.cumsum(of.b_sizes[b])
+    ends = np.union1d(a_ends, b_ends)
+    pairs = a[np.searchsorted(a_ends, ends)].astype(np.int64) << 32 | b[np.searchsorted(b_ends, ends)]
+    shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+    a_last, b_last = (np.append(group[1:] != group[:-1], True) for group in (a_group, b_group))
+    parts = np.concatenate([of.a_parts[a_last.astype(int), a], of.b_parts[b_last.astype(int), b]])
+    parts = parts[np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")].tolist()
+
+    window_ends = a_ends[a_to - 1]
+    part_to, pair_to = (a_to + b_to).tolist(), np.searchsorted(ends, window_ends, side="right").tolist()
+    group_to = np.searchsorted(shared, window_ends, side="right")
+    sizes, raw = np.diff(group_to, prepend=0).tolist(), pairs.tobytes()
+    made, part, pair_ = [], 0, 0
+    for to_part, to_pair, n_groups in zip(part_to, pair_to, sizes):
+        made.append(("".join(parts[part:to_part])[:-1], n_groups, raw[8 * pair_ : 8 * to_pair]))
+        part, pair_ = to_part, to_pair
+    return made
 
 
 class Windows:
@@ -170,18 +171,25 @@ class Windows:
     def aligned(self, a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray) -> tuple[list[tuple[str, int, bytes]], np.ndarray]:
         """The different windows, aligned, and for each window which one it is."""
         first, which = _different((a, a_to), (b, b_to))
-        a_raw, b_raw, a_list, b_list = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-        found = []
+        a_raw, b_raw = a.tobytes(), b.tobytes()
+        found: list = []
+        new: list[tuple] = []
         for i, to_a, j, to_b in zip(_starts(a_to)[first].tolist(), a_to[first].tolist(), _starts(b_to)[first].tolist(), b_to[first].tolist()):
             key = (a_raw[4 * i : 4 * to_a], b_raw[4 * j : 4 * to_b])
             known = self.lately.get(key)
-            if known is None:
-                known = self.before.get(key) or align_window(a_list[i:to_a], b_list[j:to_b], self.of)
-                if to_a - i + to_b - j <= WINDOW_IDS:
+            if known is None and (known := self.before.get(key)) is None:
+                new.append((len(found), key))
+            found.append(known)
+        if new:
+            sides = [b"".join(key[side] for _, key in new) for side in (0, 1)]
+            sizes = [np.cumsum([len(key[side]) // 4 for _, key in new]) for side in (0, 1)]
+            made = align_windows(*(np.frombuffer(raw, np.int32) for raw in sides), *sizes, self.of)
+            for (at, key), known in zip(new, made):
+                found[at] = known
+                if len(key[0]) + len(key[1]) <= 4 * WINDOW_IDS:
                     if len(self.lately) >= WINDOWS:
                         self.before, self.lately = self.lately, {}
                     self.lately[key] = known
-            found.append(known)
         return found, which
 
 
