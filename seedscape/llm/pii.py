@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -202,21 +203,27 @@ _WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey")
 def pseudonymized(text: str, cipher: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its values replaced, and where in it the pseudonyms stand: (kind, start, end)."""
     numbers, small = _NUMBER.search(text) is not None, text.lower()
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order; no two overlap
     for kind, shape, replace in _SHAPES:
         if kind in _MARKS:
             possible = _MARKS[kind] in text
         else:
             possible = any(w in small for w in _WORDS) if kind == "secret" else numbers
+        made = []
         if possible:
             for m in shape.finditer(text):
+                at = bisect_left(found, (m.end(),))  # those before it begin before this value ends
+                if at and found[at - 1][1] > m.start():
+                    continue
                 new = replace(m.group(), cipher)
-                if new is not None and all(m.end() <= a or b <= m.start() for a, b, _, _ in found):
-                    found.append((m.start(), m.end(), kind, new))
+                if new is not None:
+                    made.append((m.start(), m.end(), kind, new))
+            if made:  # matches of one shape do not overlap each other
+                found = sorted(found + made)
     if not found:
         return text, []
     out, places, at, length = [], [], 0, 0
-    for start, end, kind, new in sorted(found):
+    for start, end, kind, new in found:
         out += [text[at:start], new]
         length += start - at
         places.append((kind, length, length + len(new)))

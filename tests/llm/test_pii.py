@@ -104,3 +104,16 @@ def test_long_secrets_change_all_over():
         new, places = pii.pseudonymized(f"token={value}", pii.Feistel(KEY))
         assert len(places) == 1 and all(new[6 + at : 22 + at] != value[at : at + 16] for at in range(0, n - 15, 16))
         assert pii.pseudonymized(new, pii.Feistel(KEY, backward=True))[0] == f"token={value}"
+
+
+def test_many_values_in_one_text_take_time_in_proportion():
+    import time
+
+    cipher = pii.Feistel(b"k")
+    spent = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"+1 (988) 555-{i % 10000:04d} and 192.168.{i % 256}.7" for i in range(n))
+        begun = time.process_time()
+        assert len(pii.pseudonymized(text, cipher)[1]) == 2 * n
+        spent.append(time.process_time() - begun)
+    assert spent[1] < 8 * spent[0]
