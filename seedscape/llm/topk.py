@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,9 +81,12 @@ def _first(k: int, q: np.ndarray, place: np.ndarray, score: np.ndarray) -> np.nd
     return order[nth < k]
 
 
-def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = rows["id"].to_numpy()
-    return ids, pc.list_flatten(rows["vector"]).to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+def _matrix(rows: pa.Table, width: int) -> np.ndarray:
+    """The vectors as rows, shorter ones filled up with zeros."""
+    sizes = pc.list_value_length(rows["vector"]).to_numpy()
+    made = np.zeros((len(rows), width), np.int64)
+    made[np.arange(width) < sizes[:, None]] = pc.list_flatten(rows["vector"]).to_numpy()
+    return made
 
 
 def top_k(
@@ -91,61 +95,85 @@ def top_k(
     """The ``k`` stored vectors with the highest integer inner product for each query:
     (query_id, rank from 1, ``id_col`` as vec_id, score), ties to the smaller id.
 
-    Vectors are arrays of long of one length (see ``quantized``); a null vector, or a null id,
-    takes no part. Rows that repeat an id count once, with the smallest of their vectors.
-    A query never finds its own id; fewer than ``k`` candidates give shorter lists, no
+    Vectors are arrays of long (see ``quantized``); a null vector takes no part, and shorter ones count as filled up with
+    zeros. Every stored row is a candidate of its own, also where rows repeat an id or are equal; a query never finds
+    its own row, that is one row with its id and vector. Rows without an id are candidates too, behind others of their
+    score, and may ask. Queries that repeat an id have a list each. Fewer than ``k`` candidates give shorter lists, no
     candidates or queries give no rows. Sums beyond 64 bits wrap around.
 
     Work is cut into cells of stored vectors and queries, whose numbers follow the input; each
-    cell is one group of bounded size and returns at most ``k`` rows per query.
+    cell is one group of bounded size and returns at most ``k`` rows per query. Equal rows travel once, with their number.
     """
     query_id_col = query_id_col or id_col
 
     def once(df: DataFrame, name: str) -> DataFrame:
-        usable = df.select(F.col(name).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-        return usable.filter("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
+        usable = df.select(F.col(name).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter("vector is not null")
+        counted = usable.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("copies"))
+        return counted.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("nameless"), "vector", "copies")
 
     rows = materialize(once(stored, id_col), "stored")
     asked = materialize(once(queries, query_id_col), "queries")
     row_cells = max(1, -(-rows.count() // TASK_ROWS))
     query_cells = max(1, -(-asked.count() // TASK_QUERIES))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sides = (
-        rows.select(dealt(row_cells).alias("r"), each(query_cells).alias("q"), "id", "vector", F.lit(False).alias("asks"))
-        .unionByName(asked.select(each(row_cells).alias("r"), dealt(query_cells).alias("q"), "id", "vector", F.lit(True).alias("asks")))
+        rows.select(dealt(row_cells).alias("r"), each(query_cells).alias("q"), "id", "nameless", "vector", "copies", F.lit(False).alias("asks"))
+        .unionByName(asked.select(each(row_cells).alias("r"), dealt(query_cells).alias("q"), "id", "nameless", "vector", "copies", F.lit(True).alias("asks")))
     )
 
     def search(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        (ids, stored_rows), (query_ids, query_rows) = (_matrix(cell.filter(pc.equal(cell["asks"], x))) for x in (False, True))
-        if not len(ids) or not len(query_ids):
+        kept, asked_ = (cell.filter(pc.equal(cell["asks"], x)) for x in (False, True))
+        if not len(kept) or not len(asked_):
             return
-        order = np.argsort(ids)  # a lower column is a smaller id
-        ids, stored_rows = ids[order], stored_rows[order]
+        kept = kept.sort_by([("nameless", "ascending"), ("id", "ascending")])  # a lower column is a smaller id
+        width = pc.max(pc.list_value_length(cell["vector"])).as_py()
+        stored_rows, query_rows = _matrix(kept, width), _matrix(asked_, width)
+        ids, nameless, copies = (kept[c].to_numpy() for c in ("id", "nameless", "copies"))
+        query_ids, query_nameless, query_copies = (asked_[c].to_numpy() for c in ("id", "nameless", "copies"))
+        query_no = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in query_rows], np.uint64).view(np.int64)
         bound = int(np.abs(stored_rows).max(initial=0)) * int(np.abs(query_rows).max(initial=0)) * stored_rows.shape[1]
         kind = np.int32 if bound < 2**31 else np.int64
         stored_rows, query_rows = stored_rows.astype(kind), query_rows.astype(kind)
         blocks = [(at, stored_rows[at : at + BLOCK_ROWS]) for at in range(0, len(ids), BLOCK_ROWS)]
         blocks = [(at, len(block), postings_of(block)) for at, block in blocks]
         for first in range(0, len(query_ids), BLOCK_QUERIES):
-            asking, asking_ids = query_rows[first : first + BLOCK_QUERIES], query_ids[first : first + BLOCK_QUERIES]
+            asking = query_rows[first : first + BLOCK_QUERIES]
+            part = slice(first, first + len(asking))
             parts = []
             for at, n, postings in blocks:
                 scores = scatter_scores(asking, postings, n)
-                q, column = best_of(scores, asking_ids[:, None] == ids[None, at : at + n], k)
-                parts.append((q, ids[at + column], scores[q, column].astype(np.int64)))
-            q, found, score = map(np.concatenate, zip(*parts))
+                here = slice(at, at + n)
+                own = (query_ids[part, None] == ids[None, here]) & (query_nameless[part, None] == nameless[None, here])
+                q, column = np.nonzero(own)
+                own[q, column] = (asking[q] == stored_rows[at + column]).all(axis=1)
+                left = np.broadcast_to(copies[here], own.shape) - own
+                q, column = best_of(scores, left == 0, k)
+                parts.append((q, at + column, scores[q, column].astype(np.int64), left[q, column]))
+            q, found, score, left = map(np.concatenate, zip(*parts))
             keep = _first(k, q, found, score)  # the blocks' lists merged
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(asking_ids[q[keep]]), pa.array(found[keep]), pa.array(score[keep])],
-                names=["query_id", "vec_id", "score"],
-            )
-
-    made = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+            q, found = part.start + q[keep], found[keep]
+            columns = [
+                pa.array(query_ids[q], mask=query_nameless[q]),
+                pa.array(query_no[q]),
+                pa.array(query_copies[q]),
+                pa.array(ids[found], mask=nameless[found]),
+                pa.array(score[keep]),
+                pa.array(left[keep].astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=made)
+
+    names = ("query_id", "query_no", "query_copies", "vec_id", "score", "copies")
+    made = pa.schema([(name, pa.int64()) for name in names])
     lists = sides.groupBy("r", "q").applyInArrow(
-        lambda cell: pa.Table.from_batches(search(cell), made), "query_id long, vec_id long, score long"
+        lambda cell: pa.Table.from_batches(search(cell), made), ", ".join(f"{name} long" for name in names)
     )
-    merged = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = lists.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
-
+    # equal candidates stand behind each other, each with a rank of its own
+    order = W.partitionBy("query_id", "query_no").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    nth = lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    last = F.sum("copies").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = nth.withColumn("last", last).withColumn("first", F.col("last") - F.col("copies") + 1).filter(F.col("first") <= k)
+    ranks = F.explode(F.sequence("first", F.least("last", F.lit(k)))).alias("rank")
+    ranked = placed.select("query_id", "query_copies", ranks, "vec_id", "score")
+    repeated = ranked.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "query_copies")).alias("list"))
+    return repeated.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
