@@ -31,20 +31,22 @@ def turns_of(conversations: DataFrame, by: str = "conv_id") -> DataFrame:
     """One row per conversation: its ``turns`` in the order of ``turn``, then role, then text.
 
     Null turn numbers come first, a null role or text is empty, repeated turns stay. Rows without
-    an id are one conversation. A conversation is one training record and has to fit into a row.
+    an id belong to no other row: each is a conversation of its own. A conversation is one training record and has to
+    fit into a row.
     """
     blank = F.lit("")
     rows = conversations.select(
         F.col(by),
         F.struct(F.col("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text")).alias("t"),
     )
-    ordered = F.array_sort(F.collect_list("t"))
-    return rows.groupBy(by).agg(F.transform(ordered, lambda t: F.struct(t["role"], t["text"])).alias("turns"))
+    plain = lambda turns: F.transform(turns, lambda t: F.struct(t["role"], t["text"])).alias("turns")
+    whole = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(plain(F.array_sort(F.collect_list("t"))))
+    return whole.unionByName(rows.filter(F.col(by).isNull()).select(by, plain(F.array("t"))))
 
 
 def pairs_by_last_reply(conversations: DataFrame, by: str = "conv_id", assistant: str = "assistant") -> DataFrame:
     """A pair for each conversation: ``chosen`` are its turns up to the assistant's last reply, ``rejected``
-    the same turns with a stale reply, the assistant's first, in its place.
+    the same turns with a stale reply, the assistant's first, in its place; ``closing`` are the turns after that reply.
 
     Where the first reply is no different text, the rejected turns end without a reply. Conversations
     without any reply are paired with themselves.
@@ -60,6 +62,7 @@ def pairs_by_last_reply(conversations: DataFrame, by: str = "conv_id", assistant
         by,
         F.when(last.isNull(), F.col("turns")).otherwise(F.slice("turns", 1, F.coalesce(last, F.lit(0)))).alias("chosen"),
         F.when(last.isNull(), F.col("turns")).when(differs, F.concat(before, F.array(stale))).otherwise(before).alias("rejected"),
+        F.when(last.isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("turns", F.coalesce(last, F.lit(0)) + 1, F.size("turns"))).alias("closing"),
     )
 
 
@@ -78,6 +81,11 @@ def _written(turn: Column, template: Template) -> tuple[Column, Column]:
     return head, F.concat(clean(turn["text"]), F.lit(template.end))
 
 
+def rendered(turns: Column, template: Template = Template()) -> Column:
+    """Turns as one text."""
+    return _rendered(turns, template)
+
+
 def _rendered(turns: Column, template: Template) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(*_written(t, template))), "")
 

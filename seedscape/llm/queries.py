@@ -61,8 +61,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat.pairs_by_last_reply(read_table(spark, sf_dir, "conversations"))
     spans = lambda side: F.array_join(F.transform(f"{side}_trained", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return chat.format_preferences(pairs).select(
+    return chat.format_preferences(pairs.withColumn("closing", chat.rendered(F.col("closing")))).select(
         "conv_id",
+        "closing",
         "prompt_turns",
         "prompt",
         "chosen",
@@ -312,16 +313,19 @@ ORACLES = {
         ), replies AS (
             SELECT conv_id, max(p) FILTER (role = 'assistant') AS last, count(*) AS n, arg_min(text, p) FILTER (role = 'assistant') AS stale,
                    arg_max(text, p) FILTER (role = 'assistant') AS reply FROM turns GROUP BY conv_id
+        ), ends AS (
+            SELECT conv_id, string_agg('<|start|>' || role || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY p) FILTER (p > last) AS closing
+            FROM turns JOIN replies USING (conv_id) GROUP BY conv_id
         ), prompts AS (
             SELECT conv_id, string_agg('<|start|>' || role || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY p)
                    FILTER (last IS NULL OR p < last) AS prompt
             FROM turns JOIN replies USING (conv_id) GROUP BY conv_id
         )
-        SELECT conv_id, CAST(coalesce(last - 1, n) AS INTEGER) AS prompt_turns, coalesce(prompt, '') AS prompt,
+        SELECT conv_id, coalesce(closing, '') AS closing, CAST(coalesce(last - 1, n) AS INTEGER) AS prompt_turns, coalesce(prompt, '') AS prompt,
                CASE WHEN last IS NULL THEN '' ELSE '<|start|>assistant' || chr(10) || reply || '<|end|>' || chr(10) END AS chosen,
                CASE WHEN last IS NULL OR stale = reply THEN '' ELSE '<|start|>assistant' || chr(10) || stale || '<|end|>' || chr(10) END AS rejected,
                CASE WHEN last IS NULL THEN '' ELSE '19-' || (27 + length(reply)) END AS chosen_trained,
                CASE WHEN last IS NULL OR stale = reply THEN '' ELSE '19-' || (27 + length(stale)) END AS rejected_trained
-        FROM replies JOIN prompts USING (conv_id)
+        FROM replies JOIN prompts USING (conv_id) JOIN ends USING (conv_id)
     """,
 }

@@ -71,4 +71,15 @@ def test_pairs_from_conversations(spark):
         5: ([("", ""), ("user", "q"), ("user", "q")],) * 2,
         None: ([("user", "lost")], [("user", "lost")]),
     }
+    closing = {r.conv_id: [tuple(t) for t in r.closing] for r in chat.pairs_by_last_reply(frame).collect()}
+    assert closing == {1: [("user", "bye")], 2: [], 3: [], 4: [], 5: [], None: []}
     assert chat.format_preferences(chat.pairs_by_last_reply(frame.limit(0))).count() == 0
+
+
+def test_rows_without_an_id_are_not_gathered(spark):
+    """Each is a conversation of its own; other columns, of whatever name, take no part; a long conversation stays whole."""
+    rows = [(None, i % 2, "assistant" if i % 2 else "user", f"t{i}") for i in range(50)] + [(1, i, "user", "x" * 100) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "'clash' AS t", "1 AS turns", "2 AS closing")
+    found = chat.turns_of(frame)
+    assert found.filter("conv_id is null and size(turns) = 1").count() == 50
+    assert found.filter("conv_id = 1").selectExpr("size(turns)").first()[0] == 3000
