@@ -24,6 +24,7 @@ from pyspark.ml.feature import Bucketizer, SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedscape.operators.model_tables import part
 from seedscape.operators.ordering import running_totals
 from seedscape.scratch import materialize
 
@@ -159,7 +160,12 @@ def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 500) ->
         own += np.where(np.arange(len(own)) <= s["bin"], s["low"], s["high"])
     terms = [_sum_of_leaves(f, edges[f], values[f] / max(len(stumps), 1)) for f in features]
     total = " + ".join(terms) or "0.0D"
-    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-2 * ({total}))) AS model_score FROM __THIS__")])
+    model = PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-2 * ({total}))) AS model_score FROM __THIS__")])
+    model.parts = [part("constant", sum(2 * values[f][0] for f in features) / max(len(stumps), 1))]
+    for f in features:
+        gains = 2 * np.diff(values[f]) / max(len(stumps), 1)
+        model.parts += [part("step", gain, f, edge) for edge, gain in zip(edges[f], gains) if gain]
+    return model
 
 
 def _sum_of_leaves(feature: str, edges: Sequence[float], values: np.ndarray) -> str:

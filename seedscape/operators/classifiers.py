@@ -15,18 +15,20 @@ from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seedscape.operators.boosting import fit_boosted
 from seedscape.operators.features import assembler
+from seedscape.operators.model_tables import linear_parts
 from seedscape.operators.newton import fit_logistic, join_runs, optimality
 from seedscape.operators.ordering import running_totals
 from seedscape.operators.ranking import r_precision, rank_candidates
 from seedscape.operators.similarity import count_listed, vocabulary
 from seedscape.operators.totals import attach_totals
-from seedscape.scratch import materialize
+from seedscape.scratch import materialize, new_path
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
@@ -96,7 +98,9 @@ def coefficients_model(features: Sequence[str], beta: Sequence[float]) -> Pipeli
     """A pipeline model that applies the coefficients of one run."""
     terms = [f"`{f}` * {float(b)!r}D" for f, b in zip(features, beta)]
     margin = " + ".join([*terms, f"{float(beta[-1])!r}D"])
-    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-({margin}))) AS model_score FROM __THIS__")])
+    model = PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-({margin}))) AS model_score FROM __THIS__")])
+    model.parts = linear_parts(features, beta, beta[-1])
+    return model
 
 
 def logistic(penalty: str = "l2", balanced: bool = False) -> Logistic:
@@ -220,9 +224,23 @@ def compare_feature_sets(
     return r_precision(rank_candidates(scored, ["feature_set"]), num_relevant, ["feature_set"])
 
 
-@F.udf(VectorUDT())
-def _sparse(size: int, places: list[int] | None, weights: list[float] | None) -> SparseVector:
-    return SparseVector(size, places or [], weights or [])
+def as_vectors(rows: DataFrame, size: int, places: str, weights: str, out_col: str) -> DataFrame:
+    """``rows`` with the sparse vector of two arrays in their place, null arrays as zeros.
+
+    A vector column is stored as a struct. So the struct is written, and read back under the type.
+    """
+    none = F.array()
+    stored = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.coalesce(places, none.cast("array<int>")).alias("indices"),
+        F.coalesce(weights, none.cast("array<double>")).alias("values"),
+    )
+    kept = rows.drop(places, weights, out_col)
+    path = new_path(rows.sparkSession, "vectors")
+    rows.select(*kept.columns, stored.alias(out_col)).write.parquet(path)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out_col, VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -247,7 +265,7 @@ class BagOfWords:
             "id", F.col("_weights.place").alias("_places"), F.transform("_weights", lambda w: w["weight"] / F.col("_length")).alias("_values")
         )
         joined = rows.join(scaled, "id", "left")
-        return joined.withColumn(self.out_col, _sparse(F.lit(self.size), "_places", "_values")).drop("_places", "_values")
+        return as_vectors(joined, self.size, "_places", "_values", self.out_col)
 
 
 def bag_of_words(rows: DataFrame, tokens_col: str, min_df: int = 10, out_col: str = "bag_of_words") -> BagOfWords:

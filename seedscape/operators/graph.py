@@ -1,7 +1,9 @@
 """Following citations.
 
 Edges are ``(id, cited_id)``; a set of items is a table with an ``id`` column and,
-for many runs at once, the run's key columns (``by``).
+for many runs at once, the run's key columns (``by``). Runs travel along the edges as
+bits: an ID has one row for up to 64 runs that have reached it, so edges are joined once per ID,
+however many runs there are.
 """
 
 from __future__ import annotations
@@ -11,8 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedscape.operators.newton import join_runs
+from seedscape.operators.ordering import running_totals
 from seedscape.scratch import materialize
 
+#: Runs that one row of an ID stands for.
+RUNS_PER_ROW = 64
+
 
 def out_citations(edges: DataFrame, ids: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Edges whose citing side is in the set."""
@@ -57,6 +64,25 @@ def follow_citations(ids: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -
     return steps.select(*by, F.explode(F.array("near", "far")).alias("id")).distinct()
 
 
+def number_runs(ids: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(by, chunk, bit)``: where in the rows of an ID each run has its bit."""
+    numbered = running_totals(ids.select(*by).distinct(), [F.col(k) for k in by])
+    at = F.col("rank") - 1
+    placed = numbered.select(*by, F.floor(at / RUNS_PER_ROW).cast("long").alias("chunk"), (at % RUNS_PER_ROW).cast("int").alias("place"))
+    return materialize(placed.select(*by, "chunk", F.expr("shiftleft(1L, place)").alias("bit")), "runs")
+
+
+def to_bits(ids: DataFrame, runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(id, chunk, bits)``: the runs that each ID belongs to."""
+    return join_runs(ids.select(*by, "id"), runs, by).groupBy("id", "chunk").agg(F.bit_or("bit").alias("bits"))
+
+
+def from_bits(reached: DataFrame, runs: DataFrame, by: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """``(by, id)`` of rows ``(id, chunk, bits)``."""
+    held = reached.join(runs, "chunk").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return held.select(*by, "id", *more)
+
+
 def expand(seeds: DataFrame, edges: DataFrame, degrees: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """Follow citations ``degrees`` times.
 
@@ -65,14 +91,26 @@ def expand(seeds: DataFrame, edges: DataFrame, degrees: int = 2, by: Sequence[st
     is broadcast, a large one is shuffled. Being a plain scan, it leaves the join
     open to the adaptive split of hubs; the seeds should be a plain table as well.
     """
-    ring = seeds.select(*by, "id")
+    if by:
+        return _expand_runs(seeds, edges, degrees, by)
+    ring = seeds.select("id")
     for step in range(degrees):
-        ring = follow_citations(ring, edges, by)
+        ring = follow_citations(ring, edges)
         if step < degrees - 1:
             ring = materialize(ring, "ring")
     return ring
 
 
+def _expand_runs(seeds: DataFrame, edges: DataFrame, degrees: int, by: Sequence[str]) -> DataFrame:
+    runs = number_runs(seeds, by)
+    ring = materialize(to_bits(seeds, runs, by), "ring")
+    for _ in range(degrees):
+        steps = both_ways(edges).join(ring.withColumnRenamed("id", "near"), "near")
+        ends = steps.select(F.explode(F.array("near", "far")).alias("id"), "chunk", "bits")
+        ring = materialize(ends.groupBy("id", "chunk").agg(F.bit_or("bits").alias("bits")), "ring")
+    return from_bits(ring, runs, by)
+
+
 def attach_papers(ids: DataFrame, papers: DataFrame) -> DataFrame:
     """The paper record of each ID; IDs without a record drop out."""
     return ids.join(papers, "id")
@@ -87,18 +125,33 @@ def references_of(edges: DataFrame, paper_id: str, direction: str = "out") -> Da
 
 def neighbour_counts(ids: DataFrame, edges: DataFrame, degrees: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """How often each ID is reached over all steps, counting every edge."""
-    ring = materialize(ids.select(*by, "id").distinct(), "ring")
+    if by:
+        return _count_for_runs(ids, edges, degrees, by)
+    ring = materialize(ids.select("id").distinct(), "ring")
     reached = []
     for step in range(degrees):
-        hits = _neighbours(ring, edges, by).groupBy(*by, F.col("far").alias("id")).agg(F.count("*").alias("n"))
+        hits = _neighbours(ring, edges, ()).groupBy(F.col("far").alias("id")).agg(F.count("*").alias("n"))
         if step < degrees - 1:
             hits = materialize(hits, "reached")
         reached.append(hits)
-        ring = hits.select(*by, "id")
+        ring = hits.select("id")
     total = reached[0]
     for more in reached[1:]:
         total = total.unionByName(more)
-    return total.groupBy(*by, "id").agg(F.sum("n").alias("n_reached"))
+    return total.groupBy("id").agg(F.sum("n").alias("n_reached"))
+
+
+def _count_for_runs(ids: DataFrame, edges: DataFrame, degrees: int, by: Sequence[str]) -> DataFrame:
+    """Edges into an ID are counted per set of runs first, and only then run by run."""
+    runs = number_runs(ids, by)
+    ring, total = materialize(to_bits(ids, runs, by), "ring"), None
+    for _ in range(degrees):
+        steps = both_ways(edges).join(ring.withColumnRenamed("id", "near"), "near")
+        hits = materialize(steps.groupBy(F.col("far").alias("id"), "chunk", "bits").agg(F.count("*").alias("n")), "reached")
+        total = hits if total is None else total.unionByName(hits)
+        ring = hits.groupBy("id", "chunk").agg(F.bit_or("bits").alias("bits"))
+    sums = total.groupBy("id", "chunk", "bits").agg(F.sum("n").alias("n"))
+    return from_bits(sums, runs, by, ["n"]).groupBy(*by, "id").agg(F.sum("n").alias("n_reached"))
 
 
 def lists_of_reviews(edges: DataFrame, reviews: DataFrame, direction: str = "out") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seedscape.operators.classifiers import Fitter, default_classifiers, logistic, score_rows, select_model
 from seedscape.operators.features import Feature, default_feature_set, with_features
 from seedscape.operators.graph import attach_papers, expand
+from seedscape.operators.model_tables import score_with_tables
 from seedscape.operators.newton import score_runs
 from seedscape.operators.prep import drop_unclustered, prepare_candidates
 from seedscape.operators.ranking import (
@@ -26,7 +27,7 @@ from seedscape.operators.ranking import (
 from seedscape.operators.sampling import split_seeds, split_train
 from seedscape.operators.summary import best_per_key
 from seedscape.scratch import materialize
-from seedscape.sources.readers import find_model, only_paper_info, read_paper_sets
+from seedscape.sources.readers import find_model, only_paper_info, read_of_runs, read_paper_sets
 from seedscape.sources.runs import RUN_KEYS, collect_pending
 from seedscape.sources.writers import append_log, save_model, save_paper_set, write_new, write_predictions
 
@@ -290,24 +291,30 @@ def evaluate_saved(
     """Score the saved candidates of the best run per key with its saved model, one row per run.
 
     ``runs`` is a log with ``id``, ``key``, ``score``, ``datadir`` (the folder of :func:`run_review`) and
-    ``clf``. A run whose folder holds no model gives nulls. The models follow one another, their
-    evaluation is one job. The list of runs, a row per fit, comes to the driver.
+    ``clf``. A run whose folder holds no model gives nulls. Paper sets and models of all runs are read in one
+    scan each, and features, scores and measures are computed together, so the number of jobs does not depend on
+    the number of runs. The list of runs, a row per fit, comes to the driver. Models of a kind without a table are scored in turn.
     """
     best = materialize(best_per_key(runs, list(key), score), "runs")
     features = features or default_feature_set()
-    scored = None
-    for run in best.select("id", "datadir").collect():
-        model = find_model(f"{run['datadir']}/best_model")
-        if model is None:
-            continue
-        saved = read_paper_sets(spark, run["datadir"])
-        sets = [saved[name] for name in ("test_papers", "seed_papers", "target_papers")]
-        prepared = materialize(prepare_candidates(*sets, year), "prepared")
-        own = score_rows(model, with_features(prepared, saved["seed_papers"], features)).select(
-            F.lit(run["id"]).cast(best.schema["id"].dataType).alias("run_id"), "id", "target", "score"
-        )
-        scored = own if scored is None else scored.unionByName(own)
+    kind = best.schema["id"].dataType.simpleString()
+    folders = {r["id"]: r["datadir"] for r in best.select("id", "datadir").collect()}
+    parts = read_of_runs(spark, folders, "best_model_parts.parquet", kind=kind)
+    with_parts = {r[0] for r in parts.select("run_id").distinct().collect()} if parts is not None else set()
+    others = {run: model for run, folder in folders.items() if run not in with_parts and (model := find_model(f"{folder}/best_model"))}
+    known = {run: folder for run, folder in folders.items() if run in with_parts or run in others}
     named = best.select(F.col("id").alias("run_id"), *key, "datadir", F.col("clf").alias("classifier_str"))
+    scored = None
+    if known:
+        names = ("test_papers", "seed_papers", "target_papers")
+        sets = [materialize(read_of_runs(spark, known, f"{n}.parquet", kind=kind).dropDuplicates(), n) for n in names]
+        prepared = materialize(prepare_candidates(*sets, year, by=["run_id"]), "prepared")
+        candidates = materialize(with_features(prepared, sets[1], features, ["run_id"]), "features")
+        if with_parts:
+            scored = score_with_tables(candidates, parts, list(features))
+        for run, model in others.items():
+            own = score_rows(model, candidates.where(F.col("run_id") == run), ["run_id", "id", "target"])
+            scored = own if scored is None else scored.unionByName(own)
     if scored is None:
         scored = named.select("run_id", F.lit("").alias("id"), F.lit(False).alias("target"), F.lit(0.0).alias("score")).limit(0)
     evaluated = evaluate_runs(named, materialize(scored, "scored"), ["run_id"])

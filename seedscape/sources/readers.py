@@ -123,3 +123,26 @@ def find_model(path: str) -> PipelineModel | None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     return read_model(path) if there else None
+
+
+def _full_name(spark: SparkSession, path: str) -> str | None:
+    """A folder as Spark names it in the paths of its files; None if it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(folder).toUri().toString() if system.exists(folder) else None
+
+
+def read_of_runs(spark: SparkSession, folders: dict[object, str], name: str, run: str = "run_id", kind: str = "string") -> DataFrame | None:
+    """The table ``name`` of many runs in one scan, with the run each row belongs to; None if no run has it.
+
+    ``folders`` maps runs to their folders. Runs without such a table have no rows; the tables must have the same columns.
+    """
+    names = [(key, path, _full_name(spark, path)) for key, folder in folders.items() for path in [f"{folder}/{name}"]]
+    found = [(key, full) for key, _, full in names if full]
+    if not found:
+        return None
+    plain = lambda path: F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+    runs = spark.createDataFrame(found, f"`{run}` {kind}, _path string").withColumn("_path", plain(F.col("_path")))
+    rows = spark.read.parquet(*sorted({path for _, path, full in names if full}))
+    placed = rows.withColumn("_path", plain(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")))
+    return placed.join(runs, "_path").drop("_path")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedscape.operators.model_tables import parts_of
 from seedscape.operators.prep import infer_year_column
+from seedscape.scratch import new_path
 
 
 def write_new(df: DataFrame, path: str) -> None:
@@ -64,4 +66,9 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def save_model(model: PipelineModel, path: str) -> None:
+    """Save a model as the library does, and beside it, where its kind has such a form, as a table of its parts."""
     model.write().save(path)
+    spark = SparkSession.active()
+    parts = parts_of(spark, model, new_path(spark, "forest"))
+    if parts is not None:
+        write_new(parts, f"{path}_parts.parquet")

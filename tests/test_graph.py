@@ -63,3 +63,37 @@ def test_doi_match_cases(spark):
     )
     got = {r["id"]: (r["n_matches"], r["match_id"], r["multiple_match_flag"]) for r in match_by_doi(reviews, records).collect()}
     assert got == {1: (1, 10, 0), 2: (0, None, 0), 3: (2, 12, 1), 4: (3, None, 1), 5: (0, None, 0)}
+
+
+def test_many_runs_travel_as_bits(spark):
+    """A hundred runs, some of them equal, one without a key: as if each went alone; an ID has a row per 64 runs."""
+    rng = random.Random(5)
+    links = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}") for _ in range(90)]
+    table = spark.createDataFrame(links, "id string, cited_id string")
+    starts = {run: {f"n{rng.randint(0, 60)}" for _ in range(run % 4 + 1)} for run in range(100)}
+    starts[None] = starts[7]
+    rows = [(run, i) for run, own in starts.items() for i in own]
+    seeds = spark.createDataFrame(rows + rows[:5], "run int, id string")
+    reached, counted = {}, {}
+    for run, own in starts.items():
+        ring = set(own)
+        counts = {}
+        for _ in range(2):
+            hits = [far for a, b in links for near, far in ((a, b), (b, a)) if near in ring]
+            for far in hits:
+                counts[far] = counts.get(far, 0) + 1
+            ring = set(hits)
+        counted |= {(run, i): n for i, n in counts.items()}
+        ring = set(own)
+        for _ in range(2):
+            ring = {x for a, b in links if a in ring or b in ring for x in (a, b)}
+        reached[run] = ring
+    found = {}
+    for r in graph.expand(seeds, table, 2, ["run"]).collect():
+        assert r["id"] not in found.setdefault(r["run"], set())
+        found[r["run"]].add(r["id"])
+    assert found == {run: ids_ for run, ids_ in reached.items() if ids_}
+    assert {(r["run"], r["id"]): r["n_reached"] for r in graph.neighbour_counts(seeds, table, 2, ["run"]).collect()} == counted
+    bits = graph.to_bits(seeds, graph.number_runs(seeds, ["run"]), ["run"])
+    assert bits.where("chunk = 0").count() == bits.where("chunk = 0").select("id").distinct().count() <= 61
+    assert bits.select("chunk").distinct().count() == 2

@@ -72,6 +72,8 @@ def test_bag_of_words_weights(spark):
     out = clf.bag_of_words(rows, "tokens", min_df=2).transform(rows).collect()
     vectors = {r["id"]: r["bag_of_words"] for r in out}
     assert vectors[1].toArray().tolist() == [1.0] and vectors[3].toArray().tolist() == [0.0]
+    plan = clf.bag_of_words(rows, "tokens", min_df=2).transform(rows)._jdf.queryExecution().toString()
+    assert "Python" not in plan
 
 
 def test_whole_review(spark):

@@ -160,3 +160,17 @@ def test_keys_of_a_collection_keep_their_type(spark):
     assert {(r["review_id"], r["split_seed"], r["n"]) for r in back.groupBy("review_id", "split_seed").agg(F.count("*").alias("n")).collect()} == {
         ("007", 1, 4), ("08", 1, 4), ("08", 2, 4)
     }
+
+
+def test_pairs_of_many_groups_are_an_ordinary_join(spark, monkeypatch):
+    """Every pair once, whatever the blocks, and no loop over a broadcast table in the plan."""
+    from seedscape.operators import significance
+
+    monkeypatch.setattr(significance, "BLOCK", 4)
+    rows = [(f"g{g:02d}", float(g * 3 + i * i % 7)) for g in range(15) for i in range(5)]
+    tests = pairwise_t_tests(spark.createDataFrame(rows, "g string, x double"), "g", "x")
+    plan = tests._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    found = [(r["group_a"], r["group_b"]) for r in tests.collect()]
+    assert sorted(found) == [(f"g{a:02d}", f"g{b:02d}") for a in range(15) for b in range(a + 1, 15)]
+    assert {r["corrected_level"] for r in tests.collect()} == {0.05 / 105}
