@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from seedscape.llm.common import map_batches
 from seedscape.llm.components import connected_components
-from seedscape.llm.simhash import SEED, GrayIndex, _find_links, _source
+from seedscape.llm.simhash import SEED, GrayIndex, _find_links, _source, word_slices
 from seedscape.scratch import materialize
 
 #: 64-bit words of a fingerprint, and the levels of its index.
@@ -60,10 +60,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: bytes, size: int, words: dict[bytes, int]) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles of ``size`` words, lower case in A-Z; of the whole text if it
     has fewer words, none without words. Each is put together from the hashes of its words, in order."""
-    listed = text.lower().split()
-    if not listed:
-        return np.zeros(0, np.uint64)
-    numbers = np.fromiter(map(words.__getitem__, listed), np.uint64, len(listed))
+    slices = [np.fromiter(map(words.__getitem__, listed), np.uint64, len(listed)) for listed in word_slices(text)]
+    numbers = np.concatenate([*slices, np.zeros(0, np.uint64)])
+    if not len(numbers):
+        return numbers
     size = min(size, len(numbers))
     n = len(numbers) - size + 1
     made = np.full(n, size, np.uint64)

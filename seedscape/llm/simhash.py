@@ -10,6 +10,7 @@ add up on the way down, and once there are more than d, all pairs below are prun
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
@@ -30,28 +31,54 @@ BLOCK = 65_536
 MEAN_GROUP = 8
 #: Leading bits of a node, level by level; pairs of nodes compared at once.
 LEVELS, FRONTIER = (8, 16, 24, 32, 40, 48, 56, 64), 1 << 20
+#: Bytes of a text that are cut into words at once.
+SLICE = 1 << 19
 #: Fingerprints that a task gathers before it builds an index.
 GATHER = 200_000
 
+_BLANK = re.compile(rb"[\x09-\x0d ]")
 
-def _hashes(text: bytes, size: int) -> np.ndarray:
-    """Hashes of all shingles of ``size`` words; of the whole text if it has fewer words, none without words."""
-    words = text.lower().split()
+
+def word_slices(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, lower case in A-Z, by slices of about ``SLICE`` bytes."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + SLICE)
+        end = blank.start() if blank else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of all shingles of ``size`` words; of all words together if they are fewer."""
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
     size = min(size, len(words))
     starts = [0, *(end + 1 for end in ends[: len(words) - size])]
-    return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])] if words else [], "<u8")
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])], "<u8")
+
+
+def hash_slices(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of ``size`` words, slice by slice; of the whole text if it has fewer words, none without words."""
+    held: list[bytes] = []
+    whole = True
+    for words in word_slices(text):
+        held += words
+        if len(held) >= size:
+            yield _hashes(held, size)
+            held, whole = held[len(held) - size + 1 :], False
+    if whole and held:
+        yield _hashes(held, size)
 
 
 def fingerprint(text: bytes, size: int) -> int:
     """64-bit SimHash over the hashes of all shingles of ``size`` words, each counted as often as it occurs."""
-    hashed = _hashes(text, size)
-    if not len(hashed):
-        return 0
-    bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashed)
-    return int(np.packbits(majority, bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashed in hash_slices(text, size):
+        bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashed)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -125,14 +125,17 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            # long texts are cut so that every string is whole in one piece; segments depend on nothing else
+            cuts = [(i, at) for i, text in enumerate(texts) for at in range(0, max(1, len(text) - length + 1), HASH_BYTES)]
             part, size = [], 0
             found = []
-            for i, text in enumerate(texts):
-                part.append(text)
-                size += len(text)
-                if size >= HASH_BYTES or i == len(texts) - 1:
+            for k, (i, at) in enumerate(cuts):
+                part.append(texts[i][at : at + HASH_BYTES + length - 1])
+                size += len(part[-1])
+                if size >= HASH_BYTES or k == len(cuts) - 1:
                     number, start, count, key, name, tied = segments(part, length)
-                    found.append((ids[i + 1 - len(part) : i + 1][number], start, count, key, name, tied))
+                    own = np.array(cuts[k + 1 - len(part) : k + 1])[number].reshape(-1, 2)
+                    found.append((ids[own[:, 0]], start + own[:, 1], count, key, name, tied))
                     part, size = [], 0
             doc, start, count, key, name, tied = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((start, doc, name, key))

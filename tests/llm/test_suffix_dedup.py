@@ -35,7 +35,7 @@ def order(doc_id, text):
 def test_equals_brute_force(docs, length, monkeypatch):
     given = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     expected = brute([(order(*g), g[1]) for g in given], length)
-    for name, value in (("INDEX_BYTES", 2_000), ("GROUP", 30), ("HASH_BYTES", 3_000)):
+    for name, value in (("INDEX_BYTES", 2_000), ("GROUP", 30), ("HASH_BYTES", 700), ("HASH_BYTES", 700)):
         found = suffix_dedup.remove_repeats(docs, length)
         rows = found.collect()
         assert len(rows) == len(given) and set(found.columns) == {*docs.columns, "removed", "kept"}
