@@ -1,5 +1,7 @@
 """Fits that a statement can repeat: Newton steps and rounds of boosting, spelled out in SQL."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,11 +9,13 @@ from checks.fixtures import paper_sets, query, rounded, target_ids, view
 from seedscape.operators import classifiers as clf
 from seedscape.operators.boosting import bin_edges, boost
 from seedscape.operators.features import cluster_distance, with_features
+from seedscape.operators.model_tables import parts_of, score_with_tables
 from seedscape.operators.prep import prepare_candidates
 from seedscape.operators.ranking import rank_candidates
 from seedscape.operators.sampling import split_train
-from seedscape.plans.review import collect_splits
-from seedscape.scratch import materialize
+from seedscape.plans.review import collect_splits, evaluate_saved, train_saved
+from seedscape.scratch import materialize, new_path
+from seedscape.sources.writers import save_paper_set
 
 PAIR = ["avg_distance", "ln_ef"]
 STEPS = 14
@@ -144,6 +148,55 @@ def logistic_of_splits(spark: SparkSession, sf: str) -> DataFrame:
     return fitter.slack(train, fitted, PAIR, by).select("split_seed", "place", F.round("slack", 5).alias("slack")).join(flagged, ["split_seed", "place"])
 
 
+def _ln_ef(candidates: DataFrame, seeds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return candidates.select(*by, "id", F.log1p("ef").alias("ln_ef"))
+
+
+@query(f"""
+    WITH {FACTS}, {newton_sql("plain", PAIR)}, {newton_sql("even", PAIR, "n_all / (2.0 * n)")},
+    scored AS (SELECT 'a' AS run_id, 'logistic' AS classifier_str, target, score FROM plain_scored
+               UNION ALL SELECT 'b', 'logistic_balanced', target, score FROM even_scored),
+    steps AS (SELECT run_id, classifier_str, score, count(*) AS n, sum(CAST(target AS INT)) AS pos FROM scored GROUP BY ALL),
+    placed AS (SELECT *, sum(n) OVER w AS seen, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY run_id) AS total FROM steps
+               WINDOW w AS (PARTITION BY run_id ORDER BY score DESC))
+    SELECT run_id, classifier_str, round(sum(pos / total * tp / seen), 6) AS average_precision, CAST(sum(n) AS BIGINT) AS num_candidates
+    FROM placed GROUP BY ALL UNION ALL SELECT 'lost', NULL, NULL, NULL""")
+def remeasured_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two saved runs and one without a model, read and scored together, with their average precision."""
+    sets = paper_sets(spark, sf)
+    chosen = {"avg_distance": cluster_distance, "ln_ef": _ln_ef}
+    rows = [("lost", "review 3", 0.9, new_path(spark, "lost"), "logistic")]
+    fits = {"a": ("logistic", clf.logistic()), "b": ("logistic_balanced", clf.logistic(balanced=True))}
+    for number, (run, (name, fitter)) in enumerate(fits.items(), 1):
+        folder = new_path(spark, "run")
+        for part, table in (("seed_papers", sets.seeds), ("target_papers", sets.targets), ("test_papers", sets.candidates)):
+            save_paper_set(table, folder, part)
+        train_saved(spark, folder, classifiers={name: fitter}, features=chosen)
+        rows.append((run, f"review {number}", 0.5, folder, name))
+    log = spark.createDataFrame(rows, "id string, review_paper_id string, score double, datadir string, clf string")
+    found = evaluate_saved(spark, log, ["review_paper_id"], "score", chosen)
+    count = F.col("num_candidates").cast("long").alias("num_candidates")
+    return found.select("run_id", "classifier_str", F.round("average_precision", 6).alias("average_precision"), count)
+
+
+@query("""SELECT o_orderkey AS id, clf, TRUE AS same FROM {orders}, (SELECT unnest(['forest', 'bayes', 'svm', 'boosted']) AS clf)
+          WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem})""")
+def models_as_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of trees and other parts as rows, routed and added up on their own, give the scores of the models."""
+    facts, names = _order_facts(spark, sf), FEATURES[:5]
+    fits = {"forest": clf.forest(10, max_depth=8), "bayes": clf.gaussian_bayes(), "svm": clf.linear_svm(), "boosted": clf.boosted(40)}
+    parts = own = rows = None
+    for name, fitter in fits.items():
+        model = fitter(facts, names)
+        part = parts_of(spark, model, new_path(spark, "forest")).withColumn("run_id", F.lit(name))
+        scored = clf.score_rows(model, facts, ["id"]).select(F.lit(name).alias("run_id"), "id", F.col("score").alias("own"))
+        run = facts.withColumn("run_id", F.lit(name))
+        parts, own, rows = (part, scored, run) if parts is None else (parts.unionByName(part), own.unionByName(scored), rows.unionByName(run))
+    routed = score_with_tables(rows, parts, names)
+    both = routed.join(own, ["run_id", "id"])
+    return both.select("id", F.col("run_id").alias("clf"), (F.abs(F.col("score") - F.col("own")) < 1e-6).alias("same"))
+
+
 FEATURES = [f"f{i}" for i in range(20)]
 ROUNDS = 3
 

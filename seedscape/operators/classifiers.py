@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -107,7 +107,10 @@ def logistic(penalty: str = "l2", balanced: bool = False) -> Logistic:
     return Logistic(penalty, balanced)
 
 
-def forest(trees: int, impurity: str = "gini", max_depth: int = 30, seed: int = 999) -> Fitter:
+def forest(trees: int, impurity: str = "gini", max_depth: int = 30, seed: int = 999, bins: int = 32) -> Fitter:
+    """Random forest; thresholds are the borders of ``bins`` equally full bins of a feature, so more of them come
+    nearer to trying every value, at a cost in proportion."""
+
     def fit(train: DataFrame, features: Sequence[str]) -> PipelineModel:
         model = RandomForestClassifier(
             featuresCol=FEATURES,
@@ -115,6 +118,7 @@ def forest(trees: int, impurity: str = "gini", max_depth: int = 30, seed: int =
             numTrees=trees,
             impurity=impurity,
             maxDepth=max_depth,
+            maxBins=bins,
             featureSubsetStrategy="sqrt",
             seed=seed,
         )
@@ -123,21 +127,39 @@ def forest(trees: int, impurity: str = "gini", max_depth: int = 30, seed: int =
     return fit
 
 
-def linear_svm() -> Fitter:
-    """Linear support vectors; a logistic curve on the margin gives the probability."""
+def linear_svm(folds: int = 3) -> Fitter:
+    """Linear support vectors; a logistic curve on the margin gives the probability.
+
+    The curve is fitted on margins of rows that the margin was not fitted on: every fold of the rows is measured by a
+    fit on the others. Rows with equal features are in one fold. Folds whose others hold one class only are left out, and if
+    that leaves no two classes, the curve is fitted on the margin's own rows.
+    """
 
     def fit(train: DataFrame, features: Sequence[str]) -> PipelineModel:
-        margin = LinearSVC(
-            featuresCol=FEATURES,
-            labelCol=LABEL,
-            regParam=1.0 / max(train.count(), 1),
-            standardization=False,
-            rawPredictionCol="svm_raw",
-            predictionCol="svm_prediction",
-        )
+        columns = assembler(features)
+        rows = materialize(columns.transform(_labelled(train)).select(FEATURES, LABEL, F.pmod(F.xxhash64(*features), F.lit(folds)).alias("_fold")), "folds")
+        rows = rows.withMetadata(LABEL, TWO_CLASSES)
         side = VectorSlicer(inputCol="svm_raw", outputCol="margin", indices=[1])
-        curve = LogisticRegression(featuresCol="margin", labelCol=LABEL)
-        return Pipeline(stages=[assembler(features), margin, side, curve]).fit(_labelled(train))
+        counts = {(r["_fold"], r[LABEL]): r["n"] for r in rows.groupBy("_fold", LABEL).agg(F.count("*").alias("n")).collect()}
+        total = max(sum(counts.values()), 1)
+
+        def margin(part: DataFrame, n: int) -> LinearSVCModel:
+            svm = LinearSVC(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0 / max(n, 1), standardization=False)
+            return svm.setRawPredictionCol("svm_raw").setPredictionCol("svm_prediction").fit(part)
+
+        unseen, seen = None, set()
+        for k in range(folds):
+            others = {key: n for key, n in counts.items() if key[0] != k}
+            if len({label for _, label in others}) == 2 and len(others) < len(counts):
+                model = margin(rows.where(F.col("_fold") != k), sum(others.values()))
+                part = side.transform(model.transform(rows.where(F.col("_fold") == k))).select("margin", LABEL)
+                unseen = part if unseen is None else unseen.unionByName(part)
+                seen |= {label for fold, label in counts if fold == k}
+        whole = margin(rows, total)
+        if len(seen) < 2:
+            unseen = side.transform(whole.transform(rows)).select("margin", LABEL)
+        curve = LogisticRegression(featuresCol="margin", labelCol=LABEL).fit(unseen.withMetadata(LABEL, TWO_CLASSES))
+        return PipelineModel(stages=[columns, whole, side, curve])
 
     return fit
 

@@ -117,3 +117,19 @@ def test_bag_of_words_equals_tfidf(spark):
     }
     expected = {(r["id"], r["term"]): r["weight"] for r in tfidf(texts, min_df=3).collect()}
     assert found == pytest.approx(expected)
+
+
+def test_svm_probabilities_are_honest_on_rows_not_learnt(spark):
+    """With many features of noise the margin fits its own rows too well; the curve must come from others."""
+    rng = random.Random(3)
+    rows = [(i, (t := rng.random() < 0.5), *[rng.gauss(0.5 * t * (k == 0), 1) for k in range(12)]) for i in range(500)]
+    names = [f"x{k}" for k in range(12)]
+    table = spark.createDataFrame(rows, "id long, target boolean, " + ", ".join(f"{n} double" for n in names))
+    learnt, held = table.where("id < 90"), table.where("id >= 90")
+
+    def loss(folds):
+        scored = clf.score_rows(clf.linear_svm(folds)(learnt, names), held)
+        own = F.when(F.col("target"), F.col("score")).otherwise(1 - F.col("score"))
+        return scored.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-9))))).first()[0]
+
+    assert loss(5) < loss(1)
