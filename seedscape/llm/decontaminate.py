@@ -2,42 +2,53 @@
 
 An item's window (13 consecutive words, or the whole of a shorter item) is contained in
 a document only if all its shingles are, so one of them is enough to find it: the rarest
-in the corpus, the window's prefix in an order by rarity. Documents are matched on these
-shingles only; the offset of the shingle in the window and both lengths bound where the
-window may lie, and every candidate is verified word by word.
+in the corpus, the window's prefix in an order by rarity. Documents meet windows in a join
+on these shingles; the offset of the shingle in the window and both lengths bound where the
+window may lie, and the words there are then joined with the words of the windows.
+
+Windows, counts and places are tables, so a benchmark of any size takes the same steps: the
+corpus is read once to count the shingles of the benchmark, once to search, and once for the
+result. All that is broadcast is a filter of shingles, of a bounded number of bits; what it
+lets through by mistake is dropped by the joins.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedscape.llm.common import appended, map_batches, text_bytes, with_fields
+from seedscape.llm.common import map_batches, text_bytes
+from seedscape.operators.skew import lookup_join
 from seedscape.scratch import materialize
 
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 13, 3
-#: Benchmark text that one pass sends to the workers. A larger benchmark takes more passes.
-PASS_BYTES = 2 << 20
+#: Most bits of a filter of shingles (32 MB). Up to 4 million shingles have 64 bits each; with more of them
+#: it lets more of the others through.
+FILTER_BITS, BITS_EACH = 1 << 28, 64
+#: Bytes of a text that are cut into words at once, and windows of a batch.
+SLICE, BATCH = 1 << 20, 1 << 14
+#: Words of which a worker remembers the hash.
+REMEMBERED = 1 << 18
 
 #: Bytes to lower-case words parted by blanks: letters, digits and all bytes beyond ASCII are word bytes.
 _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
+#: The same as patterns: a character of a word, and one between words.
+_INSIDE, _BETWEEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORDS).split()
 
 
-def shingles_of(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
-    return zip(*(words[i:] for i in range(size)))
-
-
 def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     """The windows of an item: all runs of ``size`` words, or the item itself if it is shorter."""
     if not words:
@@ -46,75 +57,168 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-class WindowIndex:
-    """The windows of one pass: by their prefix shingle, where they may lie around it, and their items."""
-
-    def __init__(self, items: Iterable[tuple[str, bytes]], window: int, shingle: int) -> None:
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item_id, text in items:
-            for words in windows_of(words_of(text), window):
-                owners[words].add(item_id)
-        self.owners = {words: sorted(ids) for words, ids in owners.items()}
-        self.shingle = shingle
-        self.sizes = sorted({min(shingle, len(words)) for words in owners})
-        self.shingles = {s for words in owners for s in shingles_of(list(words), min(shingle, len(words)))}
-        self.places: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
-
-    def order_by_rarity(self, counts: dict[tuple[bytes, ...], int]) -> None:
-        """Choose the rarest shingle of each window, ties by the words."""
-        places = defaultdict(set)
-        for words in self.owners:
-            own = list(shingles_of(list(words), min(self.shingle, len(words))))
-            offset = min(range(len(own)), key=lambda i: (counts.get(own[i], 0), own[i]))
-            places[own[offset]].add((offset, len(words)))
-        self.places = {s: sorted(at) for s, at in places.items()}
-        self.shingles = set()
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Runs of hit words, as (first, behind the last), and the items whose windows occur."""
-        found: set[tuple[int, int]] = set()
-        items: set[str] = set()
-        for size in self.sizes:
-            for at in [i for i, s in enumerate(shingles_of(words, size)) if s in self.places]:
-                for offset, length in self.places[tuple(words[at : at + size])]:
-                    start = at - offset
-                    if start < 0 or start + length > len(words):
-                        continue
-                    owners = self.owners.get(tuple(words[start : start + length]))
-                    if owners:
-                        found.add((start, start + length))
-                        items.update(owners)
-        return merged(found), items
-
-
-def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping and touching spans as one."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
-
-
-def _count_shingles(docs: DataFrame, text_col: str, index) -> dict:
-    """How often each of the index's shingles occurs in the corpus."""
+def blocks_of(text: bytes | None, margin: int, size: int = SLICE) -> Iterator[tuple[int, list[bytes], int, int]]:
+    """``(first, words, low, high)``: words of a part of the text, the first of them its word number ``first``.
+
+    Every word is between ``low`` and ``high`` in exactly one part, with ``margin`` words on either side of it as
+    far as the text has them.
+    """
+    text = (text or b"").translate(_WORDS)
+    words: list[bytes] = []
+    first = low = at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        words += text[at:end].split()
+        at = end
+        high = len(words) if at == len(text) else max(low, len(words) - margin)
+        if high > low:
+            yield first, words, low, high
+        kept = max(0, high - margin)
+        words, first, low = words[kept:], first + kept, high - kept
+
+
+class _Hashes(dict):
+    """Hashes of words, forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words from the hashes of the words."""
+    n = max(len(numbers) - size + 1, 0)
+    made = np.full(n, size, np.uint64)
+    for i in range(size):
+        made = (made + numbers[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        made ^= made >> np.uint64(29)
+    return made
+
+
+def _filter(hashes: DataFrame, most_bits: int) -> Broadcast:
+    """Broadcast bits, two for each of the different hashes."""
+    n = hashes.agg(F.count_distinct("hash")).first()[0]
+    bits = 64
+    while bits < min(n * BITS_EACH, most_bits):
+        bits *= 2
+    mask = F.lit(bits - 1).cast("long")
+    places = F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))
+    place = hashes.select(F.explode(places).alias("place"))
+    word = place.groupBy(F.shiftright("place", 6).cast("int").alias("word"))
+    found = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def _passing(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that pass the filter."""
+    mask = np.uint64(len(table) * 64 - 1)
+    at = np.arange(len(hashes))
+    for shift in (0, 32):
+        place = hashes[at] >> np.uint64(shift) & mask
+        at = at[(table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
+
+
+def _windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """A row for each window of each item: its words, their number, the longest, and the hashes of its shingles."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                item = item.as_py()
+                for _, words, low, high in blocks_of(text, window):
+                    length = min(window, len(words))
+                    size = min(shingle, length)
+                    made = shingle_hashes(hashes.of(words), size).view(np.int64)
+                    high = min(high, len(words) - length + 1)
+                    for start in range(low, high, BATCH):
+                        runs = range(start, min(start + BATCH, high))
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "item": pa.array([item] * len(runs), pa.string()),
+                                "window": pa.array([b" ".join(words[i : i + length]).decode() for i in runs], pa.string()),
+                                "length": pa.array([length] * len(runs), pa.int32()),
+                                "longest": pa.array([max(map(len, words[i : i + length])) for i in runs], pa.int64()),
+                                "hashes": pa.array([made[i : i + length - size + 1] for i in runs], pa.list_(pa.int64())),
+                            }
+                        )
+
+    return map_batches(items, cut, "item string, window string, length int, longest long, hashes array<long>")
+
+
+def _count_shingles(texts: DataFrame, sizes: list[int], wanted: Broadcast) -> DataFrame:
+    """How often each shingle that passes the filter occurs in the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = index.value.shingles, Counter()
+        hashes = _Hashes()
         for batch in batches:
+            seen = [np.zeros(0, np.uint64)]
             for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                for size in index.value.sizes:
-                    seen.update(filter(wanted.__contains__, shingles_of(words, size)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b" ".join(s) for s in seen], pa.binary()), pa.array(seen.values(), pa.int64())], names=["shingle", "n"]
-        )
+                for _, words, low, high in blocks_of(text, max(sizes)):
+                    numbers = hashes.of(words)
+                    for size in sizes:
+                        made = shingle_hashes(numbers, size)[low:high]
+                        seen.append(made[_passing(wanted.value, made)])
+            found, n = np.unique(np.concatenate(seen), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    return map_batches(texts, count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
-    counted = map_batches(docs.select(text_bytes(text_col).alias("text")), count, "shingle binary, n long")
-    rows = counted.groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()  # at most the shingles of one pass
-    return {tuple(bytes(row.shingle).split()): row.n for row in rows}
+
+def _candidates(texts: DataFrame, sizes: list[int], wanted: Broadcast, window: int, longest: int) -> DataFrame:
+    """Where a text has a shingle that passes the filter, with the words around it, ``lead`` of them before it.
+
+    Words longer than any of the benchmark are left empty, as no window holds them.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for first, words, low, high in blocks_of(text, window):
+                    numbers = hashes.of(words)
+                    for size in sizes:
+                        made = shingle_hashes(numbers, size)[low:high]
+                        passing = _passing(wanted.value, made)
+                        for start in range(0, len(passing), BATCH):
+                            some = passing[start : start + BATCH]
+                            at = some + low
+                            lead = np.minimum(at, window - 1)
+                            around = [
+                                b" ".join([w if len(w) <= longest else b"" for w in words[i - back : i + window]]).decode()
+                                for i, back in zip(at.tolist(), lead.tolist())
+                            ]
+                            yield pa.RecordBatch.from_pydict(
+                                {
+                                    "key": pa.array([key] * len(some), pa.string()),
+                                    "hash": pa.array(made[some].view(np.int64)),
+                                    "at": pa.array(at + first, pa.int32()),
+                                    "lead": pa.array(lead, pa.int32()),
+                                    "around": pa.array(around, pa.string()),
+                                }
+                            )
+
+    return map_batches(texts, search, "key string, hash long, at int, lead int, around string")
+
+
+def _merged(matches: DataFrame) -> DataFrame:
+    """Overlapping and touching runs of a text as one, in order."""
+    before = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    runs = matches.select("key", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    apart = runs.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
+    islands = apart.withColumn("island", F.sum("new").over(upto)).groupBy("key", "island")
+    spans = islands.agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"))
 
 
 def find_windows(
@@ -125,77 +229,65 @@ def find_windows(
     item_text_col: str = "text",
     window: int = WINDOW,
     shingle: int = SHINGLE,
-    pass_bytes: int = PASS_BYTES,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Add ``n_words``, ``hits`` (runs of hit words: first, behind the last) and ``items`` (whose windows occur).
 
     All rows and columns stay, repeated rows too; columns of these three names are replaced.
     Null and empty texts have no words and no hits; null and empty items, and an empty
     benchmark, hit nothing. Items are named as strings, a null id as the empty string; items
-    with the same id count as one.
+    with the same id count as one. Texts of any length are read in parts.
 
-    The benchmark goes to the workers in passes of at most ``pass_bytes`` of item text (or one
-    item), whatever its size; the number of passes grows with it, the memory does not.
+    Equal texts are found once: what is found belongs to the SHA-256 of a text. ``filter_bits``
+    (a power of two) bounds the memory of the filters and changes nothing in the result.
     """
-    spark = docs.sparkSession
     names = ("n_words", "hits", "items")
-    found = docs.drop(*names)
-    schema = with_fields(found, ("n_words", "long"), ("hits", "array<struct<start:int,end:int>>"), ("items", "array<string>"))
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_bytes(item_text_col).alias("text")
     )
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def search_with(index, first: bool):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, hits, ids = [], [], []
-                for text in batch.column(batch.schema.names.index(text_col)).to_pylist():
-                    words = words_of(text.encode() if isinstance(text, str) else text)
-                    own_hits, own_ids = index.value.search(words) if index else ([], set())
-                    n.append(len(words))
-                    hits.append(own_hits)
-                    ids.append(own_ids)
-                if not first:
-                    before = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("hits", "items")]
-                    hits = [merged([*own, *((h["start"], h["end"]) for h in old)]) for own, old in zip(hits, before[0])]
-                    ids = [own | set(old) for own, old in zip(ids, before[1])]
-                made = [[{"start": a, "end": b} for a, b in own] for own in hits]
-                yield appended(
-                    batch,
-                    {
-                        "n_words": pa.array(n, pa.int64()),
-                        "hits": pa.array(made, spans),
-                        "items": pa.array([sorted(own) for own in ids], pa.list_(pa.string())),
-                    },
-                )
-
-        return search
-
-    passes = 0
-    for part in _passes(items, pass_bytes):
-        index = WindowIndex(part, window, shingle)
-        if not index.owners:
-            continue
-        index.order_by_rarity(_count_shingles(docs, text_col, spark.sparkContext.broadcast(index)))
-        if passes:
-            found = materialize(found, "hits")
-        found = map_batches(found, search_with(spark.sparkContext.broadcast(index), passes == 0), schema)
-        passes += 1
-    return found if passes else map_batches(found, search_with(None, True), schema)
-
-
-def _passes(items: DataFrame, pass_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Item by item from the benchmark, in lists of bounded size."""
-    part, size = [], 0
-    for row in items.toLocalIterator():
-        if part and size + len(row.text) > pass_bytes:
-            yield part
-            part, size = [], 0
-        part.append((row["item"], bytes(row.text)))
-        size += len(row.text)
-    if part:
-        yield part
+    listed = materialize(_windows(items, window, shingle), "listed")
+    owners = materialize(listed.select("item", "window").distinct(), "owners")
+    windows = materialize(listed.dropDuplicates(["window"]).select("window", "length", "hashes"), "windows")
+    shape = listed.agg(F.collect_set(F.least("length", F.lit(shingle))), F.max("longest")).first()
+    sizes, longest = sorted(shape[0]), shape[1] or 0  # at most one size for each up to that of a shingle
+
+    text = text_bytes(text_col)
+    found = docs.drop(*names)
+    key = "_text_key"
+    while key in found.columns:
+        key += "_"
+    none = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
+    whole = F.col(text_col).cast("string")
+    count = F.length(F.regexp_replace(whole, f"{_BETWEEN}*+{_INSIDE}++{_BETWEEN}*+", "x"))
+    n_words = F.when(whole.rlike(_INSIDE), count).otherwise(0).cast("long")
+    if not sizes:
+        return found.withColumns(dict(zip(names, (n_words, *none))))
+
+    shingles = windows.select("window", "length", F.posexplode("hashes").alias("offset", "hash"))
+    wanted = _filter(shingles, filter_bits)
+    counts = materialize(_count_shingles(docs.select(text.alias("text")), sizes, wanted), "counts")
+    wanted.destroy()
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "offset")
+    rarest = lookup_join(shingles, counts, ["hash"]).groupBy("window", "length").agg(F.min(rarity).alias("prefix"))
+    places = materialize(rarest.select("prefix.hash", "prefix.offset", "length").distinct(), "places")
+
+    wanted = _filter(places, filter_bits)
+    texts = docs.select(F.sha2(text, 256).alias("key"), text.alias("text"))
+    met = _candidates(texts, sizes, wanted, window, longest).join(places, "hash")
+    inside = F.col("lead") - F.col("offset")
+    met = met.withColumn("around", F.split("around", " ")).where((inside >= 0) & (inside + F.col("length") <= F.size("around")))
+    met = met.select(
+        "key", (F.col("at") - F.col("offset")).alias("start"), "length", F.array_join(F.slice("around", inside + 1, F.col("length")), " ").alias("window")
+    )
+    matches = materialize(met.join(windows.select("window"), "window", "left_semi").distinct(), "matches")
+    wanted.destroy()
+
+    named = matches.select("key", "window").distinct().join(owners, "window")
+    ids = named.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    hits = materialize(_merged(matches).join(ids, "key").withColumnRenamed("key", key), "hits")
+    keyed = found.withColumn(key, F.sha2(text, 256)).join(hits, key, "left").drop(key)
+    values = {"n_words": n_words, "hits": F.coalesce("hits", none[0]), "items": F.coalesce("items", none[1])}
+    return keyed.select(*found.columns, *[value.alias(name) for name, value in values.items()])
 
 
 def n_hit() -> Column:

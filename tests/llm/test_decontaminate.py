@@ -33,8 +33,8 @@ def test_equals_brute_force(spark, docs):
     extra = spark.createDataFrame([(900, "x " + " ".join(f"W{i}" for i in range(3, 20)) + " y"), (901, " ".join(f"w{i}" for i in range(3, 15)))], "doc_id long, text string")
     whole = docs.unionByName(extra, allowMissingColumns=True)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for pass_bytes in (1 << 20, 60):
-        found = d.find_windows(whole, items, pass_bytes=pass_bytes)
+    for filter_bits in (d.FILTER_BITS, 64):  # the smaller one lets almost everything through
+        found = d.find_windows(whole, items, filter_bits=filter_bits)
         rows = found.withColumns({"n_hit": d.n_hit(), "contaminated": d.is_contaminated()}).collect()
         assert len(rows) == whole.count()
         assert set(found.columns) == {*docs.columns, "hits", "items"}
@@ -55,3 +55,51 @@ def test_empty_sides(spark, docs, no_docs):
     assert d.find_windows(no_docs, items).count() == 0
     clean = d.find_windows(docs, items.limit(0))
     assert clean.filter(F.size("items") > 0).count() == 0 and clean.count() == docs.count()
+
+
+def test_blocks_hold_every_word_once():
+    text = " ".join(["ab", "c" * 40, "d,e", "  ", "f" * 7] * 30).encode()
+    for size in (1, 10, 100, 1 << 20):
+        for margin in (0, 1, 5, 13):
+            seen = []
+            for first, words, low, high in d.blocks_of(text, margin, size):
+                assert words == d.words_of(text)[first : first + len(words)]
+                assert low >= min(margin, first + low) and (len(words) - high >= margin or first + len(words) == len(d.words_of(text)))
+                seen += words[low:high]
+            assert seen == d.words_of(text)
+    assert not list(d.blocks_of(None, 3)) and not list(d.blocks_of(b" .,", 3))
+
+
+def test_long_items_and_texts(spark):
+    """An item and a text of several parts each; the text repeats, has a giant word and holds two stretches of the item."""
+    item = [f"i{i}" for i in range(300_000)]
+    giant = "x" * 3_000_000
+    text = " ".join([*item[150_000:150_020], giant, *[f"t{i}" for i in range(200_000)], *item[299_980:], giant, *item[7:19], "end"])
+    docs = spark.createDataFrame([(1, text), (2, text), (3, " ".join(item))], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(item)), ("b", "end"), ("c", None)], "item_id string, text string")
+    rows = {r.doc_id: r for r in d.find_windows(docs, items).drop("text").collect()}
+    for i in (1, 2):
+        assert rows[i].n_words == 20 + 1 + 200_000 + 20 + 1 + 12 + 1
+        assert [(h.start, h.end) for h in rows[i].hits] == [(0, 20), (200_021, 200_041), (200_054, 200_055)]
+        assert rows[i]["items"] == ["a", "b"]
+    assert rows[3].n_words == 300_000 and [(h.start, h.end) for h in rows[3].hits] == [(0, 300_000)] and rows[3]["items"] == ["a"]
+
+
+def test_larger_benchmark_takes_no_more_jobs(spark, docs):
+    """Thirty times the items: the same number of jobs, the same hits as by brute force."""
+    def jobs(items, group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            rows = d.find_windows(docs, items).withColumn("n_hit", d.n_hit()).select("text", "n_words", "n_hit", "items").collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few = ITEMS[:2]
+    many = few + [(100 + i, f"{a} {b} {i}") for i, (a, b) in enumerate([("the", "of"), ("shard", "token")] * 30)]
+    few_rows, few_jobs = jobs(spark.createDataFrame(few, "item_id long, text string"), "few items")
+    many_rows, many_jobs = jobs(spark.createDataFrame(many, "item_id long, text string"), "many items")
+    assert abs(many_jobs - few_jobs) <= 2
+    for rows, items in ((few_rows, few), (many_rows, many)):
+        for row in rows:
+            assert (row.n_words, row.n_hit, row["items"]) == brute(row.text, items)
