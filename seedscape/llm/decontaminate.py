@@ -14,11 +14,11 @@ lets through by mistake is dropped by the joins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +34,6 @@ WINDOW, SHINGLE = 13, 3
 FILTER_BITS, BITS_EACH = 1 << 28, 64
 #: Bytes of a text that are cut into words at once, and windows of a batch.
 SLICE, BATCH = 1 << 20, 1 << 14
-#: Words of which a worker remembers the hash.
-REMEMBERED = 1 << 18
 
 #: Bytes to lower-case words parted by blanks: letters, digits and all bytes beyond ASCII are word bytes.
 _WORDS = bytes(
@@ -57,38 +55,94 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def blocks_of(text: bytes | None, margin: int, size: int = SLICE) -> Iterator[tuple[int, list[bytes], int, int]]:
-    """``(first, words, low, high)``: words of a part of the text, the first of them its word number ``first``.
+@dataclass
+class Part:
+    """Words of some whole texts, or of a part of a long one: where they lie in ``data``, their texts and their numbers there.
 
-    Every word is between ``low`` and ``high`` in exactly one part, with ``margin`` words on either side of it as
-    far as the text has them.
+    Every word of a text is between ``low`` and ``high`` in exactly one part, with as many words on either side of it
+    as were asked for, as far as the text has them.
     """
-    text = (text or b"").translate(_WORDS)
-    words: list[bytes] = []
-    first = low = at = 0
-    while at < len(text):
-        end = text.find(b" ", at + size)
-        end = len(text) if end < 0 else end
-        words += text[at:end].split()
-        at = end
-        high = len(words) if at == len(text) else max(low, len(words) - margin)
-        if high > low:
-            yield first, words, low, high
-        kept = max(0, high - margin)
-        words, first, low = words[kept:], first + kept, high - kept
-
-
-class _Hashes(dict):
-    """Hashes of words, forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    low: int
+    high: int
+
+    def shingles(self, numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of ``size`` words that begin between ``low`` and ``high``, and their first words."""
+        at = np.arange(self.low, max(self.low, min(self.high, len(numbers) - size + 1)))
+        at = at[self.text[at] == self.text[at + size - 1]]
+        return shingle_hashes(numbers, size)[at], at
+
+
+def _edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of translated bytes begin and end."""
+    inside = np.frombuffer(b" " + data + b" ", np.uint8) != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def parts_of(texts: Iterable[bytes | None], margin: int, size: int = SLICE) -> Iterator[Part]:
+    """The words of texts in parts of about ``size`` bytes (or one word, if that is longer)."""
+    short: list[tuple[int, bytes]] = []
+
+    def together() -> Iterator[Part]:
+        if short:
+            data = b" ".join(t for _, t in short)
+            begins = np.cumsum([0] + [len(t) + 1 for _, t in short[:-1]])
+            starts, ends = _edges(data)
+            own = np.searchsorted(begins, starts, "right") - 1
+            place = np.arange(len(starts)) - np.searchsorted(starts, begins)[own]
+            yield Part(data, starts, ends, np.array([i for i, _ in short])[own], place, 0, len(starts))
+            short.clear()
+
+    waiting = 0
+    for i, text in enumerate(texts):
+        text = (text or b"").translate(_WORDS)
+        if len(text) <= size:
+            if waiting + len(text) > size:
+                yield from together()
+                waiting = 0
+            short.append((i, text))
+            waiting += len(text)
+            continue
+        begin = first = low = at = 0
+        while at < len(text):
+            end = text.find(b" ", at + size)
+            at = len(text) if end < 0 else end
+            data = text[begin:at]
+            starts, ends = _edges(data)
+            n = len(starts)
+            high = n if at == len(text) else max(low, n - margin)
+            if high > low:
+                yield Part(data, starts, ends, np.full(n, i), np.arange(first, first + n), low, high)
+            kept = max(0, high - margin)
+            begin = begin + int(starts[kept]) if kept < n else at
+            first, low = first + kept, high - kept
+    yield from together()
+
+
+# A random number for each byte (none for the blank) and a power for each place in a word; the places behind share the last one.
+_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+_BYTES[0x20] = 0
+_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(part: Part) -> np.ndarray:
+    """A number for each word that depends on its bytes only."""
+    if not len(part.starts):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(part.data, np.uint8)[part.starts[0] :]
+    lengths = np.diff(np.append(part.starts, len(part.data)))
+    begins = part.starts - part.starts[0]
+    offset = np.arange(len(data), dtype=np.int32) - np.repeat(begins.astype(np.int32), lengths)
+    made = _POWERS[np.minimum(offset, len(_POWERS) - 1, out=offset)]
+    made *= _BYTES[data]
+    sums = np.add.reduceat(made, begins)
+    return sums ^ (sums >> np.uint64(31))
 
 
 def shingle_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
@@ -131,16 +185,15 @@ def _windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     """A row for each window of each item: its words, their number, the longest, and the hashes of its shingles."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            for item, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                item = item.as_py()
-                for _, words, low, high in blocks_of(text, window):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part in parts_of([text], window):
+                    words = part.data.split()
                     length = min(window, len(words))
                     size = min(shingle, length)
-                    made = shingle_hashes(hashes.of(words), size).view(np.int64)
-                    high = min(high, len(words) - length + 1)
-                    for start in range(low, high, BATCH):
+                    made = shingle_hashes(word_hashes(part), size).view(np.int64)
+                    high = min(part.high, len(words) - length + 1)
+                    for start in range(part.low, high, BATCH):
                         runs = range(start, min(start + BATCH, high))
                         yield pa.RecordBatch.from_pydict(
                             {
@@ -159,15 +212,13 @@ def _count_shingles(texts: DataFrame, sizes: list[int], wanted: Broadcast) -> Da
     """How often each shingle that passes the filter occurs in the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             seen = [np.zeros(0, np.uint64)]
-            for text in batch.column(0).to_pylist():
-                for _, words, low, high in blocks_of(text, max(sizes)):
-                    numbers = hashes.of(words)
-                    for size in sizes:
-                        made = shingle_hashes(numbers, size)[low:high]
-                        seen.append(made[_passing(wanted.value, made)])
+            for part in parts_of(batch.column(0).to_pylist(), max(sizes)):
+                numbers = word_hashes(part)
+                for size in sizes:
+                    made, _ = part.shingles(numbers, size)
+                    seen.append(made[_passing(wanted.value, made)])
             found, n = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
 
@@ -180,32 +231,40 @@ def _candidates(texts: DataFrame, sizes: list[int], wanted: Broadcast, window: i
     Words longer than any of the benchmark are left empty, as no window holds them.
     """
 
+    def around(part: Part, begin: np.ndarray, end: np.ndarray) -> Iterator[str]:
+        """The words from ``begin`` to before ``end``, parted by one blank."""
+        giants = np.flatnonzero(part.ends - part.starts > longest)
+        some = np.searchsorted(giants, begin) < np.searchsorted(giants, end)
+        from_, to = part.starts[begin], part.ends[end - 1]
+        for i, j, a, b, giant in zip(begin.tolist(), end.tolist(), from_.tolist(), to.tolist(), some.tolist()):
+            if giant:
+                own = zip(part.starts[i:j].tolist(), part.ends[i:j].tolist())
+                yield b" ".join([part.data[c:d] if d - c <= longest else b"" for c, d in own]).decode()
+            else:
+                yield b" ".join(part.data[a:b].split()).decode()
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for first, words, low, high in blocks_of(text, window):
-                    numbers = hashes.of(words)
-                    for size in sizes:
-                        made = shingle_hashes(numbers, size)[low:high]
-                        passing = _passing(wanted.value, made)
-                        for start in range(0, len(passing), BATCH):
-                            some = passing[start : start + BATCH]
-                            at = some + low
-                            lead = np.minimum(at, window - 1)
-                            around = [
-                                b" ".join([w if len(w) <= longest else b"" for w in words[i - back : i + window]]).decode()
-                                for i, back in zip(at.tolist(), lead.tolist())
-                            ]
-                            yield pa.RecordBatch.from_pydict(
-                                {
-                                    "key": pa.array([key] * len(some), pa.string()),
-                                    "hash": pa.array(made[some].view(np.int64)),
-                                    "at": pa.array(at + first, pa.int32()),
-                                    "lead": pa.array(lead, pa.int32()),
-                                    "around": pa.array(around, pa.string()),
-                                }
-                            )
+            keys = batch.column(0)
+            for part in parts_of(batch.column(1).to_pylist(), window):
+                numbers = word_hashes(part)
+                for size in sizes:
+                    made, firsts = part.shingles(numbers, size)
+                    passing = _passing(wanted.value, made)
+                    for start in range(0, len(passing), BATCH):
+                        some = passing[start : start + BATCH]
+                        at = firsts[some]
+                        lead = np.minimum(part.place[at], window - 1)
+                        end = np.minimum(at + window, np.searchsorted(part.text, part.text[at], "right"))
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "key": keys.take(pa.array(part.text[at])),
+                                "hash": pa.array(made[some].view(np.int64)),
+                                "at": pa.array(part.place[at], pa.int32()),
+                                "lead": pa.array(lead, pa.int32()),
+                                "around": pa.array(list(around(part, at - lead, end)), pa.string()),
+                            }
+                        )
 
     return map_batches(texts, search, "key string, hash long, at int, lead int, around string")
 
@@ -285,9 +344,10 @@ def find_windows(
     named = matches.select("key", "window").distinct().join(owners, "window")
     ids = named.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     hits = materialize(_merged(matches).join(ids, "key").withColumnRenamed("key", key), "hits")
-    keyed = found.withColumn(key, F.sha2(text, 256)).join(hits, key, "left").drop(key)
-    values = {"n_words": n_words, "hits": F.coalesce("hits", none[0]), "items": F.coalesce("items", none[1])}
-    return keyed.select(*found.columns, *[value.alias(name) for name, value in values.items()])
+    # words are counted before the join, so a text that is not asked for does not travel
+    keyed = found.withColumns({key: F.sha2(text, 256), "n_words": n_words}).join(hits.hint("merge"), key, "left")
+    values = {"hits": F.coalesce("hits", none[0]), "items": F.coalesce("items", none[1])}
+    return keyed.select(*found.columns, "n_words", *[value.alias(name) for name, value in values.items()])
 
 
 def n_hit() -> Column:

@@ -57,17 +57,30 @@ def test_empty_sides(spark, docs, no_docs):
     assert clean.filter(F.size("items") > 0).count() == 0 and clean.count() == docs.count()
 
 
-def test_blocks_hold_every_word_once():
-    text = " ".join(["ab", "c" * 40, "d,e", "  ", "f" * 7] * 30).encode()
+def test_parts_hold_every_word_once():
+    long = " ".join(["ab", "c" * 40, "d,e", "  ", "f" * 700] * 30).encode()
+    texts = [None, long, b"", b" .,", b"one", b"Two  three.", long[:50], b" four ", b"--"]
     for size in (1, 10, 100, 1 << 20):
         for margin in (0, 1, 5, 13):
-            seen = []
-            for first, words, low, high in d.blocks_of(text, margin, size):
-                assert words == d.words_of(text)[first : first + len(words)]
-                assert low >= min(margin, first + low) and (len(words) - high >= margin or first + len(words) == len(d.words_of(text)))
-                seen += words[low:high]
-            assert seen == d.words_of(text)
-    assert not list(d.blocks_of(None, 3)) and not list(d.blocks_of(b" .,", 3))
+            seen = [[] for _ in texts]
+            for part in d.parts_of(texts, margin, size):
+                assert part.data.split() == [part.data[a:b] for a, b in zip(part.starts, part.ends)]
+                for at, (a, b, i, place) in enumerate(zip(part.starts, part.ends, part.text, part.place)):
+                    assert d.words_of(texts[i])[place] == part.data[a:b]
+                    if part.low <= at < part.high:
+                        assert place == len(seen[i])
+                        seen[i].append(part.data[a:b])
+                        for near in range(max(0, place - margin), min(len(d.words_of(texts[i])), place + margin + 1)):
+                            assert 0 <= at + near - place < len(part.text) and part.text[at + near - place] == i
+            assert seen == [d.words_of(t) for t in texts]
+
+
+def test_hash_of_a_word_depends_on_its_bytes_only():
+    (whole,) = d.parts_of([b"some words, " + b"y" * 1000, None, b"", b"words some " + b"y" * 1000 + b" emos"], 3)
+    made = d.word_hashes(whole).tolist()
+    assert made[:3] == [made[4], made[3], made[5]] and len(set(made)) == 4
+    hashes, at = whole.shingles(d.word_hashes(whole), 3)
+    assert at.tolist() == [0, 3, 4] and len(set(hashes.tolist())) == 3
 
 
 def test_long_items_and_texts(spark):
