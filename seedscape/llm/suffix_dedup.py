@@ -3,15 +3,17 @@
 No one index can hold the corpus, so the corpus is first dealt out such that equal strings
 meet: every ``length``-byte string is filed under the least hash of its shorter substrings,
 which equal strings share. Neighbouring strings mostly share it too, so they travel as one
-segment, named by a hash of its bytes. Where a whole segment came before, all its strings
-did. What is left, different segments under one hash, is where copies begin and end: their
+segment, named by a keyed hash of its bytes; the key is drawn anew for every run, so that no
+text can be made to pass for another. Where a whole segment came before, all its strings did. What is left, different segments under one hash, is where copies begin and end: their
 bytes are fetched, each block of them gets a run-length index, and the matching statistics
 streamed along it mark the strings with an earlier occurrence.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -66,22 +68,22 @@ def _levels(data: np.ndarray, longest: int) -> list[np.ndarray]:
     return levels
 
 
-def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def segments(texts: list[bytes], length: int, secret: bytes = b"") -> tuple[np.ndarray, ...]:
     """Segments of some texts: (text number, first start, number of starts, key, name, tied).
 
     Each start of a ``length``-byte string is in one segment. ``key`` is the least hash in each of
-    its strings and ``name`` a hash of all its bytes. ``tied``: the least hash occurs more than
+    its strings and ``name`` a hash of all its bytes under ``secret``. ``tied``: the least hash occurs more than
     once, so that a string may occur twice in the segment.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     n = len(data) - length + 1
     empty = np.zeros(0, np.int64)
     if n < 1:
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
     span = min(SPAN, length)
-    levels = _levels(data, 2 * length + span)
-    least = hashes = _mixed(_rolling(levels, length - span + 1))
+    least = hashes = _mixed(_rolling(_levels(data, length - span + 1), length - span + 1))
     width = 1
     while width < span:
         step = min(width, span - width)
@@ -100,7 +102,7 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     window = np.minimum(begin[:, None] + np.arange(span), len(hashes) - 1)
     anchor = (hashes[window] == key[:, None]).argmax(axis=1)
     tied = count - 1 > anchor
-    return number[at], begin - first[number[at]], count, key, _names(levels, begin, count + length - 1), tied
+    return number[at], begin - first[number[at]], count, key, _names(joined, begin, count + length - 1, secret), tied
 
 
 def _runs(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,17 +110,17 @@ def _runs(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(number)))
 
 
-def _names(levels: list[np.ndarray], begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from ``begin``, ``size`` of them, put together from powers of two."""
-    name, at = size.astype(np.uint64) * np.uint64(0x94D049BB133111EB), begin.copy()
-    for i in reversed(range(len(levels))):
-        having = np.flatnonzero(size >> i & 1)
-        name[having] = name[having] * np.uint64(pow(_BASE, 1 << i, 1 << 64)) + levels[i][at[having]]
-        at[having] += 1 << i
-    return _mixed(name)
+def _names(data: bytes, begin: np.ndarray, size: np.ndarray, secret: bytes) -> np.ndarray:
+    """Hashes of the bytes from ``begin``, ``size`` of them, under ``secret``."""
+    keyed, made = blake2b(digest_size=8, key=secret), []
+    for a, b in zip(begin.tolist(), (begin + size).tolist()):
+        name = keyed.copy()
+        name.update(data[a:b])
+        made.append(name.digest())
+    return np.frombuffer(b"".join(made), "<u8")
 
 
-def _cut(docs: DataFrame, length: int) -> DataFrame:
+def _cut(docs: DataFrame, length: int, secret: bytes = b"") -> DataFrame:
     """Segments of all documents (deal, key, name, doc, start, n, known). Those that came before in the same
     batch are ``known`` to be covered and are dealt out at random, so that no key is hot."""
 
@@ -133,7 +135,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                 part.append(texts[i][at : at + HASH_BYTES + length - 1])
                 size += len(part[-1])
                 if size >= HASH_BYTES or k == len(cuts) - 1:
-                    number, start, count, key, name, tied = segments(part, length)
+                    number, start, count, key, name, tied = segments(part, length, secret)
                     own = np.array(cuts[k + 1 - len(part) : k + 1])[number].reshape(-1, 2)
                     found.append((ids[own[:, 0]], start + own[:, 1], count, key, name, tied))
                     part, size = [], 0
@@ -262,16 +264,16 @@ def _one_by_one(pieces: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "doc", "start", "string"])
 
     strings = map_batches(pieces, run, "key long, doc long, start long, string binary")
-    named = strings.select("doc", "start", F.xxhash64("key", "string").alias("a"), F.xxhash64("string", "key").alias("b"))
-    first = named.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first"))
-    later = named.join(first, ["a", "b"]).filter(F.struct("doc", "start") > F.col("first"))
+    named = strings.select("doc", "start", F.unhex(F.sha2("string", 256)).alias("name"))
+    first = named.groupBy("name").agg(F.min(F.struct("doc", "start")).alias("first"))
+    later = named.join(first, "name").filter(F.struct("doc", "start") > F.col("first"))
     return later.select("doc", "start", F.lit(1).alias("n"))
 
 
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """Runs (doc, start, n) of starts in ``docs`` (_doc, _text) whose ``length``-byte string starts earlier.
     Runs may touch, but hold every such start once or more."""
-    found = materialize(_first_of_each(_cut(docs, length)), "segments")
+    found = materialize(_first_of_each(_cut(docs, length, secrets.token_bytes(32))), "segments")
     covered = found.filter(F.col("kind") == COVERED).select("doc", "start", "n")
     pieces = materialize(_bytes_of(found.filter(F.col("kind") == WHOLE), docs, length), "pieces")
     large = materialize(pieces.groupBy("key").count().filter(F.col("count") > GROUP).select("key"), "large")

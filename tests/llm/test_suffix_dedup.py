@@ -110,3 +110,27 @@ def _common(a, b):
 def test_index_of_copies_has_few_runs():
     text = bytes(np.random.default_rng(1).integers(97, 123, 500, np.uint8))
     assert RunIndex([text] * 50).runs < 3 * RunIndex([text]).runs
+
+
+def test_names_depend_on_the_key_and_tell_bytes_apart():
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"ab", k=300)) for _ in range(20)] * 2
+    by_key = []
+    for secret in (b"one", b"two"):
+        number, start, count, _, name, _ = suffix_dedup.segments(texts, 20, secret)
+        pieces = [texts[i][s : s + n + 19] for i, s, n in zip(number, start, count)]
+        assert len(set(zip(pieces, name.tolist()))) == len(set(pieces)) == len(set(name.tolist()))
+        by_key.append(set(name.tolist()))
+    assert not by_key[0] & by_key[1]
+
+
+def test_sequences_that_make_polynomial_hashes_collide(spark, monkeypatch):
+    """Thue-Morse sequences and their complements have equal polynomial hashes in wrapping arithmetic from some length on."""
+    even = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    texts = [even[:2048], odd[:2048], even + odd, odd[1000:3000]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length in (100, 1500):
+        expected = brute([(i, t.encode()) for i, t in enumerate(texts)], length)
+        for r in suffix_dedup.remove_repeats(frame, length).collect():
+            assert ([(s["start"], s["end"]) for s in r.removed], bytes(r.kept)) == expected[r.doc_id]
