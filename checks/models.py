@@ -43,7 +43,8 @@ def _fit_and_score(spark: SparkSession, sf: str, fitter: clf.Fitter) -> DataFram
     return _judged(clf.score_rows(model, candidates))
 
 
-# A fit has no SQL form, but every candidate must get a probability, and the probabilities have to tell targets apart.
+# Says only that every candidate gets a probability. Values of fits are compared in checks/fits.py, that they tell targets
+# apart is tested in tests/test_models.py.
 SCORED = "SELECT id, target, TRUE AS is_probability FROM {prepared}"
 
 
