@@ -2,10 +2,11 @@
 
 MLlib has no AdaBoost. A stump only asks on which side of a threshold a value lies, so the training
 rows are counted in cells first: the bin of every feature, and the label. Bins depend on a feature's
-own values alone, however many features there are. The cells stay spread over the executors: all
-rounds are one barrier stage, in which each task holds its cells' weights. In a round the tasks add up
-the weights per feature and bin for their own cells, exchange these small tables, and all
-find the same stump. Only the list of stumps comes back.
+own values alone, however many features there are. The cells stay spread over the executors, packed
+in blocks, and are kept there for all rounds. A round is one job: a task reads its blocks one by one,
+weighs each cell by the sum of the leaf values so far, and adds up the weights per feature and
+bin. Only these small tables come back, and the next stump is found in their sum. A table of cells for one
+task goes through all rounds in that task.
 
 The result is a plain pipeline model, with one SQL stage that adds up the leaf values per feature,
 so saving, loading and scoring need nothing special however many rounds there were.
@@ -13,12 +14,11 @@ so saving, loading and scoring need nothing special however many rounds there we
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, SQLTransformer
 from pyspark.sql import Column, DataFrame
@@ -32,8 +32,8 @@ from seedscape.scratch import materialize
 EPSILON = 2.220446049250313e-16
 #: Bins of a feature with more different values than that.
 MAX_BINS = 64
-#: Cells that a task holds, as long as there are cores for more tasks.
-TASK_CELLS = 1 << 16
+#: Cells of a task, as long as there are cores for more tasks, and the most in any case.
+TASK_CELLS, MOST_CELLS = 1 << 16, 1 << 21
 
 STUMPS = "round int, feature int, bin int, low double, high double"
 
@@ -99,35 +99,85 @@ def best_stump(pos: np.ndarray, neg: np.ndarray, sizes: Sequence[int]) -> tuple[
     return best[1:]
 
 
-def _rounds(n_features: int, sizes: Sequence[int], rounds: int):
-    """A task of the barrier stage: its cells' weights through all rounds; the first task returns the stumps."""
+def _code_type(sizes: Sequence[int]) -> np.dtype:
+    return np.min_scalar_type(2 * max(sizes))
+
+
+def _pack(kind: np.dtype):
+    """Cells in blocks: a code ``2 * bin + label`` per feature, feature by feature, and the numbers of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                label, *bins, n = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+                codes = np.stack([2 * b + label for b in bins]).astype(kind)
+                columns = [pa.array([x.tobytes()], pa.binary()) for x in (codes, n.astype(float))]
+                yield pa.RecordBatch.from_arrays(columns, names=["codes", "counts"])
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for codes, counts in zip(*batch.columns):
+            yield np.frombuffer(codes.as_buffer(), kind).reshape(n_features, -1), np.frombuffer(counts.as_buffer())
+
+
+class _Rounds:
+    """The stumps so far, and what they add up to by feature and bin."""
+
+    def __init__(self, sizes: Sequence[int]):
+        self.sizes, self.stumps, self.shift, self.ended = list(sizes), [], 0.0, False
+        self.leaves = np.zeros((len(sizes), max(sizes)))
+
+    def sums(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Weights of cells per feature, bin and label. They add up to 1 before the last stump."""
+        signed = np.stack([self.leaves, -self.leaves], axis=2).reshape(len(self.sizes), -1)
+        used, total = np.flatnonzero(signed.any(axis=1)), np.zeros_like(signed)
+        for codes, counts in blocks:
+            exponent = np.full(codes.shape[1], -self.shift)
+            for f in used:
+                exponent += signed[f][codes[f]]
+            weight = counts * np.exp(exponent)
+            for f, own in enumerate(codes):
+                total[f] += np.bincount(own, weight, total.shape[1])
+        return total
+
+    def add(self, sums: np.ndarray) -> None:
+        """One more stump, or the end."""
+        whole = sums[0].sum()
+        if not whole:
+            self.ended = True
+            return
+        neg, pos = np.moveaxis(sums.reshape(*self.leaves.shape, 2) / whole, 2, 0)
+        f, at, (low, high), error = best_stump(pos, neg, self.sizes)
+        self.stumps.append((len(self.stumps) + 1, f, at, float(low), float(high)))
+        self.leaves[f] += np.where(np.arange(self.leaves.shape[1]) <= at, low, high)
+        self.shift += float(np.log(whole))
+        self.ended = error <= 0
+
+
+def _sums_of(made: _Rounds, kind: np.dtype):
+    """The sums of a task's cells, under the number of the task: they must not be added in the order of arrival."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = made.sums(_blocks(batches, len(made.sizes), kind))
+        task = pa.array([TaskContext.get().partitionId()], pa.int32())
+        yield pa.RecordBatch.from_arrays([task, pa.array([sums.tobytes()], pa.binary())], names=["task", "sums"])
+
+    return run
+
+
+def _all_rounds(sizes: Sequence[int], kind: np.dtype, rounds: int):
+    """All rounds over the cells of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = BarrierTaskContext.get()
-        held = [np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]) for b in batches if len(b)]
-        cells = np.concatenate(held, axis=1) if held else np.zeros((n_features + 2, 0), np.int64)
-        cells = cells[:, np.lexsort(cells)]  # sums must not depend on the order of arrival
-        label, bins, weight = cells[0].astype(float), cells[1:-1].astype(np.int32), cells[-1].astype(float)
-        width, stumps = max(sizes), []
-        while len(stumps) < rounds:
-            sums = np.zeros((2, n_features, width))
-            for f in range(n_features):
-                sums[0, f] = np.bincount(bins[f], weight * label, width)
-                sums[1, f] = np.bincount(bins[f], weight * (1 - label), width)
-            said = context.allGather(base64.b64encode(sums.tobytes()).decode())
-            sums = sum(np.frombuffer(base64.b64decode(x)).reshape(sums.shape) for x in said)
-            whole = sums[:, 0].sum()
-            if not whole:
-                break
-            f, at, (low, high), error = best_stump(sums[0] / whole, sums[1] / whole, sizes)
-            stumps.append((len(stumps) + 1, f, at, float(low), float(high)))
-            if error <= 0:
-                break
-            weight = weight / whole * np.exp(-(2 * label - 1) * np.where(bins[f] <= at, low, high))
-        if context.partitionId() == 0:
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-            columns = [pa.array([s[k] for s in stumps], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["round", "feature", "bin", "low", "high"])
+        held, made = list(_blocks(batches, len(sizes), kind)), _Rounds(sizes)
+        while len(made.stumps) < rounds and not made.ended:
+            made.add(made.sums(held))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+        columns = [pa.array([s[k] for s in made.stumps], t) for k, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["round", "feature", "bin", "low", "high"])
 
     return run
 
@@ -135,15 +185,27 @@ def _rounds(n_features: int, sizes: Sequence[int], rounds: int):
 def boost(train: DataFrame, features: Sequence[str], edges: dict[str, list[float]], rounds: int = 500) -> DataFrame:
     """The stumps (round, feature and last low bin by number, leaf values), up to the first that makes no error.
 
-    ``train`` has a ``label`` of 0 or 1. Rows with a null feature lie below all edges. No rows give no stumps. A lost
-    executor makes the stage start again.
+    ``train`` has a ``label`` of 0 or 1. Rows with a null feature lie below all edges. No rows give no stumps. What a lost
+    executor held is made again from the table of cells.
     """
     cells = materialize(count_cells(train, features, edges), "cells")
-    tasks = max(1, min(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // TASK_CELLS)))
+    spark, n = cells.sparkSession, cells.count()
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-n // TASK_CELLS)), -(-n // MOST_CELLS))
     keys = ["label", *[f"bin_{i}" for i in range(len(features))]]
-    dealt = cells.select(*keys, "n").repartition(tasks, *keys)
     sizes = [len(edges[f]) + 1 for f in features]
-    return materialize(dealt.mapInArrow(_rounds(len(features), sizes, rounds), STUMPS, barrier=True), "stumps")
+    kind = _code_type(sizes)
+    dealt = cells.select(*keys, "n").repartition(tasks, *keys).sortWithinPartitions(*keys)
+    packed = dealt.mapInArrow(_pack(kind), "codes binary, counts binary")
+    if tasks == 1:
+        return materialize(packed.mapInArrow(_all_rounds(sizes, kind, rounds), STUMPS), "stumps")
+    packed, made = packed.persist(StorageLevel.MEMORY_AND_DISK), _Rounds(sizes)
+    try:
+        while len(made.stumps) < rounds and not made.ended:
+            found = packed.mapInArrow(_sums_of(made, kind), "task int, sums binary").collect()  # a small table per task
+            made.add(sum(np.frombuffer(r["sums"]).reshape(len(sizes), -1) for r in sorted(found, key=lambda r: r["task"])))
+    finally:
+        packed.unpersist()
+    return spark.createDataFrame(made.stumps, STUMPS)
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 500) -> PipelineModel:

@@ -1,9 +1,12 @@
 """Boosting over cells against plain rounds on the rows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seedscape.operators import boosting
 from seedscape.operators import classifiers as clf
 from seedscape.operators.boosting import EPSILON, bin_edges, boost, fit_boosted
 
@@ -86,3 +89,17 @@ def test_no_rows_and_no_features(spark):
     frame, names = table(spark, x, y)
     assert fit_boosted(frame.limit(0), names).transform(frame).select("model_score").distinct().collect()[0][0] == 0.5
     assert fit_boosted(frame, []).transform(frame).count() == 20
+
+
+def test_a_round_does_not_wait_and_its_sums_may_come_from_many_tasks(spark, monkeypatch):
+    x, y = made(2000, 4, seed=3)
+    frame, names = table(spark, x, y)
+    edges = bin_edges(frame, names, 1000)
+    begun = time.perf_counter()
+    alone = boost(frame, names, edges, 60).orderBy("round").collect()
+    assert time.perf_counter() - begun < 40  # a barrier between rounds takes a second each
+    monkeypatch.setattr(boosting, "TASK_CELLS", 300)
+    spread = boost(frame, names, edges, 60).orderBy("round").collect()
+    assert len(alone) == len(spread) == 60
+    for a, b in zip(alone, spread):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-6)
