@@ -197,18 +197,14 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id AS id, md5(array_to_string(" + tokens_sql() + ", ' ')) AS digest FROM {documents} WHERE len(" + tokens_sql() + ") > 0")
 def rebuilt_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Word positions of every text, and the text put together from them again."""
-    words = view(spark, sf, "texts").select("id", F.posexplode(terms(F.col("text"))).alias("at", "word"))
-    spots = words.groupBy("id", "word").agg(F.sort_array(F.collect_list("at")).alias("spots"))
-    index = spots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "spots"))).alias("index"))
+    index = similarity.positions(view(spark, sf, "texts"))
     return index.select("id", F.md5(F.array_join(text_from_positions(F.col("index")), " ")).alias("digest"))
 
 
 @query("SELECT doc_id AS id, md5(array_to_string(" + tokens_sql() + ", ' ')) AS digest FROM {documents} WHERE len(" + tokens_sql() + ") > 0")
 def texts_from_json(spark: SparkSession, sf: str) -> DataFrame:
     """The same with each index stored as a JSON record."""
-    words = view(spark, sf, "texts").select("id", F.posexplode(terms(F.col("text"))).alias("at", "word"))
-    spots = words.groupBy("id", "word").agg(F.sort_array(F.collect_list("at")).alias("spots"))
-    index = spots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "spots"))).alias("InvertedIndex"))
+    index = similarity.positions(view(spark, sf, "texts"), out_col="InvertedIndex")
     record = F.to_json(F.struct(F.size("InvertedIndex").alias("IndexLength"), "InvertedIndex"))
     return index.select("id", F.md5(F.array_join(text_from_json(record), " ")).alias("digest"))
 
