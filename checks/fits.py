@@ -183,17 +183,16 @@ def remeasured_runs(spark: SparkSession, sf: str) -> DataFrame:
           WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem})""")
 def models_as_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of trees and other parts as rows, routed and added up on their own, give the scores of the models."""
-    facts, names = _order_facts(spark, sf), FEATURES[:5]
+    names = FEATURES[:5]
+    facts = _order_facts(spark, sf, names)
     fits = {"forest": clf.forest(10, max_depth=8), "bayes": clf.gaussian_bayes(), "svm": clf.linear_svm(), "boosted": clf.boosted(40)}
-    parts = own = rows = None
+    parts = rows = None
     for name, fitter in fits.items():
         model = fitter(facts, names)
         part = parts_of(spark, model, new_path(spark, "forest")).withColumn("run_id", F.lit(name))
-        scored = clf.score_rows(model, facts, ["id"]).select(F.lit(name).alias("run_id"), "id", F.col("score").alias("own"))
-        run = facts.withColumn("run_id", F.lit(name))
-        parts, own, rows = (part, scored, run) if parts is None else (parts.unionByName(part), own.unionByName(scored), rows.unionByName(run))
-    routed = score_with_tables(rows, parts, names)
-    both = routed.join(own, ["run_id", "id"])
+        run = clf.score_rows(model, facts, ["id", *names]).withColumnRenamed("score", "own").withColumn("run_id", F.lit(name))
+        parts, rows = (part, run) if parts is None else (parts.unionByName(part), rows.unionByName(run))
+    both = score_with_tables(rows, parts, names, keep=("id", "own"))
     return both.select("id", F.col("run_id").alias("clf"), (F.abs(F.col("score") - F.col("own")) < 1e-6).alias("same"))
 
 
@@ -243,9 +242,11 @@ def rounds_sql() -> str:
     return ",\n    ".join(made)
 
 
-def _order_facts(spark: SparkSession, sf: str) -> DataFrame:
+def _order_facts(spark: SparkSession, sf: str, features: Sequence[str]) -> DataFrame:
+    """Every order with its class and the features that are asked for; the others are not summed up."""
     tables = {name: view(spark, sf, name) for name in ("orders", "customer", "lineitem")}
-    return materialize(spark.sql(ORDER_FACTS, **tables).withColumn("label", F.col("target").cast("double")), "facts")
+    facts = spark.sql(ORDER_FACTS, **tables).withColumn("label", F.col("target").cast("double"))
+    return materialize(facts.select("id", "target", "label", *features), "facts")
 
 
 @query(f"""
@@ -254,7 +255,7 @@ def _order_facts(spark: SparkSession, sf: str) -> DataFrame:
     FROM ({" UNION ALL ".join(f"SELECT * FROM best_{r}" for r in range(1, ROUNDS + 1))})""")
 def first_boosting_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """The first stumps over twenty features, with their thresholds and leaf values."""
-    facts = _order_facts(spark, sf)
+    facts = _order_facts(spark, sf, FEATURES)
     edges = bin_edges(facts, FEATURES)
     listed = spark.createDataFrame([(i, f"f{i}", b, e) for i in range(20) for b, e in enumerate(edges[f"f{i}"])], "feature int, name string, bin int, edge double")
     stumps = boost(facts, FEATURES, edges, ROUNDS)
@@ -264,6 +265,6 @@ def first_boosting_rounds(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, o_totalprice > 150000 AS target, TRUE AS is_probability FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem})")
 def boosted_many_features(spark: SparkSession, sf: str) -> DataFrame:
     """Five hundred rounds over twenty features."""
-    facts = _order_facts(spark, sf)
+    facts = _order_facts(spark, sf, FEATURES)
     scored = clf.score_rows(clf.boosted()(facts, FEATURES), facts)
     return scored.select("id", "target", F.col("score").between(0, 1).alias("is_probability"))

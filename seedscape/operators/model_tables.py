@@ -123,20 +123,22 @@ def score_with_tables(rows: DataFrame, models: DataFrame, features: Sequence[str
     """``run``, ``keep`` and ``score`` of the rows of every run that has a model; ``models`` has ``run`` and the parts.
 
     Rows of a run meet its parts in groups of about ``BLOCK``, so a run of any size is spread; all runs are one job.
+    Features travel as plain columns, which a group's arrays are views of. What else is known of a row may travel along in ``keep``.
     """
     sizes = rows.groupBy(run).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     sizes = materialize(sizes, "sizes")
     dealt = rows.join(sizes, run).withColumn("_block", F.pmod(F.xxhash64(*keep), "_blocks").cast("int"))
-    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
-    dealt = dealt.select(run, "_block", F.struct(*[F.col(c) for c in keep]).alias("_row"), values.alias("_values"))
+    places = [f"_x{i}" for i in range(len(features))]
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(x) for f, x in zip(features, places)]
+    dealt = dealt.select(run, "_block", F.struct(*[F.col(c) for c in keep]).alias("_row"), *values)
     names = [f.split()[0] for f in PARTS.split(", ")]
     spread = models.join(sizes, run).select(run, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), *names)
 
     def score(rows_: pa.Table, parts: pa.Table) -> pa.Table:
         n = len(rows_) if len(parts) else 0
         rows_ = rows_.slice(0, n)
-        matrix = np.array(rows_["_values"].to_pylist(), float).reshape(n, len(features))
-        found = _apply(parts.select(names).to_pylist(), dict(zip(features, matrix.T)), n) if n else np.zeros(0)
+        columns = {f: rows_[x].to_numpy() for f, x in zip(features, places)}
+        found = _apply(parts.select(names).to_pylist(), columns, n) if n else np.zeros(0)
         return pa.table({run: rows_[run], "_row": rows_["_row"], "score": pa.array(found)})
 
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}

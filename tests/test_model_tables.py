@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fits
 from seedscape.operators import classifiers as clf
 from seedscape.operators import model_tables
 from seedscape.operators.model_tables import parts_of, score_with_tables
@@ -81,3 +82,19 @@ def test_tables_of_runs_in_one_scan(spark):
     found = read_of_runs(spark, {"x": first, "y": second, "z": new_path(spark, "none"), "again": first}, "t.parquet")
     assert sorted((r["run_id"], r["id"]) for r in found.collect()) == [("again", 0), ("again", 1), ("again", 2), ("x", 0), ("x", 1), ("x", 2), ("y", 5)]
     assert read_of_runs(spark, {"z": new_path(spark, "none")}, "t.parquet") is None
+
+
+def test_features_travel_as_columns_and_what_is_kept_with_them(spark, toy):
+    """No array is made of a row's features, and scores to compare need no join of their own."""
+    model = clf.logistic()(toy, ["a", "b"])
+    rows = clf.score_rows(model, toy, ["id", "a", "b"]).withColumnRenamed("score", "own").withColumn("run_id", F.lit("one"))
+    parts = parts_of(spark, model, new_path(spark, "forest")).withColumn("run_id", F.lit("one"))
+    scored = score_with_tables(rows, parts, ["a", "b"], keep=("id", "own"))
+    assert "array(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    found = scored.collect()
+    assert len(found) == 400 and all(r["score"] == pytest.approx(r["own"], abs=1e-12) for r in found)
+
+
+def test_only_the_features_asked_for_are_summed_up(spark):
+    facts = fits._order_facts(spark, "/root/testdata/sf0.001", ["f0", "f4"])
+    assert facts.columns == ["id", "target", "label", "f0", "f4"]
