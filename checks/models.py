@@ -269,7 +269,7 @@ def transferred_model(spark: SparkSession, sf: str) -> DataFrame:
     model = clf.logistic()(candidates.where("is_train"), FEATURES)
     papers = view(spark, sf, "part_papers")
     other_seeds = papers.where("year = 1980")
-    reached = expand(other_seeds, view(spark, sf, "citations"), 1)
+    reached = materialize(expand(other_seeds, view(spark, sf, "citations"), 1), "reached")
     others = attach_papers(reached, drop_unclustered(view(spark, sf, "papers")))
     prepared = materialize(prepare_candidates(others, other_seeds, papers.where("year = 1981")), "prepared")
     return _judged(clf.score_rows(model, default_features(prepared, other_seeds)))

@@ -51,7 +51,8 @@ def collect_papers(
     """Split the list into seeds and targets and collect everything within ``degrees`` of the seeds.
 
     Seeds without a paper record are followed as well. With run keys in ``by``,
-    all runs are collected at once. The three sets are written, since every later
+    all runs are collected at once. The IDs reached are written, so that the join with the papers knows how
+    few they are, and papers are read once for all three sets. These are written, since every later
     step reads them several times.
     """
     known = drop_unclustered(papers)
@@ -60,7 +61,10 @@ def collect_papers(
     target_ids = split.where("NOT is_seed").drop("is_seed")
     reached = expand(seed_ids, edges, degrees, by)
     sets = {"seeds": seed_ids, "targets": target_ids, "candidates": reached}
-    return PaperSets(**{name: materialize(attach_papers(ids, known), name) for name, ids in sets.items()})
+    named = [ids.select(*by, "id", F.lit(name).alias("_set")) for name, ids in sets.items()]
+    wanted = materialize(named[0].unionByName(named[1]).unionByName(named[2]), "wanted")
+    found = materialize(attach_papers(wanted, known), "papers")
+    return PaperSets(**{name: materialize(found.where(F.col("_set") == name).drop("_set"), name) for name in sets})
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@ import random
 
 from seedscape.operators import graph
 from seedscape.operators.matching import match_by_doi
+from seedscape.plans import review
 
 EDGES = [("a", "b"), ("b", "c"), ("d", "b"), ("c", "e"), ("x", "y"), ("e", "f")]
 
@@ -97,3 +98,15 @@ def test_many_runs_travel_as_bits(spark):
     bits = graph.to_bits(seeds, graph.number_runs(seeds, ["run"]), ["run"])
     assert bits.where("chunk = 0").count() == bits.where("chunk = 0").select("id").distinct().count() <= 61
     assert bits.select("chunk").distinct().count() == 2
+
+
+def test_papers_are_looked_up_once_for_all_sets(spark, monkeypatch):
+    calls, plain = [], review.attach_papers
+    monkeypatch.setattr(review, "attach_papers", lambda *tables: calls.append(1) or plain(*tables))
+    papers = spark.createDataFrame([(c, "t", 1.0, None if c == "e" else "1:2") for c in "abcdef"], "id string, title string, ef double, cl string")
+    edges = spark.createDataFrame([("a", "c"), ("b", "d"), ("c", "e"), ("f", "f")], "id string, cited_id string")
+    sets = review.collect_papers(spark.createDataFrame([("a",), ("b",)], "id string"), papers, edges, 1, degrees=1)
+    (seed,), (target,) = ([r["id"] for r in rows.collect()] for rows in (sets.seeds, sets.targets))
+    assert {seed, target} == {"a", "b"} and calls == [1]
+    assert {r["id"] for r in sets.candidates.collect()} == {seed, {"a": "c", "b": "d"}[seed]}
+    assert sets.seeds.columns == sets.targets.columns == sets.candidates.columns == papers.columns
