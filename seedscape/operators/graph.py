@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seedscape.operators.newton import join_runs
 from seedscape.operators.ordering import running_totals
+from seedscape.operators.similarity import n_tasks
 from seedscape.scratch import materialize
 
 #: Runs that one row of an ID stands for.
@@ -155,8 +156,13 @@ def _count_for_runs(ids: DataFrame, edges: DataFrame, degrees: int, by: Sequence
 
 
 def lists_of_reviews(edges: DataFrame, reviews: DataFrame, direction: str = "out") -> DataFrame:
-    """The references (or the citing papers) of many papers at once, as ``(review_id, id)``."""
+    """The references (or the citing papers) of many papers at once, as ``(review_id, id)``.
+
+    Edges and reviews are dealt out once, to as many tasks as their numbers ask for, so that a task does not grow with
+    the tables; reviews and pairs are made distinct where they are joined.
+    """
     own, other = ("id", "cited_id") if direction == "out" else ("cited_id", "id")
-    wanted = reviews.select(F.col("id").alias("review_id")).distinct()
+    wanted = materialize(reviews.select(F.col("id").alias("review_id")), "reviews")
     pairs = edges.select(F.col(own).alias("review_id"), F.col(other).alias("id"))
-    return pairs.join(wanted, "review_id").distinct()
+    n = n_tasks(edges, max(edges.count(), wanted.count()))
+    return pairs.repartition(n, "review_id").join(wanted.repartition(n, "review_id").distinct(), "review_id").distinct()

@@ -1,6 +1,6 @@
 import random
 
-from seedscape.operators import graph
+from seedscape.operators import graph, similarity
 from seedscape.operators.matching import match_by_doi
 from seedscape.plans import review
 
@@ -110,3 +110,14 @@ def test_papers_are_looked_up_once_for_all_sets(spark, monkeypatch):
     assert {seed, target} == {"a", "b"} and calls == [1]
     assert {r["id"] for r in sets.candidates.collect()} == {seed, {"a": "c", "b": "d"}[seed]}
     assert sets.seeds.columns == sets.targets.columns == sets.candidates.columns == papers.columns
+
+
+def test_lists_of_reviews_are_cut_by_their_size(spark, monkeypatch):
+    """A task holds a bounded number of pairs, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(similarity, "TASK_TERMS", 100)
+    edges = spark.range(4000).selectExpr("id % 500 AS id", "id % 250 AS cited_id")
+    reviews = spark.range(400).unionByName(spark.range(100)).select("id")
+    found = graph.lists_of_reviews(edges, reviews)
+    assert found.rdd.getNumPartitions() == 40
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(i % 500, i % 250) for i in range(4000) if i % 500 < 400}
