@@ -3,12 +3,12 @@
 MLlib has no AdaBoost. A stump only asks on which side of a threshold a value lies, so the training
 rows are counted in cells first: the bin of every feature, and the label. Bins depend on a feature's
 own values alone, however many features there are. The cells stay spread over the executors, packed
-in blocks, and are kept there for all rounds. A round is one job: a task reads its blocks one by one,
-weighs each cell by the sum of the leaf values so far, and adds up the weights per feature and
-bin. Only these small tables come back, and the next stump is found in their sum. A table of cells for one
+in blocks, and are kept there for all rounds. Features with few bins share a code, so that a cell is looked up and
+counted once for all of them. A round is one job: a task reads its blocks one by one, weighs each cell by the sum
+of the leaf values so far, and adds up the weights per code, and from these per feature and bin. Only these small tables come back, and the next stump is found in their sum. A table of cells for one
 task goes through all rounds in that task.
 
-The result is a plain pipeline model, with one SQL stage that adds up the leaf values per feature,
+The result is a plain pipeline model: bins are searched for, and an SQL stage adds up the leaf values per feature,
 so saving, loading and scoring need nothing special however many rounds there were.
 """
 
@@ -34,6 +34,8 @@ EPSILON = 2.220446049250313e-16
 MAX_BINS = 64
 #: Cells of a task, as long as there are cores for more tasks, and the most in any case.
 TASK_CELLS, MOST_CELLS = 1 << 16, 1 << 21
+#: Cells of a block, and the most codes of a group of features: what a block is added up to stays in a core's cache.
+BLOCK_CELLS, GROUP_CODES = 1 << 16, 1 << 13
 
 STUMPS = "round int, feature int, bin int, low double, high double"
 
@@ -71,9 +73,7 @@ def count_cells(train: DataFrame, features: Sequence[str], edges: dict[str, list
     valued = train.select("label", *[_value(f).alias(f"value_{i}") for i, f in enumerate(features)])
     cut = [i for i, f in enumerate(features) if edges[f]]
     if cut:
-        splits = [[-np.inf, *[float(np.nextafter(e, np.inf)) for e in edges[features[i]]], np.inf] for i in cut]
-        names = {"inputCols": [f"value_{i}" for i in cut], "outputCols": [f"at_{i}" for i in cut]}
-        valued = Bucketizer(splitsArray=splits, **names).transform(valued)
+        valued = _bucketizer({f"value_{i}": edges[features[i]] for i in cut}, [f"at_{i}" for i in cut]).transform(valued)
     bins = [(F.col(f"at_{i}") if i in cut else F.lit(0)).cast("int").alias(f"bin_{i}") for i in range(len(features))]
     keys = ["label", *[f"bin_{i}" for i in range(len(features))]]
     return valued.select("label", *bins).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -99,28 +99,57 @@ def best_stump(pos: np.ndarray, neg: np.ndarray, sizes: Sequence[int]) -> tuple[
     return best[1:]
 
 
+def _groups(sizes: Sequence[int]) -> list[list[int]]:
+    """Features that share a code: each group has at most ``GROUP_CODES`` combinations of bins and label, or one feature."""
+    groups: list[tuple[int, list[int]]] = []
+    for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+        at = next((i for i, (n, _) in enumerate(groups) if n * sizes[f] <= GROUP_CODES), len(groups))
+        n, members = groups[at] if at < len(groups) else (2, [])
+        groups[at : at + 1] = [(n * sizes[f], [*members, f])]
+    return [sorted(members) for _, members in groups]
+
+
 def _code_type(sizes: Sequence[int]) -> np.dtype:
-    return np.min_scalar_type(2 * max(sizes))
+    return np.min_scalar_type(max(2 * int(np.prod([sizes[f] for f in group])) for group in _groups(sizes)))
+
 
+def _pack(sizes: Sequence[int]):
+    """Cells in blocks: a code of the bins and the label per group of features, group by group, and the numbers of rows."""
+    groups, kind = _groups(sizes), _code_type(sizes)
 
-def _pack(kind: np.dtype):
-    """Cells in blocks: a code ``2 * bin + label`` per feature, feature by feature, and the numbers of rows."""
+    def block(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        label, *bins, n = [np.concatenate(column) for column in zip(*held)]
+        codes = []
+        for group in groups:
+            code = np.zeros(len(n), np.int64)
+            for f in group:
+                code = code * sizes[f] + bins[f]
+            codes.append((2 * code + label).astype(kind))
+        counts = n.astype(np.min_scalar_type(int(n.max())))
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (np.stack(codes), counts)]
+        return pa.RecordBatch.from_arrays(columns, names=["codes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cells = [], 0
         for batch in batches:
             if len(batch):
-                label, *bins, n = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-                codes = np.stack([2 * b + label for b in bins]).astype(kind)
-                columns = [pa.array([x.tobytes()], pa.binary()) for x in (codes, n.astype(float))]
-                yield pa.RecordBatch.from_arrays(columns, names=["codes", "counts"])
+                held.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+                cells += len(batch)
+            if cells >= BLOCK_CELLS:
+                yield block(held)
+                held, cells = [], 0
+        if held:
+            yield block(held)
 
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], n_groups: int, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for codes, counts in zip(*batch.columns):
-            yield np.frombuffer(codes.as_buffer(), kind).reshape(n_features, -1), np.frombuffer(counts.as_buffer())
+            own = np.frombuffer(codes.as_buffer(), kind).reshape(n_groups, -1)
+            numbers = counts.as_buffer()
+            yield own, np.frombuffer(numbers, f"u{numbers.size // own.shape[1]}")
 
 
 class _Rounds:
@@ -132,16 +161,32 @@ class _Rounds:
 
     def sums(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Weights of cells per feature, bin and label. They add up to 1 before the last stump."""
-        signed = np.stack([self.leaves, -self.leaves], axis=2).reshape(len(self.sizes), -1)
-        used, total = np.flatnonzero(signed.any(axis=1)), np.zeros_like(signed)
+        groups = _groups(self.sizes)
+        shapes = [[self.sizes[f] for f in group] for group in groups]
+        tables = [self._signed(group, shape) for group, shape in zip(groups, shapes)]
+        totals = [np.zeros(2 * int(np.prod(shape))) for shape in shapes]
         for codes, counts in blocks:
-            exponent = np.full(codes.shape[1], -self.shift)
-            for f in used:
-                exponent += signed[f][codes[f]]
-            weight = counts * np.exp(exponent)
-            for f, own in enumerate(codes):
-                total[f] += np.bincount(own, weight, total.shape[1])
-        return total
+            exponent, places = np.full(codes.shape[1], -self.shift), [own.astype(np.intp) for own in codes]
+            for table, at in zip(tables, places):
+                if table is not None:
+                    exponent += table.take(at)
+            weight = counts * np.exp(exponent, out=exponent)
+            for total, at in zip(totals, places):
+                total += np.bincount(at, weight, len(total))
+        sums = np.zeros((*self.leaves.shape, 2))
+        for group, shape, total in zip(groups, shapes, totals):
+            cube = total.reshape(*shape, 2)
+            for axis, f in enumerate(group):
+                others = tuple(k for k in range(len(group)) if k != axis)
+                sums[f, : self.sizes[f]] = cube.sum(axis=others)
+        return sums.reshape(len(self.sizes), -1)
+
+    def _signed(self, group: Sequence[int], shape: Sequence[int]) -> np.ndarray | None:
+        """What the stumps add to the exponent, by the code of a group; nothing if they do not use its features."""
+        leaves = np.zeros(shape)
+        for axis, f in enumerate(group):
+            leaves += self.leaves[f, : self.sizes[f]].reshape([-1 if k == axis else 1 for k in range(len(group))])
+        return np.stack([leaves, -leaves], axis=-1).ravel() if leaves.any() else None
 
     def add(self, sums: np.ndarray) -> None:
         """One more stump, or the end."""
@@ -160,8 +205,10 @@ class _Rounds:
 def _sums_of(made: _Rounds, kind: np.dtype):
     """The sums of a task's cells, under the number of the task: they must not be added in the order of arrival."""
 
+    n_groups = len(_groups(made.sizes))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = made.sums(_blocks(batches, len(made.sizes), kind))
+        sums = made.sums(_blocks(batches, n_groups, kind))
         task = pa.array([TaskContext.get().partitionId()], pa.int32())
         yield pa.RecordBatch.from_arrays([task, pa.array([sums.tobytes()], pa.binary())], names=["task", "sums"])
 
@@ -172,7 +219,7 @@ def _all_rounds(sizes: Sequence[int], kind: np.dtype, rounds: int):
     """All rounds over the cells of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, made = list(_blocks(batches, len(sizes), kind)), _Rounds(sizes)
+        held, made = list(_blocks(batches, len(_groups(sizes)), kind)), _Rounds(sizes)
         while len(made.stumps) < rounds and not made.ended:
             made.add(made.sums(held))
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
@@ -195,7 +242,7 @@ def boost(train: DataFrame, features: Sequence[str], edges: dict[str, list[float
     sizes = [len(edges[f]) + 1 for f in features]
     kind = _code_type(sizes)
     dealt = cells.select(*keys, "n").repartition(tasks, *keys).sortWithinPartitions(*keys)
-    packed = dealt.mapInArrow(_pack(kind), "codes binary, counts binary")
+    packed = dealt.mapInArrow(_pack(sizes), "codes binary, counts binary")
     if tasks == 1:
         return materialize(packed.mapInArrow(_all_rounds(sizes, kind, rounds), STUMPS), "stumps")
     packed, made = packed.persist(StorageLevel.MEMORY_AND_DISK), _Rounds(sizes)
@@ -220,9 +267,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 500) ->
     for s in stumps:
         own = values[features[s["feature"]]]
         own += np.where(np.arange(len(own)) <= s["bin"], s["low"], s["high"])
-    terms = [_sum_of_leaves(f, edges[f], values[f] / max(len(stumps), 1)) for f in features]
-    total = " + ".join(terms) or "0.0D"
-    model = PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-2 * ({total}))) AS model_score FROM __THIS__")])
+    model = _sums_of_leaves(features, edges, {f: values[f] / max(len(stumps), 1) for f in features})
     model.parts = [part("constant", sum(2 * values[f][0] for f in features) / max(len(stumps), 1))]
     for f in features:
         gains = 2 * np.diff(values[f]) / max(len(stumps), 1)
@@ -230,8 +275,31 @@ def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 500) ->
     return model
 
 
-def _sum_of_leaves(feature: str, edges: Sequence[float], values: np.ndarray) -> str:
-    """What the stumps on a feature add up to, by the bin that its value lies in; null and NaN are below all edges."""
-    known = f"NOT isnan(`{feature}`) AND "
-    cases = [f"WHEN {known}`{feature}` > {float(edge)!r}D THEN {float(value)!r}D" for edge, value in reversed(list(zip(edges, values[1:])))]
-    return f"CASE {' '.join(cases)} ELSE {float(values[0])!r}D END" if cases else f"{float(values[0])!r}D"
+def _sums_of_leaves(features: Sequence[str], edges: dict[str, list[float]], values: dict[str, np.ndarray]) -> PipelineModel:
+    """What the stumps add up to, by the bins that the values lie in; null and NaN are below all edges.
+
+    A bin is searched for, and its value looked up in an array: a comparison for every edge makes a method that
+    the JVM does not compile.
+    """
+    least = "double('-infinity')"
+    cut = {f: i for i, f in enumerate(features) if edges[f]}
+    known = [f"coalesce(nanvl(double(`{f}`), {least}), {least}) AS _boost_value_{i}" for f, i in cut.items()]
+    listed = {f: "array(" + ", ".join(f"{float(v)!r}D" for v in values[f]) + ")" for f in cut}
+    terms = [f"element_at({listed[f]}, int(_boost_bin_{cut[f]}) + 1)" if f in cut else f"{float(values[f][0])!r}D" for f in features]
+    score = f"1 / (1 + exp(-2 * ({' + '.join(terms) or '0.0D'}))) AS model_score"
+    if not cut:
+        return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {score} FROM __THIS__")])
+    own = [f"_boost_{kind}_{i}" for kind in ("value", "bin") for i in cut.values()]
+    return PipelineModel(
+        stages=[
+            SQLTransformer(statement=f"SELECT *, {', '.join(known)} FROM __THIS__"),
+            _bucketizer({f"_boost_value_{i}": edges[f] for f, i in cut.items()}, own[len(cut) :]),
+            SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(own)}), {score} FROM __THIS__"),
+        ]
+    )
+
+
+def _bucketizer(edges: dict[str, list[float]], out: Sequence[str]) -> Bucketizer:
+    """The bins of columns; a value on an edge lies below it."""
+    splits = [[-np.inf, *[float(np.nextafter(e, np.inf)) for e in own], np.inf] for own in edges.values()]
+    return Bucketizer(splitsArray=splits, inputCols=list(edges), outputCols=list(out))

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,39 @@ def test_a_round_does_not_wait_and_its_sums_may_come_from_many_tasks(spark, monk
     assert len(alone) == len(spread) == 60
     for a, b in zip(alone, spread):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-6)
+
+
+def test_features_with_few_bins_share_a_code(monkeypatch):
+    sizes = [7, 64, 50, 3, 1, 12, 64, 200]
+    groups = boosting._groups(sizes)
+    assert sorted(f for group in groups for f in group) == list(range(8)) and len(groups) <= 5
+    rng = np.random.default_rng(5)
+    bins = [rng.integers(0, n, 3000) for n in sizes]
+    label, n = rng.integers(0, 2, 3000), rng.integers(1, 300, 3000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 700]) for c in (label, *bins, n)], names=[f"c{i}" for i in range(10)]) for k in range(0, 3000, 700)]
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 1000)
+    packed = list(boosting._pack(sizes)(iter(batches)))
+    assert len(packed) == 3
+    made = boosting._Rounds(sizes)
+    made.leaves = np.where(np.arange(200) < np.array(sizes)[:, None], rng.normal(size=(8, 200)), 0.0)
+    made.leaves[3] = 0.0
+    made.shift = 0.7
+    weight = n * np.exp(-(1 - 2 * label) * -sum(made.leaves[f][b] for f, b in enumerate(bins)) - 0.7)
+    found = made.sums(boosting._blocks(iter(packed), len(groups), boosting._code_type(sizes))).reshape(8, 200, 2)
+    for f, b in enumerate(bins):
+        for y in (0, 1):
+            assert found[f, :, y] == pytest.approx(np.bincount(b[label == y], weight[label == y], 200))
+
+
+def test_scores_are_looked_up_not_compared_edge_by_edge(spark):
+    x, y = made(3000, 20)
+    x = x + np.random.default_rng(0).random(x.shape) / 100
+    frame, names = table(spark, x, y)
+    model = fit_boosted(frame, names, 200)
+    plan = model.transform(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE" not in plan and set(model.transform(frame).columns) == {*frame.columns, "model_score"}
+    edges, stumps = bin_edges(frame, names), boost(frame, names, bin_edges(frame, names), 200).collect()
+    margin = sum(np.where(x[:, s["feature"]] <= edges[names[s["feature"]]][s["bin"]], s["low"], s["high"]) for s in stumps) / len(stumps)
+    wanted = {tuple(map(float, row)): 1 / (1 + np.exp(-2 * m)) for row, m in zip(x, margin)}
+    for row in model.transform(frame).collect():
+        assert row["model_score"] == pytest.approx(wanted[tuple(row[f] for f in names)], rel=1e-9)
