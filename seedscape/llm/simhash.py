@@ -326,3 +326,12 @@ def one_per_component(docs: DataFrame, find: Callable[..., DataFrame] = near_dup
     alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     rows = flagged.filter(F.col("_kept") | F.col(id_col).isNull()).withColumn("_row", alone)
     return rows.dropDuplicates([id_col, "_key", "_row"]).select(*docs.columns)
+
+
+def __getattr__(name: str):
+    """``near_copies`` has its own module, which builds on this one; its old name here stays good."""
+    if name == "near_copies":
+        from seedscape.llm.near_copies import near_copies
+
+        return near_copies
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
